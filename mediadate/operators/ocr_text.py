@@ -65,7 +65,9 @@ def first_accepted(attempts: DataFrame, as_of: Column) -> DataFrame:
     best = read.groupBy("file_id").agg(
         F.min_by(F.when(F.col("accepted"), shown), F.when(F.col("accepted"), F.col("attempt_seq"))).alias("_best")
     )
-    checked = read.join(best.select("file_id", F.col("_best.attempt_seq").alias("_stop")), "file_id")
+    stops = best.select("file_id", F.col("_best.attempt_seq").alias("_stop"))
+    # Both inputs are plain shuffles, so adaptive execution can split a file with very many attempts.
+    checked = read.join(stops.repartition("file_id").hint("merge"), "file_id")
     looked_at = F.count_if(F.col("_stop").isNull() | (F.col("attempt_seq") <= F.col("_stop")))
     counted = checked.groupBy("file_id").agg(looked_at.alias("checked"))
     return best.join(counted, "file_id").select("file_id", "_best.*", "checked").withColumnRenamed("stamp_date", "ocr_date")

@@ -30,6 +30,11 @@ def timestamp_of(year, month, day, hour=None, minute=None, second=None) -> Colum
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _captured(text: Column, pattern: str, groups: str) -> Column:
     """The named groups of a whole-text match as an array, null without a match."""
     return F.split(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, groups)), r"\|")
@@ -41,79 +46,88 @@ def _int(text: Column) -> Column:
 
 def camera_date(text: Column) -> Column:
     """``YYYY:MM:DD HH:MM:SS`` as EXIF and TIFF write it; one-digit fields are allowed."""
-    part = _captured(text, CAMERA_DATE, "$1|$2|$3|$4|$5|$6")
-    return timestamp_of(*(_int(part[i]) for i in range(6)))
+    parts = _captured(text, CAMERA_DATE, "$1|$2|$3|$4|$5|$6")
+    return bound(parts, lambda part: timestamp_of(*(_int(part[i]) for i in range(6))))
+
+
+def _first_dated(texts: list[tuple[str, Column]], parse) -> Column:
+    """Struct of date and source of the first text that ``parse`` finds a date in."""
+    tried = F.transform(
+        F.array(*[F.struct(text.alias("text"), F.lit(source).alias("source")) for source, text in texts]),
+        lambda one: F.struct(parse(one["text"]).alias("date"), one["source"].alias("source")),
+    )
+    return F.get(F.filter(tried, lambda one: one["date"].isNotNull()), F.lit(0))
 
 
 def exif_date(original: Column, digitized: Column) -> Column:
     """Struct of date and source: the original date, else the digitized one."""
-    first, second = camera_date(original), camera_date(digitized)
-    return F.struct(
-        F.coalesce(first, second).alias("date"),
-        F.when(first.isNotNull(), "exif_original").when(second.isNotNull(), "exif_digitized").alias("source"),
-    )
+    return _first_dated([("exif_original", original), ("exif_digitized", digitized)], camera_date)
 
 
 def gps_date(date_stamp: Column, time_stamp: Column) -> Column:
     """Satellite date and time; without a time it is midnight, fractions of a second are dropped."""
-    part = F.split(date_stamp, ":")
+    has_clock = F.coalesce(F.size(time_stamp), F.lit(0)) > 0
 
-    def number(i):
-        text = F.try_element_at(part, F.lit(i))
+    def number(text):
         return F.when(text.rlike(WHOLE_NUMBER), F.regexp_replace(text, r"[^0-9]", "")).try_cast("int")
 
     def clock(i):
-        whole = F.try_element_at(time_stamp, F.lit(i)).try_cast("int")
-        return F.when(F.coalesce(F.size(time_stamp), F.lit(0)) <= 0, F.lit(0)).otherwise(whole)
+        return F.when(has_clock, F.get(time_stamp, F.lit(i)).try_cast("int")).otherwise(F.lit(0))
+
+    def moment(day):
+        return timestamp_of(day[0], day[1], day[2], clock(0), clock(1), clock(2))
 
-    fits = (F.size(part) == 3) & (F.coalesce(F.size(time_stamp), F.lit(0)).isin(-1, 0, 3))
-    return F.when(fits, timestamp_of(number(1), number(2), number(3), clock(1), clock(2), clock(3)))
+    parts = F.split(date_stamp, ":")
+    fits = (F.size(parts) == 3) & (~has_clock | (F.size(time_stamp) == 3))
+    return F.when(fits, bound(F.transform(parts, number), moment))
 
 
 def iso_date(text: Column) -> Column:
     """ISO 8601 text with at least a full date; a zone offset is read over, the wall clock kept."""
-    part = _captured(text, ISO_DATE, "$1|$3|$4|$6|$7|$8|$10|$11|$12|$14|$16|$17")
-    year, month, day, week, weekday = (_int(part[i]) for i in range(5))
-    hour, minute, second = (F.coalesce(_int(part[i]), F.lit(0)) for i in (5, 6, 7))
-    micros = F.rpad(F.left(part[8], F.lit(6)), 6, "0")
-    seconds = F.concat_ws(".", second.cast("string"), micros).try_cast("decimal(8,6)")
-    zone = sum(F.coalesce(_int(part[i]), F.lit(0)) * unit for i, unit in ((9, 3600), (10, 60), (11, 1)))
-
-    # ISO week 1 holds January 4th; a 53rd week exists when December 28th lies in it.
-    week_start = F.trunc(F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), *[F.lit(0)] * 3), "week")
-    weeks = F.weekofyear(F.try_make_timestamp_ntz(year, F.lit(12), F.lit(28), *[F.lit(0)] * 3))
-    weekday = F.coalesce(weekday, F.lit(1))
-    in_week = F.when(
-        week.between(1, weeks) & weekday.between(1, 7), F.date_add(week_start, (week - 1) * 7 + weekday - 1)
-    )
-    is_week = part[3] != ""
-    return F.when(
-        zone < 86400,
-        timestamp_of(
-            F.when(is_week, F.year(in_week)).otherwise(year),
-            F.when(is_week, F.month(in_week)).otherwise(month),
-            F.when(is_week, F.day(in_week)).otherwise(day),
-            hour,
-            minute,
-            seconds,
-        ),
-    )
+
+    def moment(part):
+        year, month, day, week, weekday = (_int(part[i]) for i in range(5))
+        hour, minute, second = (F.coalesce(_int(part[i]), F.lit(0)) for i in (5, 6, 7))
+        micros = F.rpad(F.left(part[8], F.lit(6)), 6, "0")
+        seconds = F.concat_ws(".", second.cast("string"), micros).try_cast("decimal(8,6)")
+        zone = sum(F.coalesce(_int(part[i]), F.lit(0)) * unit for i, unit in ((9, 3600), (10, 60), (11, 1)))
+        first = F.when(part[3] == "", F.struct(year.alias("y"), month.alias("m"), day.alias("d"))).otherwise(
+            _week_day(year, week, F.coalesce(weekday, F.lit(1)))
+        )
+        whole = bound(first, lambda on: timestamp_of(on["y"], on["m"], on["d"], hour, minute, seconds))
+        return F.when(zone < 86400, whole)
+
+    return bound(_captured(text, ISO_DATE, "$1|$3|$4|$6|$7|$8|$10|$11|$12|$14|$16|$17"), moment)
+
+
+def _week_day(year: Column, week: Column, weekday: Column) -> Column:
+    """Calendar day of an ISO week day: week 1 holds January 4th, a last week 53 December 28th."""
+
+    def midnight(month, day):
+        return F.try_make_timestamp_ntz(year, F.lit(month), F.lit(day), *[F.lit(0)] * 3)
+
+    def fields(day):
+        return F.struct(F.year(day).alias("y"), F.month(day).alias("m"), F.day(day).alias("d"))
+
+    valid = week.between(1, F.weekofyear(midnight(12, 28))) & weekday.between(1, 7)
+    day = F.date_add(F.trunc(midnight(1, 4), "week"), (week - 1) * 7 + weekday - 1)
+    return bound(F.when(valid, day), fields)
 
 
 def xmp_date(text: Column) -> Column:
     """ISO date of an XMP element, or a plain day with one-digit fields."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"Z\z", "+00:00")
-    day = _captured(bare, LOOSE_DAY, "$1|$2|$3")
-    return F.coalesce(iso_date(bare), timestamp_of(*(_int(day[i]) for i in range(3))))
+
+    def read(bare):
+        day = bound(_captured(bare, LOOSE_DAY, "$1|$2|$3"), lambda part: timestamp_of(*(_int(part[i]) for i in range(3))))
+        return F.coalesce(iso_date(bare), day)
+
+    return bound(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"Z\z", "+00:00"), read)
 
 
 def first_xmp_date(created: Column, photoshop_created: Column, modified: Column) -> Column:
     """Struct of date and source: the first of the three elements that holds a date."""
-    creation = F.coalesce(xmp_date(created), xmp_date(photoshop_created))
-    change = xmp_date(modified)
-    return F.struct(
-        F.coalesce(creation, change).alias("date"),
-        F.when(creation.isNotNull(), "xmp_create_date").when(change.isNotNull(), "xmp_modify_date").alias("source"),
+    return _first_dated(
+        [("xmp_create_date", created), ("xmp_create_date", photoshop_created), ("xmp_modify_date", modified)], xmp_date
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mediadate import settings
-from mediadate.functions.dates import timestamp_of
+from mediadate.functions.dates import bound, timestamp_of
 
 # The text forms of a stamp, in the order they are tried.
 STAMP_FORMS = (
@@ -24,22 +24,31 @@ def stamp_date(text: Column, as_of: Column) -> Column:
     The first form whose match is a calendar day decides. A day before 1900 or after ``as_of`` is a
     misread digit, so it ends the search with null.
     """
-    readings = []
-    for pattern, order in STAMP_FORMS:
-        matched = F.regexp_extract(text, pattern, 0)
-        field = dict(zip(order, range(3)))
-        part = F.split(F.replace(matched, F.lit("'"), F.lit("")), SEPARATORS)
-        number = {key: F.get(part, F.lit(i)).try_cast("int") for key, i in field.items()}
-        short = F.when(number["year"] > 30, number["year"] + 1900).otherwise(number["year"] + 2000)
-        year = F.when(number["year"] < 100, short).otherwise(number["year"])
-        day = timestamp_of(year, number["month"], number["day"])
-        readings.append(F.when(day.isNotNull(), F.struct(day.alias("date"), matched.alias("matched"))))
-    reading = F.coalesce(*readings)
-    plausible = (F.year(reading["date"]) >= settings.STAMP_EARLIEST_YEAR) & (reading["date"] <= as_of)
-    return F.when(
-        plausible,
-        F.struct(reading["date"].alias("date"), reading["matched"].rlike(PUNCTUATION).alias("punctuated")),
-    )
+
+    def reading(matched, order):
+        field = {key: i for i, key in enumerate(order)}
+
+        def day(part):
+            number = {key: F.get(part, F.lit(i)).try_cast("int") for key, i in field.items()}
+            short = F.when(number["year"] > 30, number["year"] + 1900).otherwise(number["year"] + 2000)
+            year = F.when(number["year"] < 100, short).otherwise(number["year"])
+            return timestamp_of(year, number["month"], number["day"])
+
+        parts = F.split(F.replace(matched, F.lit("'"), F.lit("")), SEPARATORS)
+        return F.struct(bound(parts, day).alias("date"), matched.alias("matched"))
+
+    def read_as(order):
+        return lambda matched: reading(matched, order)
+
+    readings = [bound(F.regexp_extract(text, pattern, 0), read_as(order)) for pattern, order in STAMP_FORMS]
+    calendar = F.get(F.filter(F.array(*readings), lambda one: one["date"].isNotNull()), F.lit(0))
+
+    def judged(first):
+        plausible = (F.year(first["date"]) >= settings.STAMP_EARLIEST_YEAR) & (first["date"] <= as_of)
+        punctuated = first["matched"].rlike(PUNCTUATION)
+        return F.when(plausible, F.struct(first["date"].alias("date"), punctuated.alias("punctuated")))
+
+    return bound(calendar, judged)
 
 
 def stamp_accepted(stamp: Column, confidence: Column) -> Column:

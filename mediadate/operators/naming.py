@@ -93,25 +93,31 @@ def unique_destination(
     per block of ids and numbered inside their block. One after the other go only the distinct names
     of families in which somebody asked for a numbered variant by name, as a stream.
 
-    Writes three narrow tables to the checkpoint folder; ``requests`` is read three times, so hand in
-    a written plan when it is costly to compute.
+    ``requests`` is computed once for its three naming columns, which go to the checkpoint folder
+    along with narrow tables derived from them, and once more only to add its other columns.
     """
-    asked = requests.select("id", *NAME).withColumn("block", F.shiftright(F.col("id"), block_bits))
+    asked = settle_table(requests.select("id", *NAME))
+    blocked = asked.withColumn("block", F.shiftright(F.col("id"), block_bits))
     nodes = settle_table(_nodes(asked, existing))
-    blocks = asked.groupBy(*NAME, "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocked.groupBy(*NAME, "block").agg(F.count(F.lit(1)).alias("n"))
     blocks = settle_table(blocks.join(nodes.filter("n > 0").select(*NAME), NAME, "left_semi"))
-    settled = settle_table(_settled(nodes, asked, blocks, block_bits))
+    settled = settle_table(_settled(nodes, blocked, blocks, block_bits))
 
     # Numbers passed over, placed by how many free numbers lie below them.
     gaps = settled.filter("parent is not null and skipped").select(
         "folder", F.col("parent").alias("name"), "number", F.lit(1).alias("one")
     )
     overflowing = settled.filter("n > keeps").select(*NAME, "keeps")
+    gaps = gaps.join(overflowing.select(*NAME), NAME, "left_semi")
     if gaps.isEmpty():
-        return _numbered_requests(requests, blocks, overflowing, None, block_bits)
-    gaps = running_total(gaps, NAME, "number", "one", "below", block_bits)
-    gaps = settle_table(gaps.select(*NAME, (F.col("number") - F.col("below") - 1).alias("free_below")))
-    return _numbered_requests(requests, blocks, overflowing, gaps, block_bits)
+        named = _numbered_requests(blocked, blocks, overflowing, None, block_bits)
+    else:
+        gaps = running_total(gaps, NAME, "number", "one", "below", block_bits)
+        gaps = settle_table(gaps.select(*NAME, (F.col("number") - F.col("below") - 1).alias("free_below")))
+        named = _numbered_requests(blocked, blocks, overflowing, gaps, block_bits)
+    if set(requests.columns) == {"id", *NAME}:
+        return named
+    return requests.join(named.select("id", "dest_name"), "id")
 
 
 def _nodes(asked: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -171,8 +177,7 @@ def _numbered_requests(
     starts = running_total(blocks.join(overflowing, NAME, "left_semi"), NAME, "block", "n", "before", block_bits)
     starts = starts.select(*NAME, "block", "before").join(overflowing, NAME)
 
-    ranked = requests.withColumn("block", F.shiftright(F.col("id"), block_bits))
-    ranked = ranked.join(starts, [*NAME, "block"], "left")
+    ranked = requests.join(starts, [*NAME, "block"], "left")
     row = F.row_number().over(Window.partitionBy(*NAME, "block").orderBy("id"))
     place = F.when(F.col("before").isNotNull(), F.col("before") + row - F.col("keeps"))
     ranked = ranked.withColumn("_place", place).drop("block", "before", "keeps")

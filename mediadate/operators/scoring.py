@@ -74,18 +74,18 @@ def score_dates(
         F.when(implausible, settings.REASON_IMPLAUSIBLE).otherwise(""),
     )
     filesystem = F.filter(signals, lambda s: s["source"] == "filesystem_fallback")
-    scored = split.withColumns(
-        {
-            "date_taken": primary["date"],
-            "date_source": primary["source"],
-            "filesystem_creation_date": F.get(filesystem, F.lit(0))["date"],
-            "confidence": F.coalesce(confidence, F.lit(0)).cast("int"),
-            "date_reason": F.coalesce(reason, F.lit(settings.REASON_NO_EVIDENCE)),
-        }
+    judged = split.withColumn("_confidence", F.coalesce(confidence, F.lit(0)).cast("int"))
+    conclusion = F.struct(
+        primary["date"].alias("date_taken"),
+        primary["source"].alias("date_source"),
+        F.get(filesystem, F.lit(0))["date"].alias("filesystem_creation_date"),
+        F.col("_confidence").alias("confidence"),
+        F.coalesce(reason, F.lit(settings.REASON_NO_EVIDENCE)).alias("date_reason"),
+        (F.col("_confidence") < settings.UNCERTAIN_BELOW).cast("int").alias("date_uncertain"),
     )
-    return scored.withColumn(
-        "date_uncertain", (F.col("confidence") < settings.UNCERTAIN_BELOW).cast("int")
-    ).drop("_primary", "_agree", "_dispute")
+    # As a generated row, so that a later filter on the conclusion is not pushed below the parsing,
+    # where it would parse everything a second time.
+    return judged.select(*with_signals.columns, F.inline(F.array(conclusion)))
 
 
 def score_dates_long(files: DataFrame, long_signals: DataFrame, *, as_of: Column, **options) -> DataFrame:
@@ -94,5 +94,6 @@ def score_dates_long(files: DataFrame, long_signals: DataFrame, *, as_of: Column
     Files without any signal are kept, with the no-evidence conclusion.
     """
     wide = files.join(collect_signals(long_signals), "file_id", "left")
-    wide = wide.withColumn("signals", F.coalesce("signals", F.filter(F.array(), lambda s: F.lit(True)).cast(wide.schema["signals"].dataType)))
+    none = F.array().cast(wide.schema["signals"].dataType)
+    wide = wide.withColumn("signals", F.coalesce("signals", none))
     return score_dates(wide, as_of=as_of, **options).drop("signals")

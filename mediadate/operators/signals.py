@@ -73,7 +73,8 @@ def gather_signals(
 
 def explode_signals(with_signals: DataFrame, id_column: str = "file_id") -> DataFrame:
     """Long form: one row per signal."""
-    return with_signals.select(id_column, F.inline("signals"))
+    # The outer form keeps Spark from testing the array's size below the parsing that builds it.
+    return with_signals.select(id_column, F.inline_outer("signals")).filter("seq is not null")
 
 
 def collect_signals(long_signals: DataFrame, id_column: str = "file_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediadate import settings
 from mediadate.functions import camera, dates, paths, sizes
 from mediadate.operators import audit, duplicates, enrichment, importing, inventory, naming, ocr_text, review, scoring, signals
+from mediadate.operators.lineage import settle_table
 from mediadate.plans import standins
 from mediadate.sources import contents, metadata
 
@@ -190,8 +191,9 @@ def unique_destination_numbered(spark, folder):
 
 @query
 def import_records(spark, folder):
-    held = copied(spark, folder).filter("confidence = 98").select("archive_path")
-    records = importing.import_records(copied(spark, folder), held, added_at=scoring.timestamp_literal(standins.ADDED_AT))
+    done = settle_table(copied(spark, folder))
+    held = done.filter("confidence = 98").select("archive_path")
+    records = importing.import_records(done, held, added_at=scoring.timestamp_literal(standins.ADDED_AT))
     return records.drop("gps_latitude", "gps_longitude")
 
 
@@ -352,7 +354,7 @@ def review_top_n(spark, folder):
 @query
 def file_details(spark, folder):
     listing, catalog = audit_sides(spark, folder)
-    return review.file_details(catalog.drop("corrected_at"), listing, 77)
+    return review.file_details(catalog.drop("corrected_at"), listing, 78)
 
 
 def guarded(spark, folder):
@@ -498,7 +500,7 @@ def metadata_extract(spark, folder):
     created = F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
     packet = F.concat(F.lit(head), created, F.lit(tail))
     content = standins.jpeg_bytes(stamp, maker, F.col("user_id"), packet, len(head) + 19 + len(tail))
-    content = F.when(F.col("event_type") == "error", F.encode("props", "UTF-8")).otherwise(content)
+    content = F.when(F.col("event_type") == "error", F.encode(F.col("k").cast("string"), "UTF-8")).otherwise(content)
     found = metadata.extract_metadata(photos.select("file_id", "path", content.alias("content")))
     return found.select(
         "file_id", "path", "has_exif", "date_time_original", "date_time_digitized", "tiff_datetime", "xmp_create_date",

@@ -107,7 +107,7 @@ def test_sources_fall_through(spark):
         [("bad", "2024:01:02 03:04:05"), ("2023:01:02 03:04:05", None), (None, None)], "a string, b string"
     )
     rows = frame.select(dates.exif_date(F.col("a"), F.col("b")).alias("x")).collect()
-    assert [r.x.source for r in rows] == ["exif_digitized", "exif_original", None]
+    assert [r.x and r.x.source for r in rows] == ["exif_digitized", "exif_original", None]
 
 
 def test_iso_text(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decimal_degrees(dms: Column, ref: Column) -> Column:
@@ -18,7 +19,7 @@ def decimal_degrees(dms: Column, ref: Column) -> Column:
     return F.when((F.size(dms) == 3) & (ref != ""), signed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def one_decimal(value: pd.Series) -> pd.Series:
     """One decimal, rounded on the exact binary value (the JVM rounds its shortest decimal text)."""
     return value.map(lambda v: f"{v:.1f}", na_action="ignore")

@@ -68,9 +68,10 @@ def sidecar_signals(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     path = F.col("path")
 
     def pair(name):
-        bare = F.regexp_replace(name, r"(?i)(\.supplemental-metadata)?\.(json|xmp|thm)\z", "")
-        return F.struct(paths.parent_folder(path).alias("folder"), bare.alias("name"))
+        return F.struct(paths.parent_folder(path).alias("folder"), name.alias("name"))
 
+    name = paths.file_name(path)
+    bare = F.regexp_replace(name, r"(?i)(\.supplemental-metadata)?\.(json|xmp|thm)\z", "")
     kind = paths.extension(path)
     seconds = F.get_json_object("content", "$.photoTakenTime.timestamp").try_cast("long")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -80,14 +81,12 @@ def sidecar_signals(files: DataFrame, sidecars: DataFrame) -> DataFrame:
         .when(kind == ".thm", dates.camera_date(F.col("date_time_original")))
     )
     source = F.when(kind == ".json", "takeout_json").when(kind == ".xmp", "sidecar_xmp").when(kind == ".thm", "sidecar_thm")
-    evidence = sidecars.select(pair(paths.file_name(path)).alias("_pair"), source.alias("source"), date.alias("date"))
+    evidence = sidecars.select(pair(bare).alias("_pair"), source.alias("source"), date.alias("date"))
     evidence = evidence.filter("source is not null and date is not null")
     # One sidecar of a kind speaks for a file: the earliest date, whatever their number.
     evidence = evidence.groupBy("_pair", "source").agg(F.min("date").alias("date"))
-    name = paths.file_name(path)
-    full = files.select("file_id", pair(name).alias("_pair"))
-    short = files.select("file_id", F.struct(paths.parent_folder(path).alias("folder"), paths.stem(name).alias("name")).alias("_pair"))
-    media = full.unionByName(short).distinct()
+    # A sidecar repeats the whole name of its file or only the part before the suffix.
+    media = files.select("file_id", F.explode(F.array_distinct(F.array(pair(name), pair(paths.stem(name))))).alias("_pair"))
     found = media.join(evidence, "_pair").groupBy("file_id", "source").agg(F.min("date").alias("date"))
     number = F.create_map(*[F.lit(x) for s in SEQ.items() for x in s])
     base = F.create_map(*[F.lit(x) for s in settings.EXTRA_CONFIDENCE.items() for x in s])

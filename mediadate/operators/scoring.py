@@ -74,7 +74,9 @@ def score_dates(
         F.when(implausible, settings.REASON_IMPLAUSIBLE).otherwise(""),
     )
     filesystem = F.filter(signals, lambda s: s["source"] == "filesystem_fallback")
-    judged = split.withColumn("_confidence", F.coalesce(confidence, F.lit(0)).cast("int"))
+    # greatest and least pass over nulls, so files without evidence need a branch of their own.
+    known = F.when(primary.isNull(), F.lit(0)).otherwise(confidence)
+    judged = split.withColumn("_confidence", known.cast("int"))
     conclusion = F.struct(
         primary["date"].alias("date_taken"),
         primary["source"].alias("date_source"),

@@ -206,8 +206,8 @@ SQL = {
     "unique_destination_existing": f"""{OUTCOMES}, taken as (select distinct k, user_id % 9 as number from photos),
         placed as (select *, row_number() over (partition by folder, name order by id) - case when folder = '/archive/_review_needed' and name = 'IMG_' || k || '.jpg'
             and exists (select 1 from taken t where t.k = outcomes.k and number = 0) then 0 else 1 end as place from outcomes where outcome = 'planned'),
-        numbers as (select k, n, row_number() over (partition by k order by n) as nth from (select distinct k from photos), range(1, 5000) r(n)
-            where not exists (select 1 from taken t where t.k = photos.k and t.number = n)),
+        numbers as (select k, n, row_number() over (partition by k order by n) as nth from (select distinct k from photos) u, range(1, 5000) r(n)
+            where not exists (select 1 from taken t where t.k = u.k and t.number = r.n)),
         picked as (select p.id, p.folder, p.name, p.place, case when p.folder = '/archive/_review_needed' and p.name = 'IMG_' || p.k || '.jpg' then n.n else p.place end as number
             from placed p left join numbers n on n.k = p.k and n.nth = p.place)
         select id, folder, case when place = 0 then name else regexp_extract(name, '^(.+)\\.[^.]+$', 1) || ' (' || number || ')' || regexp_extract(name, '^.+(\\.[^.]+)$', 1) end as dest_name from picked""",
@@ -263,7 +263,7 @@ SQL = {
         select {KEYS}, case l_returnflag when 'A' then -x when 'N' then x end as degrees from p""",
     "camera_info": """select p_partkey, case when p_size > 3 then p_brand end as camera_make, p_type as camera_model, 'f/' || printf('%.1f', p_retailprice / 4) as aperture,
         cast(p_size as varchar) as iso_speed, printf('%.1f', p_retailprice / 8) || 'mm' as focal_length_mm from part""",
-    "format_size": f"{over('date_texts')}, p as (select *, floor(pow(l_quantity, l_linenumber) * 256) as n from date_texts) select {KEYS}, {size_text('n')} as size from p",
+    "format_size": f"{over('date_texts')}, p as (select *, floor(pow(l_quantity, l_linenumber) * 256) as bytes from date_texts) select {KEYS}, {size_text('bytes')} as size from p",
     "path_parts": f"""{over('site_files')}, p as (select page_id, path, {NAME.format('path')} as name from site_files)
         select page_id, name, {SUFFIX.format('name')} as suffix, left(name, length(name) - length({SUFFIX.format('name')})) as stem, lower({SUFFIX.format('name')}) as extension, substr(path, 10) as relative from p""",
     "ocr_text_date": f"{STAMPED} select attempt_seq, stamp_date, punctuated, accepted from stamped",

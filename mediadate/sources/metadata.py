@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediadate import schemas
 
@@ -168,7 +169,7 @@ def extract_metadata(files: DataFrame, id_column: str = "file_id") -> DataFrame:
     return files.select(*columns).mapInPandas(extract, schema)
 
 
-@F.pandas_udf("xmp_create_date string, photoshop_date_created string, xmp_modify_date string")
+@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in XMP_ELEMENTS]))
 def xmp_fields(packets: pd.Series) -> pd.DataFrame:
     """The three date elements of XMP packets held as text; nulls for what is no XML."""
 

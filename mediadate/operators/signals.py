@@ -44,23 +44,28 @@ def gather_signals(
     is_jpeg = F.col("_kind").isin(*settings.JPEG_TYPES)
     is_tiff = F.col("_kind").isin(*settings.TIFF_TYPES)
 
-    exif = dates.exif_date(F.col("date_time_original"), F.col("date_time_digitized"))
-    xmp = dates.first_xmp_date(
-        F.col("xmp_create_date"), F.col("photoshop_date_created"), F.col("xmp_modify_date")
-    )
-    # Parsed texts get a column each, so that one parse serves date and source.
+    # Every parsed text gets a column of its own: parsed once, in compiled code.
+    def of_jpeg(parse, *tags):
+        return F.when(is_jpeg, parse(*(F.col(tag) for tag in tags)))
+
     parsed = typed.withColumns(
         {
-            "_gps": F.when(is_jpeg, dates.gps_date(F.col("gps_date_stamp"), F.col("gps_time_stamp"))),
-            "_exif": F.when(is_jpeg, exif),
-            "_xmp": F.when(is_jpeg, xmp),
+            "_gps": of_jpeg(dates.gps_date, "gps_date_stamp", "gps_time_stamp"),
+            "_original": of_jpeg(dates.camera_date, "date_time_original"),
+            "_digitized": of_jpeg(dates.camera_date, "date_time_digitized"),
+            "_created": of_jpeg(dates.xmp_date, "xmp_create_date"),
+            "_photoshop": of_jpeg(dates.xmp_date, "photoshop_date_created"),
+            "_modified": of_jpeg(dates.xmp_date, "xmp_modify_date"),
             "_tiff": F.when(is_tiff, dates.camera_date(F.col("tiff_datetime"))),
         }
     )
+    exif = dates.first_dated(("exif_original", F.col("_original")), ("exif_digitized", F.col("_digitized")))
+    creation = F.coalesce("_created", "_photoshop")
+    xmp = dates.first_dated(("xmp_create_date", creation), ("xmp_modify_date", F.col("_modified")))
     found = [
         signal(1, "exif_gps", F.col("_gps"), base_confidence),
-        signal(2, F.col("_exif.source"), F.col("_exif.date"), base_confidence),
-        signal(3, F.col("_xmp.source"), F.col("_xmp.date"), base_confidence),
+        signal(2, exif["source"], exif["date"], base_confidence),
+        signal(3, xmp["source"], xmp["date"], base_confidence),
         signal(4, "tiff_datetime", F.col("_tiff"), base_confidence),
     ]
     if try_ocr:
@@ -68,7 +73,7 @@ def gather_signals(
         found.append(signal(5, "ocr_corner_stamp", stamp, base_confidence))
     found.append(signal(6, "filesystem_fallback", F.col("creation_date"), base_confidence))
     gathered = parsed.withColumn("signals", F.array_compact(F.array(*found)).cast(f"array<{schemas.SIGNAL}>"))
-    return gathered.drop("_kind", "_gps", "_exif", "_xmp", "_tiff")
+    return gathered.select(*evidence.columns, "signals")
 
 
 def explode_signals(with_signals: DataFrame, id_column: str = "file_id") -> DataFrame:

@@ -19,10 +19,13 @@ def decimal_degrees(dms: Column, ref: Column) -> Column:
     return F.when((F.size(dms) == 3) & (ref != ""), signed)
 
 
-@F.pandas_udf(T.StringType())
-def one_decimal(value: pd.Series) -> pd.Series:
+def one_decimal(number: Column) -> Column:
     """One decimal, rounded on the exact binary value (the JVM rounds its shortest decimal text)."""
-    return value.map(lambda v: f"{v:.1f}", na_action="ignore")
+
+    def text(value: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in value], dtype=object)
+
+    return F.pandas_udf(text, T.StringType())(number)
 
 
 def clean_text(text: Column) -> Column:

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,14 +169,17 @@ def extract_metadata(files: DataFrame, id_column: str = "file_id") -> DataFrame:
     return files.select(*columns).mapInPandas(extract, schema)
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in XMP_ELEMENTS]))
-def xmp_fields(packets: pd.Series) -> pd.DataFrame:
-    """The three date elements of XMP packets held as text; nulls for what is no XML."""
+def xmp_fields(packet: Column) -> Column:
+    """Struct of the three date elements of an XMP packet held as text; nulls for what is no XML."""
 
-    def read(packet):
+    def read(text):
         try:
-            return xmp_elements(packet) if packet else {}
+            return xmp_elements(text) if text else {}
         except ET.ParseError:
             return {}
 
-    return pd.DataFrame([read(p) for p in packets], columns=list(XMP_ELEMENTS)).astype(object)
+    def fields(packets: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(p) for p in packets], columns=list(XMP_ELEMENTS)).astype(object)
+
+    kind = T.StructType([T.StructField(name, T.StringType()) for name in XMP_ELEMENTS])
+    return F.pandas_udf(fields, kind)(packet)

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediadate.operators.skew import spread_join
+
 
 def known_hash(column: Column) -> Column:
     """A stored hash, null when there is none."""
@@ -79,15 +81,10 @@ def report_order(groups: DataFrame) -> DataFrame:
 
 
 def duplicate_members(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The files of every duplicate group, one row each.
-
-    The groups are shuffled once more before the join, so that both inputs are plain shuffles and
-    adaptive execution can split the entries of a hot hash.
-    """
+    """The files of every duplicate group, one row each, a hot hash spread over many tasks."""
     groups = duplicate_groups(entries) if groups is None else groups
-    groups = groups.select("file_hash", "count").repartition("file_hash")
     members = entries.select("file_hash", "path", "file_size", "documented")
-    return members.join(groups.hint("merge"), "file_hash").select("file_hash", "path", "file_size", "documented", "count")
+    return spread_join(members, groups.select("file_hash", "count"), "file_hash", "path")
 
 
 def duplicate_summary(entries: DataFrame) -> DataFrame:

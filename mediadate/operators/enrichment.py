@@ -13,6 +13,7 @@ from mediadate import settings
 from mediadate.functions import dates, paths
 from mediadate.operators import audit, duplicates
 from mediadate.operators.scoring import score_dates
+from mediadate.operators.skew import spread_join
 
 # Date forms in file and folder names, as year, month, day and an optional time.
 NAME_DATE = r"(?<!\d)((?:19|20)\d\d)([-_.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])(?:[-_T ]?([01]\d|2[0-3])[-_.]?([0-5]\d)[-_.]?([0-5]\d))?(?!\d)"
@@ -38,7 +39,7 @@ def hash_twin_signals(files: DataFrame, catalog: DataFrame) -> DataFrame:
     best = dated.groupBy("file_hash").agg(
         F.max_by(F.coalesce("user_corrected_date", "date_taken"), rank).alias("_date")
     )
-    twins = files.select("file_id", "file_hash").join(best.repartition("file_hash").hint("merge"), "file_hash")
+    twins = spread_join(files.select("file_id", "file_hash"), best, "file_hash", "file_id")
     return _signals(twins, "hash_twin", F.col("_date"))
 
 
@@ -161,7 +162,8 @@ def fix_plan(listing: DataFrame, catalog: DataFrame, archive_root: str) -> DataF
 def skip_identical(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Files to import whose bytes the archive does not hold yet."""
     held = catalog.select(duplicates.known_hash(F.col("file_hash")).alias("file_hash")).filter("file_hash is not null")
-    return candidates.join(held.distinct(), "file_hash", "left_anti")
+    unhashed = candidates.filter("file_hash is null")
+    return spread_join(candidates, held.distinct(), "file_hash", "path", "left_anti").unionByName(unhashed)
 
 
 def rescore_uncertain(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediadate.functions.stamps import stamp_accepted, stamp_date
+from mediadate.operators.skew import spread_join
 
 # The order in which corners, rotations and variants are looked at.
 CORNERS = ("bottom_right", "bottom_left", "top_right", "top_left")
@@ -66,8 +67,7 @@ def first_accepted(attempts: DataFrame, as_of: Column) -> DataFrame:
         F.min_by(F.when(F.col("accepted"), shown), F.when(F.col("accepted"), F.col("attempt_seq"))).alias("_best")
     )
     stops = best.select("file_id", F.col("_best.attempt_seq").alias("_stop"))
-    # Both inputs are plain shuffles, so adaptive execution can split a file with very many attempts.
-    checked = read.join(stops.repartition("file_id").hint("merge"), "file_id")
+    checked = spread_join(read.select("file_id", "attempt_seq"), stops, "file_id", "attempt_seq")
     looked_at = F.count_if(F.col("_stop").isNull() | (F.col("attempt_seq") <= F.col("_stop")))
     counted = checked.groupBy("file_id").agg(looked_at.alias("checked"))
     return best.join(counted, "file_id").select("file_id", "_best.*", "checked").withColumnRenamed("stamp_date", "ocr_date")

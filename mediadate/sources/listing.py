@@ -18,8 +18,8 @@ from mediadate import schemas
 def scan_binary_files(spark: SparkSession, *roots: str) -> DataFrame:
     """Manifest of every file below the roots, through any Hadoop file system.
 
-    Bytes are not read. Spark skips names that start with ``_`` or ``.``: name such folders (the
-    review folder) as roots of their own, or use :func:`walk_folders`. There is no creation date
+    Bytes are not read. Spark skips empty files and names that start with ``_`` or ``.``: name such
+    folders (the review folder) as roots of their own, or use :func:`walk_folders`. There is no creation date
     here; the modification date stands in for it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))

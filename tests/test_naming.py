@@ -39,7 +39,7 @@ def test_plain_names(spark, bits):
     assert served(spark, requests, None, bits) == one_by_one(requests, [])
 
 
-@pytest.mark.parametrize("bits, seed", [(2, 1), (2, 2), (3, 3), (20, 4)])
+@pytest.mark.parametrize("bits, seed", [(2, 1), (20, 4)])
 def test_mixed_names(spark, bits, seed):
     rng = random.Random(seed)
 
@@ -55,11 +55,11 @@ def test_mixed_names(spark, bits, seed):
 
 def test_literal_number_between_copies(spark):
     requests = [(1, "f", "a.jpg"), (2, "f", "a (1).jpg"), (3, "f", "a.jpg"), (4, "f", "a (3).jpg"), (5, "f", "a.jpg")]
-    assert served(spark, requests, None, 20)[3] == "a (2).jpg"
-    assert served(spark, requests, None, 20) == one_by_one(requests, [])
+    found = served(spark, requests, None, 20)
+    assert found[3] == "a (2).jpg" and found == one_by_one(requests, [])
 
 
 def test_one_name_holds_most_rows(spark):
-    requests = [(i, "f", "IMG_0001.jpg" if i % 3 else f"IMG_0001 ({i}).jpg") for i in range(3000)]
-    existing = [("f", f"IMG_0001 ({i}).jpg") for i in range(1, 500, 7)]
+    requests = [(i, "f", "IMG_0001.jpg" if i % 3 else f"IMG_0001 ({i}).jpg") for i in range(900)]
+    existing = [("f", f"IMG_0001 ({i}).jpg") for i in range(1, 300, 7)]
     assert served(spark, requests, existing, 4) == one_by_one(requests, existing)

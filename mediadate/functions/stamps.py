@@ -5,53 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediadate import settings
-from mediadate.functions.dates import bound, timestamp_of
-
-# The text forms of a stamp, in the order they are tried.
+# The text forms of a stamp, in the order they are tried, and the groups that hold
+# year, month and day.
 STAMP_FORMS = (
-    (r"'?(\d{4}|\d{2})[\s\-\./](\d{1,2})[\s\-\./](\d{1,2})\b", ("year", "month", "day")),
-    (r"\b(\d{1,2})[\s\-\./](\d{1,2})[\s\-\./]'?(\d{4}|\d{2})\b", ("month", "day", "year")),
-    (r"\b(\d{1,2})[\s\-\./](\d{1,2})[\s\-\./]'?(\d{4}|\d{2})\b", ("day", "month", "year")),
+    (r"'?(\d{4}|\d{2})[\s\-\./](\d{1,2})[\s\-\./](\d{1,2})\b", (2, 3, 4)),
+    (r"\b(\d{1,2})[\s\-\./](\d{1,2})[\s\-\./]'?(\d{4}|\d{2})\b", (4, 2, 3)),
+    (r"\b(\d{1,2})[\s\-\./](\d{1,2})[\s\-\./]'?(\d{4}|\d{2})\b", (4, 3, 2)),
 )
-SEPARATORS = r"[\s\-\./]"
 PUNCTUATION = r"[-./']"
+LAST_CENTURY, THIS_CENTURY = r"^(?:00)?(3[1-9]|[4-9]\d)-", r"^(?:00)?([0-2]\d|30)-"
 
 
-def stamp_date(text: Column, as_of: Column) -> Column:
-    """Struct of the stamped day and whether it was written with punctuation.
-
-    The first form whose match is a calendar day decides. A day before 1900 or after ``as_of`` is a
-    misread digit, so it ends the search with null.
-    """
-
-    def reading(matched, order):
-        field = {key: i for i, key in enumerate(order)}
-
-        def day(part):
-            number = {key: F.get(part, F.lit(i)).try_cast("int") for key, i in field.items()}
-            short = F.when(number["year"] > 30, number["year"] + 1900).otherwise(number["year"] + 2000)
-            year = F.when(number["year"] < 100, short).otherwise(number["year"])
-            return timestamp_of(year, number["month"], number["day"])
-
-        parts = F.split(F.replace(matched, F.lit("'"), F.lit("")), SEPARATORS)
-        return F.struct(bound(parts, day).alias("date"), matched.alias("matched"))
-
-    def read_as(order):
-        return lambda matched: reading(matched, order)
-
-    readings = [bound(F.regexp_extract(text, pattern, 0), read_as(order)) for pattern, order in STAMP_FORMS]
-    calendar = F.get(F.filter(F.array(*readings), lambda one: one["date"].isNotNull()), F.lit(0))
+def stamp_reading(text: Column, form: int) -> Column:
+    """First match of a form as ``year-month-day=match``; some other text without a match."""
+    pattern, (year, month, day) = STAMP_FORMS[form]
+    found = F.regexp_replace(
+        F.concat(F.lit("#"), text), rf"(?s)^#.*?({pattern}).*\z", f"${year}-${month}-${day}=$1"
+    )
+    return F.regexp_replace(F.regexp_replace(found, LAST_CENTURY, "19$1-"), THIS_CENTURY, "20$1-")
 
-    def judged(first):
-        plausible = (F.year(first["date"]) >= settings.STAMP_EARLIEST_YEAR) & (first["date"] <= as_of)
-        punctuated = first["matched"].rlike(PUNCTUATION)
-        return F.when(plausible, F.struct(first["date"].alias("date"), punctuated.alias("punctuated")))
 
-    return bound(calendar, judged)
+def reading_day(reading: Column) -> Column:
+    """The day of a reading, null when it is none of the calendar."""
+    return F.substring_index(reading, "=", 1).try_cast("timestamp_ntz")
 
 
-def stamp_accepted(stamp: Column, confidence: Column) -> Column:
-    """Whether a reading is trusted: digits without punctuation need the higher confidence."""
-    needed = F.when(stamp["punctuated"], settings.STAMP_MIN_CONFIDENCE).otherwise(settings.STAMP_MIN_CONFIDENCE_BARE)
-    return F.coalesce(stamp["date"].isNotNull() & (confidence >= needed), F.lit(False))
+def reading_match(reading: Column) -> Column:
+    """The matched text of a reading."""
+    return F.substring_index(reading, "=", -1)

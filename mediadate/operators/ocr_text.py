@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediadate.functions.stamps import stamp_accepted, stamp_date
+from mediadate import settings
+from mediadate.functions import stamps
 from mediadate.operators.skew import spread_join
 
 # The order in which corners, rotations and variants are looked at.
@@ -42,13 +43,24 @@ def attempt_texts(words: DataFrame, keys: tuple[str, ...] = ("file_id", "attempt
 
 
 def read_stamps(attempts: DataFrame, as_of: Column) -> DataFrame:
-    """Attempts with the date their text holds and whether it is trusted."""
-    read = attempts.withColumn("_stamp", stamp_date(F.col("raw_text"), as_of))
+    """Attempts with the date their text holds and whether it is trusted.
+
+    The first form whose match is a calendar day decides. A day before 1900 or after ``as_of`` is a
+    misread digit, so it ends the search without a date. Digits without punctuation need the higher
+    confidence.
+    """
+    forms = range(len(stamps.STAMP_FORMS))
+    read = attempts.withColumns({f"_text{i}": stamps.stamp_reading(F.col("raw_text"), i) for i in forms})
+    read = read.withColumns({f"_day{i}": stamps.reading_day(F.col(f"_text{i}")) for i in forms})
+    deciding = F.coalesce(*[F.when(F.col(f"_day{i}").isNotNull(), F.col(f"_text{i}")) for i in forms])
+    read = read.withColumns({"_day": F.coalesce(*[f"_day{i}" for i in forms]), "_match": stamps.reading_match(deciding)})
+    plausible = (F.year("_day") >= settings.STAMP_EARLIEST_YEAR) & (F.col("_day") <= as_of)
+    punctuated = F.coalesce(plausible & F.col("_match").rlike(stamps.PUNCTUATION), F.lit(False))
+    read = read.withColumns({"stamp_date": F.when(plausible, F.col("_day")), "punctuated": punctuated})
+    needed = F.when(F.col("punctuated"), settings.STAMP_MIN_CONFIDENCE).otherwise(settings.STAMP_MIN_CONFIDENCE_BARE)
+    accepted = F.col("stamp_date").isNotNull() & (F.col("ocr_confidence") >= needed)
     return read.select(
-        *attempts.columns,
-        F.col("_stamp.date").alias("stamp_date"),
-        F.coalesce("_stamp.punctuated", F.lit(False)).alias("punctuated"),
-        stamp_accepted(F.col("_stamp"), F.col("ocr_confidence")).alias("accepted"),
+        *attempts.columns, "stamp_date", "punctuated", F.coalesce(accepted, F.lit(False)).alias("accepted")
     )
 
 

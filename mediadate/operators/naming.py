@@ -29,27 +29,31 @@ def _tail(name: Column) -> Column:
     return F.regexp_extract(paths.stem(name), NUMBER_TAIL, 1)
 
 
+def _maybe_numbered(name: Column) -> Column:
+    """Cheap test that spares plain names the patterns."""
+    return name.contains(" (")
+
+
 def family(name: Column) -> Column:
     """Name without any numbers before its suffix; only names of one family can collide."""
     stem = paths.stem(name)
-    return F.concat(F.left(stem, F.length(stem) - F.length(_tail(name))), paths.suffix(name))
-
-
-def depth(name: Column) -> Column:
-    """How many numbers follow each other before the suffix."""
-    return F.regexp_count(_tail(name), F.lit(r"\("))
+    bare = F.concat(F.left(stem, F.length(stem) - F.length(_tail(name))), paths.suffix(name))
+    return F.when(_maybe_numbered(name), bare).otherwise(name)
 
 
 def _with_parent(names: DataFrame) -> DataFrame:
-    stem = paths.stem(F.col("name"))
-    base = F.regexp_extract(stem, NUMBERED_STEM, 1)
-    return names.withColumns(
+    """Add the name a numbered name is a variant of, its number, and how many numbers it has."""
+    name, maybe = F.col("name"), _maybe_numbered(F.col("name"))
+    split = names.withColumn("_stem", F.when(maybe, paths.stem(name)))
+    split = split.withColumn("_base", F.regexp_extract("_stem", NUMBERED_STEM, 1))
+    is_variant = F.coalesce(F.col("_base") != "", F.lit(False))
+    return split.withColumns(
         {
-            "parent": F.when(base != "", F.concat(base, paths.suffix(F.col("name")))),
-            "number": F.when(base != "", F.regexp_extract(stem, NUMBERED_STEM, 2)).try_cast("long"),
-            "depth": depth(F.col("name")),
+            "parent": F.when(is_variant, F.concat(F.col("_base"), paths.suffix(name))),
+            "number": F.when(is_variant, F.regexp_extract("_stem", NUMBERED_STEM, 2)).try_cast("long"),
+            "depth": F.when(maybe, F.regexp_count(_tail(name), F.lit(r"\("))).otherwise(0),
         }
-    )
+    ).drop("_stem", "_base")
 
 
 def _settle_family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,9 +135,9 @@ def _nodes(asked: DataFrame, existing: DataFrame | None) -> DataFrame:
         )
         both = names.unionByName(taken).groupBy(*NAME)
         names = both.agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("exists").alias("exists"))
-    names = _with_parent(names.withColumn("family", family(F.col("name"))))
+    names = names.withColumn("family", family(F.col("name")))
     crowded = names.filter("n > 1 or (exists and n > 0)").select("folder", "family").distinct()
-    return names.join(crowded, ["folder", "family"], "left_semi")
+    return _with_parent(names.join(crowded, ["folder", "family"], "left_semi"))
 
 
 def _settled(nodes: DataFrame, asked: DataFrame, blocks: DataFrame, block_bits: int) -> DataFrame:

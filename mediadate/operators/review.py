@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediadate.functions import paths
+from mediadate.operators.lineage import settle_table
 from mediadate.operators.naming import unique_destination
 
 # Refusals of a correction.
@@ -91,7 +92,8 @@ def plan_corrections(
         paths.file_name(path).alias("name"),
     )
     taken = existing.select(paths.parent_folder(path).alias("folder"), paths.file_name(path).alias("name"))
-    planned = unique_destination(accepted, taken)
+    # Few rows against the whole archive: written once, so that the guard's joins run once.
+    planned = unique_destination(settle_table(accepted), taken)
     return planned.select(
         F.col("id").alias("seq"), "file_id", "archive_path", "corrected_date",
         F.concat_ws("/", "folder", "dest_name").alias("new_archive_path"),

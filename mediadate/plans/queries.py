@@ -415,7 +415,8 @@ def xmp_dates(spark, folder):
 @query
 def iso_dates(spark, folder):
     events = standins.table(spark, folder, "events")
-    moment = F.when(F.col("event_type") == "view", F.date_trunc("second", "ts")).otherwise(F.col("ts")).cast("timestamp_ntz")
+    whole = F.substring(F.col("ts").cast("string"), 1, 19).cast("timestamp_ntz")
+    moment = F.when(F.col("event_type") == "view", whole).otherwise(F.col("ts"))
     return events.select("event_id", dates.iso_text(moment).alias("iso"))
 
 

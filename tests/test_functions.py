@@ -1,5 +1,7 @@
 """Scalar rules: stamps, sizes, paths, camera fields."""
 
+import random
+import re
 from datetime import datetime
 from pathlib import PurePosixPath
 
@@ -81,3 +83,32 @@ def test_camera_rounding_and_degrees(spark):
     rows = frame.select(camera.one_decimal(F.col("f")).alias("f"), camera.decimal_degrees(F.col("d"), F.col("r")).alias("d")).collect()
     assert [r.f for r in rows] == [f"{0.15:.1f}", f"{1.25:.1f}", None]
     assert [r.d for r in rows] == [-(10.0 + 30.0 / 60 + 36.0 / 3600), None, None]
+
+
+def read_one_by_one(text, now):
+    """The stamp rules served by the standard library."""
+    separator = r"[\s\-\./]"
+    ymd = rf"'?(\d{{4}}|\d{{2}}){separator}(\d{{1,2}}){separator}(\d{{1,2}})\b"
+    xy = rf"\b(\d{{1,2}}){separator}(\d{{1,2}}){separator}'?(\d{{4}}|\d{{2}})\b"
+    for pattern, (y, m, d) in ((ymd, (0, 1, 2)), (xy, (2, 0, 1)), (xy, (2, 1, 0))):
+        match = re.search(pattern, text)
+        if match is None:
+            continue
+        parts = [int(g) for g in match.groups()]
+        year = parts[y] if parts[y] >= 100 else parts[y] + (1900 if parts[y] > 30 else 2000)
+        try:
+            day = datetime(year, parts[m], parts[d])
+        except ValueError:
+            continue
+        return day if 1900 <= year and day <= now else None
+    return None
+
+
+def test_stamps_match_standard_library(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0011223999  ./-':") for _ in range(rng.randint(4, 14))) for _ in range(4000)]
+    now = datetime(2025, 1, 1)
+    frame = spark.createDataFrame([(i, i, t, 99.0) for i, t in enumerate(texts)], "file_id long, attempt_seq long, raw_text string, ocr_confidence double")
+    rows = ocr_text.read_stamps(frame, timestamp_literal(str(now))).orderBy("file_id").collect()
+    wrong = [(t, r.stamp_date) for t, r in zip(texts, rows) if r.stamp_date != read_one_by_one(t, now)]
+    assert wrong[:5] == [] and sum(r.stamp_date is not None for r in rows) > 50

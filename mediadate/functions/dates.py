@@ -91,7 +91,8 @@ def gps_date(date_stamp: Column, time_stamp: Column) -> Column:
 def iso_date(text: Column, pattern: str = ISO_DATE) -> Column:
     """ISO 8601 text with at least a full date; a zone offset is read over, the wall clock kept."""
     is_week = text.contains("W") & text.rlike(ISO_WEEK)
-    full = rewritten(F.when(is_week, _calendar_text(text)).otherwise(text), pattern, "$1-$3-$4 $5:$7:$8.$9")
+    # The rare week form is interpreted, which keeps the compiled code of the usual forms small.
+    full = rewritten(F.when(is_week, bound(text, _calendar_text)).otherwise(text), pattern, "$1-$3-$4 $5:$7:$8.$9")
     # Missing fields leave bare separators, which are filled up with zeros.
     for bare, filled in ((" :", " 00:"), ("::", ":00:"), (":.", ":00.")):
         full = F.replace(full, F.lit(bare), F.lit(filled))

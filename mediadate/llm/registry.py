@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediadate.llm import mixing, quality, sharding
+from mediadate.llm import decontamination, mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(_table(spark, folder, "documents"), shingle=4, distance=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     placed = sharding.shard_documents(docs, shards=24)
@@ -43,6 +48,15 @@ def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scanned = decontamination.scan_documents(docs, _table(spark, folder, "benchmark"))
+    return scanned.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"),
+    )
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_documents(_table(spark, folder, "documents"), host="source")
     return judged.select(
@@ -50,5 +64,7 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {query.__name__: query for query in (op1_mix_sources, op5_shards, op8_quality)}
+QUERIES = {query.__name__: query for query in (
+    op1_mix_sources, op2_near_duplicates, op5_shards, op6_decontaminate, op8_quality,
+)}
 SQL: dict[str, str] = {}

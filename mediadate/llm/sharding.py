@@ -2,7 +2,7 @@
 
 Groups stay in the order of their first row. A shard is a run of groups; the capacity is the least
 one for which greedy filling needs no more than the wanted shards. It is found by bisection over
-running totals. The totals lie in a table cut into blocks of neighboring groups. The driver holds
+running totals; the cuts are then moved towards even ones within that capacity. The totals lie in a table cut into blocks of neighboring groups. The driver holds
 one row per block and the running totals of the few blocks in which a cut can fall, at most
 ``BLOCK_GROUPS`` numbers each.
 """
@@ -60,6 +60,15 @@ class RunningTotals:
         place = bisect.bisect_right(ends, x - self.start(index))
         return self.start(index) + (ends[place - 1] if place else 0)
 
+    def ceiling(self, x: int) -> int:
+        """The smallest total that is not below x."""
+        below = self.floor(x)
+        if below >= x or below >= self.total:
+            return below
+        index = bisect.bisect_right(self._ends, x)
+        ends = self._known[index]
+        return self.start(index) + ends[bisect.bisect_right(ends, x - self.start(index))]
+
 
 def greedy_cuts(totals: RunningTotals, capacity: int, shards: int) -> list[int] | None:
     """Ends of the shards filled up to the capacity; none if they do not hold everything."""
@@ -81,7 +90,26 @@ def smallest_capacity(totals: RunningTotals, shards: int) -> tuple[int, list[int
             high = middle
         else:
             low = middle + 1
-    return low, greedy_cuts(totals, low, shards)
+    return low, even_cuts(totals, low, shards)
+
+
+def even_cuts(totals: RunningTotals, capacity: int, shards: int) -> list[int]:
+    """Cuts of shards within the capacity, each as near to an even cut as the rest allows.
+
+    Filled greedily, all but the last shards would be full. The least end of each shard for which
+    the later ones still hold the rest comes from filling backwards.
+    """
+    least = [totals.total]
+    for _ in range(shards - 1):
+        least.append(totals.ceiling(max(0, least[-1] - capacity)))
+    cuts, end = [], 0
+    for k, lowest in enumerate(reversed(least[1:]), start=1):
+        even = totals.total * k // shards
+        below, above = totals.floor(even), totals.ceiling(even)
+        nearest = below if even - below <= above - even else above
+        end = max(end, lowest, min(nearest, totals.floor(end + capacity)))
+        cuts.append(end)
+    return [*cuts, totals.total]
 
 
 def assign_groups(groups: DataFrame, shards: int) -> DataFrame:

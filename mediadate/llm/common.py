@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import tempfile
 import uuid
 
@@ -16,6 +18,28 @@ BROADCAST_ROWS = 100_000
 SALTS = 256
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python process.
+
+    Functions travel to the workers by value, and so do the globals that they use; what a worker
+    has built once is kept here for its later tasks.
+    """
+    return sys.__dict__.setdefault("_mediadate_worker_cache", {})
+
+
+def remembered(function):
+    """Keep the results of a function of hashable arguments in the worker."""
+
+    @functools.wraps(function)
+    def wrapper(*key):
+        kept = worker_cache().setdefault(function.__qualname__, {})
+        if key not in kept:
+            kept[key] = function(*key)
+        return kept[key]
+
+    return wrapper
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other letter stays."""
     return F.translate(text, UPPER, LOWER)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mediadate.llm.common import LOWER, UPPER
+from mediadate.llm.common import LOWER, UPPER, worker_cache
 
 WORDS = 13
 CHUNK = 200_000
@@ -76,21 +76,19 @@ def broadcast_windows(spark: SparkSession, items: DataFrame, words: int = WORDS)
     return [spark.sparkContext.broadcast((uuid.uuid4().hex, part)) for part in [*chunks, chunk] if part]
 
 
-_built: dict = {}
-
-
 def _automaton(chunk) -> ahocorasick.Automaton:
     """The automaton of a chunk; a worker keeps the latest one only."""
     name, windows = chunk.value
-    if _built.get("name") != name:
+    built = worker_cache().setdefault("automaton", {})
+    if built.get("name") != name:
         automaton = ahocorasick.Automaton()
         for window, items in windows:
             spaced = f" {window.decode('latin-1')} "
             automaton.add_word(spaced, (len(spaced), window.count(b" ") + 1, items))
         automaton.make_automaton()
-        _built.clear()
-        _built.update(name=name, automaton=automaton)
-    return _built["automaton"]
+        built.clear()
+        built.update(name=name, automaton=automaton)
+    return built["automaton"]
 
 
 class Scanned:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediadate.llm import decontamination, mixing, quality, sharding, simhash
+from mediadate.llm import decontamination, mixing, quality, sharding, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,7 +65,27 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    records = warc.read_archives(warc.write_archives(pages, least_bytes=0))
+    kind = pages.schema["page_id"].dataType
+    return records.select(
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers").cast(kind).alias("refers_to"),
+    )
+
+
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_table(_table(spark, folder, "documents"))
+
+
+def encode_table(docs: DataFrame) -> DataFrame:
+    """The production parameters: a public vocabulary of 49,408 ids, end id 2."""
+    return token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+
+
 QUERIES = {query.__name__: query for query in (
-    op1_mix_sources, op2_near_duplicates, op5_shards, op6_decontaminate, op8_quality,
+    op1_mix_sources, op2_near_duplicates, op5_shards, op6_decontaminate, op7_warc, op8_quality,
+    op10_token_files,
 )}
 SQL: dict[str, str] = {}

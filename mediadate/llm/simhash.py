@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediadate.llm.common import LOWER, UPPER, join_lookup, settle
+from mediadate.llm.common import LOWER, UPPER, join_lookup, remembered, settle
 from mediadate.llm.components import connected_components
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -66,7 +66,7 @@ def add_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fingerprint long")
 
 
-@functools.cache
+@remembered
 def _syndromes(bits: int) -> np.ndarray:
     """Exclusive or of the positions (from 1) of the set bits, for every value of a block."""
     table = np.zeros(1 << bits, np.int64)
@@ -75,7 +75,7 @@ def _syndromes(bits: int) -> np.ndarray:
     return table
 
 
-@functools.cache
+@remembered
 def _flips(bits: int, covered: bool, slack: int) -> list[list[tuple[int, int]]]:
     """Per syndrome: the flips (mask, weight) that reach an anchor, up to ``slack`` beyond the nearest."""
     found: list[list[tuple[int, int]]] = [[] for _ in range(bits + 1 if covered else 1)]
@@ -86,7 +86,7 @@ def _flips(bits: int, covered: bool, slack: int) -> list[list[tuple[int, int]]]:
     return [[flip for flip in flips if flip[1] <= flips[0][1] + slack] for flips in found]
 
 
-@functools.cache
+@remembered
 def part_table(part: tuple, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """Masks and their distance beyond the nearest anchor, by the part's joint syndrome; 255: none."""
     rows = []

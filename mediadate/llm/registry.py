@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediadate.llm import decontamination, mixing, quality, sharding, simhash, token_files, warc
+from mediadate.llm import decontamination, language_model, mixing, quality, sharding, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.score_documents(_table(spark, folder, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return encode_table(_table(spark, folder, "documents"))
 
@@ -86,6 +91,6 @@ def encode_table(docs: DataFrame) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_mix_sources, op2_near_duplicates, op5_shards, op6_decontaminate, op7_warc, op8_quality,
-    op10_token_files,
+    op9_language_model, op10_token_files,
 )}
 SQL: dict[str, str] = {}

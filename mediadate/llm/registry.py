@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediadate.llm import decontamination, language_model, mixing, quality, sharding, simhash, token_files, warc
+from mediadate.llm import decontamination, language_model, mixing, quality, repeats, sharding, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    removed = repeats.remove_repeats(_table(spark, folder, "documents"), length=100)
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return removed.select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
+    )
+
+
 def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     placed = sharding.shard_documents(docs, shards=24)
@@ -90,7 +98,7 @@ def encode_table(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_mix_sources, op2_near_duplicates, op5_shards, op6_decontaminate, op7_warc, op8_quality,
+    op1_mix_sources, op2_near_duplicates, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
     op9_language_model, op10_token_files,
 )}
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from mediadate.llm.common import LOWER, UPPER, worker_cache
 
@@ -128,16 +128,18 @@ class Scanned:
         return self.n_words, n_hit, sorted({item for hit in self.hits for item in hit[2]}), spans
 
 
-def scan_documents(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
+def scan_documents(docs: DataFrame, items: DataFrame, words: int = WORDS, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, items (ids as strings) and spans.
 
     A word inside any occurrence of a window is hit. Spans are code points of the original text.
-    All columns of ``docs`` pass through; its columns of these four names are replaced. Null and
+    All columns of ``docs`` pass through; the four are named with ``prefix`` before, and columns of
+    ``docs`` that have their names are replaced. Null and
     empty texts have no words and no hits, items without words no windows; without items nothing is
     hit. Repeated rows get equal results; an empty table gives an empty result.
     """
     chunks = broadcast_windows(docs.sparkSession, items, words)
-    names = ("n_words", "n_hit", "items", "spans")
+    added = [StructField(prefix + field.name, field.dataType) for field in StructType.fromDDL(SCHEMA).fields]
+    names = [field.name for field in added]
     docs = docs.drop(*names)
 
     def work(batches):
@@ -152,12 +154,19 @@ def scan_documents(docs: DataFrame, items: DataFrame, words: int = WORDS) -> Dat
                 pa.int64(), pa.int64(), pa.list_(pa.string()),
                 pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.string()))])),
             )
-            added = [pa.array(list(column), kind) for column, kind in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+            found = [pa.array(list(column), kind) for column, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, *StructType.fromDDL(SCHEMA).fields]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, *added]))
 
 
-def contaminated():
+def contaminated(prefix: str = ""):
     """At least one word hit in twenty."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    n_hit, n_words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    scanned = scan_documents(docs, items, words, prefix="_scan_")
+    return scanned.where(~contaminated("_scan_")).select(*docs.columns)

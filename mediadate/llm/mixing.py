@@ -211,3 +211,20 @@ def _fill(rows: DataFrame, rounds: int, closeness: float) -> DataFrame:
         copies.cast("int").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def repeat_documents(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: int = 2, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it.
+
+    Copies go by doc_id, source and size, in which rows that are drawn alike agree.
+    """
+    mixed = mix_documents(docs, weights, share, most, **options).where("copies > 0")
+    copies = mixed.select(
+        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.sequence(F.lit(1), F.col("copies")).alias("_copies"),
+    )
+    copies = settle(copies.distinct())
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    same = docs["doc_id"].eqNullSafe(copies["_doc_id"]) & docs["source"].eqNullSafe(copies["_source"]) & (size == copies["_size"])
+    joined = docs.join(copies, same)
+    return joined.withColumn("_copy", F.explode("_copies")).select(*(docs[name] for name in docs.columns))

@@ -47,13 +47,13 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def measure_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts per document: doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+    """Counts per document: doc_id, text_hash, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Null texts have no words, characters or lines; null hosts are one host. Rows are independent.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: _length_without(line, WHITE) > 0)
-    base = docs.select("doc_id", F.col(host).alias("host"), text.alias("text"), word_list(text).alias("words"), lines.alias("lines"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(host).alias("host"), text.alias("text"), word_list(text).alias("words"), lines.alias("lines"))
     windows = F.when(
         F.size("words") >= 3,
         F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
@@ -62,6 +62,7 @@ def measure_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     as_long = lambda value, name: value.cast("long").alias(name)
     return base.select(
         "doc_id",
+        "text_hash",
         "host",
         as_long(F.size("words"), "n_words"),
         as_long(_length_without(F.col("text"), WHITE), "word_chars"),
@@ -138,3 +139,14 @@ def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = PO
     judged = settle(judged.withColumn("soft_failed", soft_failed()))
     joined = join_lookup(judged, host_verdicts(judged, poor_rate), ["host_key"], "doc_id")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_poor") & F.col("soft_failed"))).drop("host_key")
+
+
+def keep_good(docs: DataFrame, host: str = "source", poor_rate: float = POOR_RATE) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The few rejected rows are told by doc_id and text; an anti-join takes them out.
+    """
+    judged = judge_documents(docs, host, poor_rate)
+    rejected = settle(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct())
+    same = docs["doc_id"].eqNullSafe(rejected["_doc_id"]) & (F.xxhash64(docs["text"]) == rejected["_hash"])
+    return docs.join(rejected, same, "left_anti")

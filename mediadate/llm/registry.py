@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediadate.llm import decontamination, language_model, mixing, quality, repeats, sharding, simhash, token_files, warc
+from mediadate.llm import decontamination, language_model, mixing, quality, repeats, secret_scan, sharding, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, folder, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secret_scan.describe(base), 256).alias("base_sha256"),
+        secret_scan.describe(F.concat(base, F.col("linked"))).alias("spans"),
+    )
+
+
 def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     removed = repeats.remove_repeats(_table(spark, folder, "documents"), length=100)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
@@ -98,7 +108,7 @@ def encode_table(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_mix_sources, op2_near_duplicates, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
+    op1_mix_sources, op2_near_duplicates, op3_secret_scan, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
     op9_language_model, op10_token_files,
 )}
 SQL: dict[str, str] = {}

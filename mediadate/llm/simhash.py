@@ -55,15 +55,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def add_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (long) of every row; null texts have no words."""
+    """doc_id, text_hash and fingerprint (long) of every row; null texts have no words."""
 
     def work(batches):
         for batch in batches:
             values = [fingerprint(text, shingle) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fingerprint"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(values, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fingerprint long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, fingerprint long")
 
 
 @remembered
@@ -231,20 +233,38 @@ def _compare_runs(columns, runs, distance):
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id of every row.
+    """doc_id, text_hash, fingerprint (long), component_id and component_text of every row.
 
     Fingerprints link at ``distance`` or fewer differing bits; component_id is the smallest doc_id
-    that links reach. Rows with one fingerprint are one node, however many they are. Texts without
+    that links reach, component_text the hash of its text. Rows with one fingerprint are one node, however many they are. Texts without
     words and null texts have fingerprint 0 and link like any other. Null doc_ids are rows like
     others, but only name a component that has no other. Repeated rows stay repeated; an empty
     table gives an empty result. Other columns are not read.
     """
     rows = settle(add_fingerprints(docs, shingle))
-    nodes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash"))
+    nodes = settle(rows.groupBy("fingerprint").agg(first.alias("first")))
     links = fingerprint_links(nodes.select("fingerprint"), distance)
     roots = connected_components(links).select(F.col("node").alias("fingerprint"), "root")
     known = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     known = settle(known)
-    named = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    labeled = settle(known.join(named, "root").select("fingerprint", "component_id"))
-    return rows.join(labeled, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = known.groupBy("root").agg(F.min("first").alias("first"))
+    names = [F.col("named.doc_id").alias("component_id"), F.col("named.text_hash").alias("component_text")]
+    labeled = known.join(named.withColumnRenamed("first", "named"), "root").select("fingerprint", *names)
+    return rows.join(settle(labeled), "fingerprint")
+
+
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with all their columns.
+
+    That is the row with the smallest doc_id, of equal ids the one with the smallest text hash, of
+    rows equal in both any one. The others are told by doc_id and text and taken out.
+    """
+    groups = settle(near_duplicate_groups(docs, shingle, distance))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_text"))
+    others = groups.where(~stays).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct()
+    others = settle(others)
+    same = docs["doc_id"].eqNullSafe(others["_doc_id"]) & (F.xxhash64(docs["text"]) == others["_hash"])
+    kept = docs.join(others, same, "left_anti")
+    repeated = groups.where(stays).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

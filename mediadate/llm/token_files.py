@@ -12,6 +12,8 @@ from start // BLOCK_IDS on; block offsets lead to them, and numpy unpacks whole
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediadate.llm.common import file_system, partitions, remembered, settle, shared_folder, worker_cache
+from mediadate.llm.common import file_system, partitions, remembered, settle, shared_folder
 
 MAGIC = b"IDPACK01"
 TAIL = "<QQQII8s"
@@ -131,33 +133,84 @@ class PackedReader:
             number = stop
 
 
-@remembered
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+# The normalisation and splitting for which pieces may be encoded one by one. White
+# space is dropped before anything else, letters are lower-cased, and the rest is cut by a pattern.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLITTER = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+}
 
-    return Tokenizer.from_file(path)
+# Pieces of these characters need no NFC, and each letter has one lower case of one character.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of every text; null is empty.
+class PieceEncoder:
+    """Encodes texts and remembers the pieces between spaces and the parts of pieces.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its
-    pieces between spaces, one after the other. Equal pieces are encoded once per worker; it
-    remembers ``CACHED`` pieces and then starts anew.
+    With the known normalisation and splitting a text's ids are those of its pieces one after the
+    other, and a plain piece's ids are those of its parts. Any other tokenizer gets whole texts.
+    Both memories start anew at ``CACHED`` entries.
     """
-    known = worker_cache().setdefault(f"pieces of {path}", {})
-    split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-    missing = list({piece for pieces in split for piece in pieces if piece not in known})
-    found = {}
-    for k in range(0, len(missing), 20_000):
-        part = missing[k : k + 20_000]
-        for piece, encoded in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)):
-            found[piece] = np.array(encoded.ids, "<u4").tobytes()
-    known.update(found)
-    result = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
-    if len(known) > CACHED:
-        known.clear()
-    return result
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shape = json.loads(self.tokenizer.to_str())
+        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        added = [token["content"] for token in shape["added_tokens"]]
+        self.by_piece = shape["normalizer"] == NORMALIZER and splits[0] == SPLITTER and not any(re.search(r"\s", t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        if self.by_piece:
+            letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+            self.bytes_of = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            tokens = self.model.tokenize(part if part.isascii() else part.translate(self.bytes_of))
+            ids = self.parts[part] = np.array([token.id for token in tokens], "<u4").tobytes()
+        return ids
+
+    def _learn(self, missing: set[str]) -> None:
+        others = []
+        for piece in missing:
+            if PLAIN.fullmatch(piece) and not self.added.search(piece):
+                self.pieces[piece] = b"".join(map(self._part, PART.findall(piece.lower())))
+            else:
+                others.append(piece)
+        for piece, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.pieces[piece] = np.array(encoded.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_piece:
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(one.ids, "<u4") for one in encoded]
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self._learn({piece for pieces in split for piece in pieces if piece not in self.pieces})
+        result = [np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4") for pieces in split]
+        for memory in (self.pieces, self.parts):
+            if len(memory) > CACHED:
+                memory.clear()
+        return result
+
+
+@remembered
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
+def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of every text; null is empty. A worker keeps its encoder."""
+    return _encoder(path).encode([text or "" for text in texts])
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:

@@ -15,6 +15,7 @@ from mediadate.llm.common import WHITE, join_lookup, settle, word_list
 
 SYMBOLS = "#*$%&|<>"
 POOR_RATE = 0.5
+LEAST_PRIOR = 5.0
 
 
 def _length_without(text: Column, characters: str) -> Column:
@@ -113,16 +114,16 @@ def host_verdicts(measured: DataFrame, poor_rate: float = POOR_RATE) -> DataFram
 
 
 def beta_prior(hosts: int, documents: int, failed: int, rates: float, squares: float) -> tuple[float, float]:
-    """Mean and strength (in documents) of the prior over host rates; at most 1e6 documents."""
+    """Mean and strength of the prior over host rates; it counts as 5 to 1,000,000 documents."""
     if not documents:
-        return 0.0, 1.0
+        return 0.0, LEAST_PRIOR
     mean = failed / documents
     spread = mean * (1 - mean)
     scale = documents - squares / documents
     if hosts < 2 or spread == 0 or scale <= 0:
-        return mean, 1e6 if hosts > 1 else 1.0
+        return mean, 1e6 if hosts > 1 else LEAST_PRIOR
     between = (rates - documents * mean * mean - (hosts - 1) * spread) / scale
-    return mean, max(1e-3, min(1e6, spread / between - 1 if between > 0 else 1e6))
+    return mean, max(LEAST_PRIOR, min(1e6, spread / between - 1 if between > 0 else 1e6))
 
 
 def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = POOR_RATE) -> DataFrame:

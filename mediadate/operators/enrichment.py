@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from mediadate import settings
 from mediadate.functions import dates, paths
 from mediadate.operators import audit, duplicates
+from mediadate.operators.lineage import settle_table
+from mediadate.operators.naming import unique_destination
 from mediadate.operators.scoring import score_dates
 from mediadate.operators.skew import spread_join
 
@@ -75,6 +77,8 @@ def sidecar_signals(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     bare = F.regexp_replace(name, r"(?i)(\.supplemental-metadata)?\.(json|xmp|thm)\z", "")
     kind = paths.extension(path)
     seconds = F.get_json_object("content", "$.photoTakenTime.timestamp").try_cast("long")
+    # Seconds outside the years 1 to 9999 (a stamp in milliseconds, say) are no date.
+    seconds = F.when(seconds.between(-62_135_596_800, 253_402_300_799), seconds)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     date = (
         F.when(kind == ".json", epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
@@ -94,21 +98,24 @@ def sidecar_signals(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return found.select("file_id", number[F.col("source")].alias("seq"), "source", "date", base[F.col("source")].alias("base_confidence"))
 
 
-def sequence_signals(files: DataFrame, block_bits: int = 20) -> DataFrame:
+def sequence_signals(files: DataFrame) -> DataFrame:
     """Date of an undated numbered file whose numbered neighbors on both sides share a day.
 
     ``files`` holds ``file_id, path`` and ``date`` (null when undated). The nearest dated number on
-    each side is found per block of numbers and carried across blocks, so a folder with a third of
-    all files is no single window.
+    each side is found per block of a million numbers and carried across blocks, so a folder with a
+    third of all files is no single window. Numbers have any length: a block is the count of digits
+    and all digits but the last six, which sorts as text, and the place in it the last six.
     """
     stem = paths.stem(paths.file_name(F.col("path")))
-    number = F.regexp_extract(stem, NUMBERED_NAME, 2).try_cast("long")
+    digits = F.regexp_replace(F.regexp_extract(stem, NUMBERED_NAME, 2), r"^0+(?=\d)", "")
+    size = F.length("digits")
     numbered = files.select(
         "file_id", "date", paths.parent_folder(F.col("path")).alias("folder"),
-        F.regexp_extract(stem, NUMBERED_NAME, 1).alias("prefix"), number.alias("number"),
-    ).filter("number is not null")
+        F.regexp_extract(stem, NUMBERED_NAME, 1).alias("prefix"), digits.alias("digits"),
+    ).filter("digits <> ''")
     series = ["folder", "prefix"]
-    numbered = numbered.withColumn("block", F.shiftright("number", block_bits))
+    block = F.concat(F.lpad(size.cast("string"), 5, "0"), F.left("digits", F.greatest(size - 6, F.lit(0))))
+    numbered = numbered.withColumns({"block": block, "number": F.right("digits", F.lit(6)).cast("int")}).drop("digits")
     # The dated neighbor is a number; its date is the earliest of the files that carry the number.
     points = numbered.filter("date is not null").groupBy(*series, "block", "number").agg(F.min("date").alias("date"))
     mark = F.struct("number", "date")
@@ -148,22 +155,44 @@ def date_conflicts(entries: DataFrame, archive_root: str) -> DataFrame:
 
 
 def fix_plan(listing: DataFrame, catalog: DataFrame, archive_root: str) -> DataFrame:
-    """What would bring disk and catalog together again; nothing is carried out."""
-    sections = audit.classify(listing, catalog).filter("section <> 'matched'")
-    action = F.when(F.col("section") == "undocumented", "add_to_catalog").otherwise("drop_from_catalog")
-    rows = sections.select(action.alias("action"), F.col("path"), F.lit(None).cast("string").alias("target"))
-    moves = audit.misplaced_files(listing, catalog, archive_root).select(
-        F.lit("move").alias("action"), F.col("archive_path").alias("path"),
-        F.concat_ws("/", F.lit(archive_root.rstrip("/")), "expected_relative_path").alias("target"),
+    """What would bring disk and catalog together again; nothing is carried out.
+
+    Disk and catalog meet once. Moves are served by catalog ``id`` against the names on either side,
+    so that no target is taken or given out twice.
+    """
+    path = F.col("path")
+    disk = listing.select("path", F.lit(True).alias("on_disk"))
+    records = catalog.select(
+        F.col("archive_path").alias("path"), "id", paths.dated_folder(audit.effective_date(catalog)).alias("expected"), F.lit(True).alias("known")
+    )
+    both = disk.join(records, "path", "full_outer").withColumns(
+        {"folder": paths.parent_folder(path), "name": paths.file_name(path)}
     )
-    return rows.unionByName(moves)
+    misplaced = F.col("expected") != paths.placed_folder(path, archive_root)
+    action = (
+        F.when(F.col("known").isNull(), "add_to_catalog").when(F.col("on_disk").isNull(), "drop_from_catalog").when(misplaced, "move")
+    )
+    both = settle_table(both.select("id", "path", "folder", "name", "expected", action.alias("action")))
+    moves = both.filter("action = 'move'").select(
+        "id", "path", paths.under_root(archive_root, F.col("expected")).alias("folder"), "name"
+    )
+    planned = unique_destination(settle_table(moves), both.select("folder", "name"))
+    planned = planned.select(F.lit("move").alias("action"), "path", F.concat_ws("/", "folder", "dest_name").alias("target"))
+    others = both.filter("action <> 'move'").select("action", "path", F.lit(None).cast("string").alias("target"))
+    return others.unionByName(planned)
 
 
 def skip_identical(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Files to import whose bytes the archive does not hold yet."""
+    """Files to import whose bytes the archive does not hold yet, the first path of each content.
+
+    The first one is a minimum, combined before the shuffle, so a content that most files share
+    leaves one row per task. Files without a hash are all kept.
+    """
     held = catalog.select(duplicates.known_hash(F.col("file_hash")).alias("file_hash")).filter("file_hash is not null")
-    unhashed = candidates.filter("file_hash is null")
-    return spread_join(candidates, held.distinct(), "file_hash", "path", "left_anti").unionByName(unhashed)
+    row = F.struct(*candidates.columns)
+    hashed = candidates.filter("file_hash is not null")
+    first = hashed.groupBy("file_hash").agg(F.min_by(row, "path").alias("_row")).select("_row.*")
+    return first.join(held.distinct(), "file_hash", "left_anti").select(*candidates.columns).unionByName(candidates.filter("file_hash is null"))
 
 
 def rescore_uncertain(

@@ -100,11 +100,31 @@ def plan_corrections(
     )
 
 
-def correction_results(guarded: DataFrame, planned: DataFrame) -> DataFrame:
-    """One result per correction: success, the new path, or the error."""
+def carried_out(planned: DataFrame, outcomes: DataFrame | None) -> DataFrame:
+    """The planned corrections whose move succeeded; all of them if nothing had to be moved."""
+    if outcomes is None:
+        return planned
+    return planned.join(outcomes.filter("outcome = 'moved'").select("new_archive_path"), "new_archive_path", "left_semi")
+
+
+def correction_results(guarded: DataFrame, planned: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """One result per correction: success, the new path, or the error.
+
+    ``outcomes`` of the moves (``new_archive_path, outcome, error``) add the last refusal: a file
+    that could not be moved keeps its place, and the error says why.
+    """
     new = planned.select("seq", "new_archive_path")
-    return guarded.join(new, "seq", "left").select(
-        "seq", "file_id", F.col("error").isNull().alias("success"), "superseded", "new_archive_path", "error"
+    error = F.col("error")
+    if outcomes is not None:
+        failed = outcomes.filter("outcome <> 'moved'").select(
+            "new_archive_path", F.coalesce("error", F.lit("The file was not moved.")).alias("_failure")
+        )
+        new = new.join(failed, "new_archive_path", "left")
+        error = F.coalesce("error", "_failure")
+    joined = guarded.join(new, "seq", "left").withColumn("error", error)
+    return joined.select(
+        "seq", "file_id", F.col("error").isNull().alias("success"), "superseded",
+        F.when(F.col("error").isNull(), F.col("new_archive_path")).alias("new_archive_path"), "error",
     )
 
 

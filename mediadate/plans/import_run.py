@@ -22,21 +22,24 @@ def run_import(
     *,
     as_of: Column,
     added_at: Column,
-    on_disk: DataFrame | None = None,
+    on_disk: DataFrame,
 ) -> DataFrame:
     """Copy every file that passes, write the new catalog and inventory, return the run's counters.
 
     The plan and the outcome of each copy are written below ``work_folder`` first, so both
     snapshots come from one and the same outcome. ``on_disk`` lists what the archive folder holds
-    (``path``), so that names of files the catalog does not know stay taken, too.
+    (``path``), so that names of files the catalog does not know stay taken, too. The catalog is
+    written before the inventory; a run that ended between them is made good by the next one, which
+    takes files that the catalog names as a source for imported.
     """
     spark = evidence.sparkSession
     files, catalog = located.read(), archived.read()
+    archived_before = catalog.select(F.col("source_path").alias("file_path")).distinct().withColumn("_held", F.lit(True))
+    status = F.when(F.col("_held") & (F.col("status") == "located"), "imported").otherwise(F.col("status"))
+    files = files.join(archived_before, "file_path", "left").withColumn("status", status).select(*files.columns)
     eligible = importing.eligible_files(files, run.extensions)
     outcomes = settle_table(importing.import_outcomes(eligible, present, evidence, run, as_of=as_of))
-    taken = catalog.select("archive_path")
-    if on_disk is not None:
-        taken = taken.union(on_disk.select(F.col("path").alias("archive_path")))
+    taken = catalog.select("archive_path").union(on_disk.select(F.col("path").alias("archive_path")))
 
     plan_folder, result_folder = f"{work_folder}/plan", f"{work_folder}/copied"
     importing.plan_destinations(outcomes, taken).write.mode("overwrite").parquet(plan_folder)

@@ -93,7 +93,7 @@ REASON = f"""case when file_size < {FILTERS.min_file_size} then 'below min size
 
 ELIGIBLE = f"status <> 'imported' and lower({suffix('path')}) in ('.jpg', '.jpeg', '.tif', '.mp4')"
 OUTCOMES = f"""{SCORED}, flagged as (select *, {REASON} as why, event_type <> 'click' or k >= 10 as there from photos where {ELIGIBLE}),
-    outcomes as (select f.file_id as id, path as source_path, lower({suffix('path')}) as file_extension, file_size, k, user_id, event_type, case when not there then 'missing' when why is not null then 'excluded' else 'planned' end as outcome,
+    outcomes as (select f.file_id as id, path as source_path, lower({suffix('path')}) as file_extension, file_size, k, user_id, event_type, gps_minute, gps_second, value, case when not there then 'missing' when why is not null then 'excluded' else 'planned' end as outcome,
         case when there then why end as exclude_reason, s.date_taken, s.date_source, s.filesystem_creation_date, s.confidence, s.date_reason, cast(s.confidence < 50 as integer) as date_uncertain,
         '/archive/' || case when s.confidence < 50 then '_review_needed' else strftime(s.date_taken, '%Y/%m/%d') end as folder, {NAME.format('path')} as name
         from flagged f join scored s using (file_id))"""
@@ -101,11 +101,12 @@ PLANNED_ONLY = ", ".join(
     f"case when outcome = 'planned' then {c} end as {c}"
     for c in ("folder", "name", "date_taken", "date_source", "filesystem_creation_date", "confidence", "date_reason", "date_uncertain")
 )
+LATITUDE = "(cast(k as double) + gps_minute / 60.0 + gps_second / 3600.0)"
 PLACED = """placed as (select *, row_number() over (partition by folder, name order by id) - 1 as place from outcomes where outcome = 'planned'),
     named as (select *, case when place = 0 then name else regexp_extract(name, '^(.+)\\.[^.]+$', 1) || ' (' || place || ')' || regexp_extract(name, '^.+(\\.[^.]+)$', 1) end as dest_name from placed)"""
 
 LISTING = "listing as (select * from archived where on_disk)"
-CATALOG = "catalog as (select id, path as archive_path, file_size, date_taken, user_corrected_date, date_uncertain, confidence, date_added from archived where in_catalog)"
+CATALOG = "catalog as (select id, path as archive_path, file_size, date_taken, user_corrected_date, date_uncertain, confidence, date_added, cast(null as timestamp) as corrected_at from archived where in_catalog)"
 ARCHIVE = f"{over('archived')}, {LISTING}, {CATALOG}"
 ACTUAL = r"case when regexp_matches({0}, '^/archive/[^/]+/[^/]+/[^/]+/') then regexp_extract({0}, '^/archive/([^/]+/[^/]+/[^/]+)/', 1) end"
 DAY = "strftime({0}, '%Y/%m/%d')"
@@ -206,14 +207,14 @@ SQL = {
     "unique_destination_existing": f"""{OUTCOMES}, taken as (select distinct k, user_id % 9 as number from photos),
         placed as (select *, row_number() over (partition by folder, name order by id) - case when folder = '/archive/_review_needed' and name = 'IMG_' || k || '.jpg'
             and exists (select 1 from taken t where t.k = outcomes.k and number = 0) then 0 else 1 end as place from outcomes where outcome = 'planned'),
-        numbers as (select k, n, row_number() over (partition by k order by n) as nth from (select distinct k from photos) u, range(1, 5000) r(n)
+        numbers as (select k, n, row_number() over (partition by k order by n) as nth from (select distinct k from photos) u, range(1, (select count(*) + max(user_id % 9) + 2 from photos)) r(n)
             where not exists (select 1 from taken t where t.k = u.k and t.number = r.n)),
         picked as (select p.id, p.folder, p.name, p.place, case when p.folder = '/archive/_review_needed' and p.name = 'IMG_' || p.k || '.jpg' then n.n else p.place end as number
             from placed p left join numbers n on n.k = p.k and n.nth = p.place)
         select id, folder, case when place = 0 then name else regexp_extract(name, '^(.+)\\.[^.]+$', 1) || ' (' || number || ')' || regexp_extract(name, '^.+(\\.[^.]+)$', 1) end as dest_name from picked""",
     "import_records": f"""{OUTCOMES}, {PLACED} select id, folder || '/' || dest_name as archive_path, source_path, file_extension, file_size, date_taken, date_source, filesystem_creation_date,
         date_uncertain, {ADDED_AT} as date_added, 'Maker' || user_id as camera_make, case when k > 10 then event_type end as camera_model, cast(null as varchar) as aperture,
-        cast(k as varchar) as iso_speed, cast(null as varchar) as focal_length_mm, confidence, date_reason from named where confidence <> 98""",
+        cast(k as varchar) as iso_speed, cast(null as varchar) as focal_length_mm, case when k % 2 = 0 then -{LATITUDE} else {LATITUDE} end as gps_latitude, case when value > 20 then -(cast(k as double) + gps_minute / 60.0 + 0.0 / 3600.0) end as gps_longitude, confidence, date_reason from named where confidence <> 98""",
     "status_update": f"""{OUTCOMES} select file_id as id, path as file_path, case outcome when 'planned' then 'imported' when 'excluded' then 'excluded' else status end as status
         from photos left join outcomes on id = file_id""",
     "import_summary": f"""{OUTCOMES} select count(*) filter (outcome = 'planned') as copied, count(*) filter (outcome = 'planned' and date_uncertain = 1) as review,
@@ -248,6 +249,12 @@ SQL = {
     "file_details": f"{ARCHIVE} {LOCATED} id = 78",
     "correction_guard": f"{GUARD} select seq, file_id, error, superseded from guarded",
     "correction_results": f"""{GUARD} select g.seq, g.file_id, g.error is null as success, g.superseded, m.new_archive_path, g.error from guarded g left join moves m on m.seq = g.seq""",
+    "correction_moves": f"""{GUARD} select g.seq, g.file_id, g.error is null and (m.seq is null or g.seq % 7 <> 0) as success, g.superseded,
+        case when g.seq % 7 <> 0 then m.new_archive_path end as new_archive_path, coalesce(g.error, case when m.seq is not null and g.seq % 7 = 0 then 'No space left on device' end) as error
+        from guarded g left join moves m on m.seq = g.seq""",
+    "apply_moved_corrections": f"""{GUARD} select c.id, coalesce(m.new_archive_path, c.archive_path) as archive_path, c.file_size, c.date_taken, coalesce(m.corrected_date, c.user_corrected_date) as user_corrected_date,
+        cast(case when m.seq is null then c.date_uncertain else 0 end as integer) as date_uncertain, c.confidence, c.date_added, case when m.seq is not null then {ADDED_AT} end as corrected_at
+        from catalog c left join moves m on m.file_id = c.id and m.seq % 7 <> 0""",
     "apply_corrections": f"""{GUARD} select c.id, coalesce(m.new_archive_path, c.archive_path) as archive_path, c.file_size, c.date_taken, coalesce(m.corrected_date, c.user_corrected_date) as user_corrected_date,
         cast(case when m.seq is null then c.date_uncertain else 0 end as integer) as date_uncertain, c.confidence, c.date_added, case when m.seq is not null then {ADDED_AT} end as corrected_at
         from catalog c left join moves m on m.file_id = c.id""",
@@ -278,7 +285,7 @@ SQL = {
     "metadata_extract": f"""{over('photos')}, p as (select *, event_type <> 'error' as ok, replace(substr(cast(ts as varchar), 1, 19), '-', ':') as d from photos)
         select file_id, path, ok as has_exif, case when ok then d end as date_time_original, cast(null as varchar) as date_time_digitized, case when ok then d end as tiff_datetime,
         case when ok then replace(substr(cast(ts as varchar), 1, 19), ' ', 'T') end as xmp_create_date, cast(null as varchar) as xmp_modify_date,
-        case when ok then 'Maker' || lpad(cast(k as varchar), 2, '0') end as make, cast(null as varchar) as model, case when ok then 'f/2.8' end as aperture,
+        case when ok then 'Maker' || lpad(cast(k as varchar), 10, '0') end as make, cast(null as varchar) as model, case when ok then 'f/2.8' end as aperture,
         case when ok then cast(user_id as varchar) end as iso_speed, case when ok then '50.5mm' end as focal_length_mm, cast(null as varchar) as error from p""",
     "hash_twin_signal": f"""{over('texts')}, {TEXT_CATALOG}, best as (select file_hash, coalesce(user_corrected_date, date_taken) as date, row_number() over (partition by file_hash
             order by user_corrected_date is not null desc, confidence desc, id) as rn from held where (user_corrected_date is not null or confidence >= 90) and quality = 1)
@@ -298,7 +305,8 @@ SQL = {
         max(folder) as last_folder from p where folder is not null group by 1 having count(distinct folder) > 1""",
     "audit_fix_plan": f"""{over('archived')}, {MISPLACED} select case when on_disk then 'add_to_catalog' else 'drop_from_catalog' end as action, path, cast(null as varchar) as target
         from archived where on_disk <> in_catalog union all select 'move', archive_path, '/archive/' || expected_relative_path from misplaced""",
-    "import_skip_dupes": f"{over('texts')} select id as file_id, path from texts where sha256(text) not in (select sha256(text) from texts where quality = 1)",
+    "import_skip_dupes": f"""{over('texts')} select arg_min(id, path) as file_id, min(path) as path from texts where sha256(text) not in (select sha256(text) from texts where quality = 1)
+        group by sha256(text)""",
     "rescore_uncertain": f"""{SCORED}, unsure as (select file_id from scored where confidence < 50), more as (select * from (select * from signals
             union all select file_id, 14, 'filename_pattern', date_trunc('day', ts), 75 from photos) where file_id in (select file_id from unsure)),
         """

@@ -193,8 +193,7 @@ def unique_destination_numbered(spark, folder):
 def import_records(spark, folder):
     done = settle_table(copied(spark, folder))
     held = done.filter("confidence = 98").select("archive_path")
-    records = importing.import_records(done, held, added_at=scoring.timestamp_literal(standins.ADDED_AT))
-    return records.drop("gps_latitude", "gps_longitude")
+    return importing.import_records(done, held, added_at=scoring.timestamp_literal(standins.ADDED_AT))
 
 
 @query
@@ -223,7 +222,7 @@ def audit_classify(spark, folder):
 
 @query
 def audit_missing(spark, folder):
-    return audit.missing_files(*audit_sides(spark, folder)).drop("corrected_at")
+    return audit.missing_files(*audit_sides(spark, folder))
 
 
 @query
@@ -342,19 +341,19 @@ def dup_cache_counters_source(spark, folder):
 @query
 def review_queue(spark, folder):
     listing, catalog = audit_sides(spark, folder)
-    return review.review_queue(catalog.drop("corrected_at"), listing)
+    return review.review_queue(catalog, listing)
 
 
 @query
 def review_top_n(spark, folder):
     listing, catalog = audit_sides(spark, folder)
-    return review.review_top(catalog.drop("corrected_at"), listing, 25)
+    return review.review_top(catalog, listing, 25)
 
 
 @query
 def file_details(spark, folder):
     listing, catalog = audit_sides(spark, folder)
-    return review.file_details(catalog.drop("corrected_at"), listing, 78)
+    return review.file_details(catalog, listing, 78)
 
 
 def guarded(spark, folder):
@@ -377,6 +376,28 @@ def correction_results(spark, folder):
     return review.correction_results(guarded(spark, folder), planned_corrections(spark, folder))
 
 
+def move_outcomes(spark, folder):
+    """What a mover reports: every seventh correction meets a full disk."""
+    planned = planned_corrections(spark, folder)
+    failed = F.col("seq") % 7 == 0
+    return planned, planned.select(
+        "new_archive_path", F.when(failed, "failed").otherwise("moved").alias("outcome"), F.when(failed, "No space left on device").alias("error")
+    )
+
+
+@query
+def correction_moves(spark, folder):
+    planned, outcomes = move_outcomes(spark, folder)
+    return review.correction_results(guarded(spark, folder), planned, outcomes)
+
+
+@query
+def apply_moved_corrections(spark, folder):
+    planned, outcomes = move_outcomes(spark, folder)
+    stamp = scoring.timestamp_literal(standins.ADDED_AT)
+    return review.apply_corrections(standins.catalog(spark, folder), review.carried_out(planned, outcomes), corrected_at=stamp)
+
+
 @query
 def apply_corrections(spark, folder):
     stamp = scoring.timestamp_literal(standins.ADDED_AT)
@@ -495,7 +516,7 @@ def xmp_signal(spark, folder):
 def metadata_extract(spark, folder):
     photos = standins.view(spark, folder, "photos")
     stamp = F.regexp_replace(F.substring(F.col("ts").cast("string"), 1, 19), "-", ":")
-    maker = F.concat(F.lit("Maker"), F.lpad(F.col("k").cast("string"), 2, "0"))
+    maker = F.concat(F.lit("Maker"), F.lpad(F.col("k").cast("string"), 10, "0"))
     body = "<ns:CreateDate>{}</ns:CreateDate>"
     head, tail = standins.PACKET.replace("{0}", "ns").replace("{1}", body).split("{}")
     created = F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T"))

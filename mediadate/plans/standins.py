@@ -235,23 +235,23 @@ def _hex(text: Column) -> Column:
 
 
 def jpeg_bytes(camera_date: Column, maker: Column, iso: Column, packet: Column, packet_length: int) -> Column:
-    """A small JPEG with EXIF and XMP segments; ``maker`` has 7 characters, ``camera_date`` 19."""
+    """A small JPEG with EXIF and XMP segments; ``maker`` has 15 characters, ``camera_date`` 19, ``iso`` 32 bits."""
 
     def entry(tag, kind, count, value):
         return struct.pack(">HHII", tag, kind, count, value).hex()
 
     main, nested, data = 8, 8 + 2 + 3 * 12 + 4, 8 + 2 + 3 * 12 + 4 + 2 + 4 * 12 + 4
-    maker_at, date_at, f_at = data, data + 8, data + 28
-    directory = struct.pack(">H", 3).hex() + entry(0x010F, 2, 8, maker_at) + entry(0x0132, 2, 20, date_at)
+    maker_at, date_at, f_at = data, data + 16, data + 36
+    directory = struct.pack(">H", 3).hex() + entry(0x010F, 2, 16, maker_at) + entry(0x0132, 2, 20, date_at)
     directory += entry(0x8769, 4, 1, nested) + "00000000"
-    details = struct.pack(">H", 4).hex() + entry(0x829D, 5, 1, f_at) + struct.pack(">HHI", 0x8827, 3, 1).hex()
-    rest = "0000" + entry(0x9003, 2, 20, date_at) + entry(0x920A, 5, 1, f_at + 8) + "00000000"
+    details = struct.pack(">H", 4).hex() + entry(0x829D, 5, 1, f_at) + struct.pack(">HHI", 0x8827, 4, 1).hex()
+    rest = entry(0x9003, 2, 20, date_at) + entry(0x920A, 5, 1, f_at + 8) + "00000000"
     tiff = b"MM\x00*".hex() + struct.pack(">I", main).hex()
-    exif_size = 2 + 6 + data + 8 + 20 + 16
+    exif_size = 2 + 6 + data + 16 + 20 + 16
     head = "ffd8ffe1" + struct.pack(">H", exif_size).hex() + b"Exif\x00\x00".hex() + tiff + directory + details
     name = b"http://ns.adobe.com/xap/1.0/\x00"
     xmp_head = "ffe1" + struct.pack(">H", 2 + len(name) + packet_length).hex() + name.hex()
-    iso_hex = F.lpad(F.hex(iso.cast("long")), 4, "0")
+    iso_hex = F.lpad(F.hex(iso.cast("long")), 8, "0")
     rationals = struct.pack(">IIII", 28, 10, 505, 10).hex()
     pieces = [
         F.lit(head), iso_hex, F.lit(rest), _hex(maker), F.lit("00"), _hex(camera_date), F.lit("00"), F.lit(rationals),

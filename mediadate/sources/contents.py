@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,14 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _digest(path: str) -> str:
+    with open(path, "rb") as file:
+        hasher = hashlib.sha256()
+        while chunk := file.read(CHUNK_BYTES):
+            hasher.update(chunk)
+        return hasher.hexdigest()
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """``(path, new_hash)`` of files read in chunks by the tasks; null where reading fails.
 
@@ -28,11 +38,7 @@ def hash_files(files: DataFrame) -> DataFrame:
 
     def digest(path: str) -> str | None:
         try:
-            with open(path, "rb") as file:
-                hasher = hashlib.sha256()
-                while chunk := file.read(CHUNK_BYTES):
-                    hasher.update(chunk)
-                return hasher.hexdigest()
+            return _digest(path)
         except OSError:
             return None
 
@@ -44,20 +50,48 @@ def hash_files(files: DataFrame) -> DataFrame:
 
 
 def _copy(source: str, target: str) -> None:
-    """Copy with timestamps under a passing name, then rename: a retried task starts over cleanly."""
+    """Copy with timestamps under a passing name and link it to the target, which must not exist.
+
+    A repeated task finds its own copy, told by size and hash, and leaves it; any other file at the
+    target stays as it is, and the copy fails.
+    """
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    passing = f"{target}.partial"
-    shutil.copy2(source, passing)
-    os.replace(passing, target)
+    if _done_before(source, target):
+        return
+    passing = f"{target}.{uuid.uuid4().hex}.partial"
+    try:
+        shutil.copy2(source, passing)
+        os.link(passing, target)
+    finally:
+        if os.path.lexists(passing):
+            os.unlink(passing)
+
+
+def _done_before(source: str, target: str) -> bool:
+    """True if the target is a copy of the source; an error if it is another file."""
+    if not os.path.lexists(target):
+        return False
+    if os.path.samefile(source, target):
+        return True
+    if os.path.getsize(source) == os.path.getsize(target) and _digest(source) == _digest(target):
+        return True
+    raise FileExistsError(errno.EEXIST, os.strerror(errno.EEXIST), target)
 
 
 def _move(source: str, target: str) -> None:
-    """Move once: a retry finds the source gone and the target in place."""
+    """Move to a name that is free; a repeated task goes on where the first one stopped."""
     if os.path.exists(source):
         os.makedirs(os.path.dirname(target), exist_ok=True)
-        shutil.move(source, target)
+        if not _done_before(source, target):
+            try:
+                os.link(source, target)
+            except OSError as trouble:
+                if trouble.errno not in (errno.EXDEV, errno.EPERM, errno.ENOTSUP):
+                    raise
+                _copy(source, target)
+        os.unlink(source)
     elif not os.path.exists(target):
-        raise FileNotFoundError(source)
+        raise FileNotFoundError(errno.ENOENT, os.strerror(errno.ENOENT), source)
 
 
 def _carried_out(plan: DataFrame, source: str, target: str, action, done: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +41,15 @@ class SnapshotTable:
         return version
 
 
+def written_once(spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table in a folder; it is built and written if it is not finished yet."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def write_report(sections: dict[str, DataFrame], folder: str) -> None:
     """Write each section of a report as JSON lines below one folder."""
     for name, rows in sections.items():

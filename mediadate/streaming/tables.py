@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediadate.operators import inventory, review
-from mediadate.operators.lineage import settle_table
-from mediadate.sources.snapshots import SnapshotTable
+from mediadate.sources.snapshots import SnapshotTable, written_once
 
 
 def start_table(table: SnapshotTable, rows: DataFrame | None = None) -> None:
@@ -56,25 +55,33 @@ def stream_corrections(
     archive_root: str,
     corrected_at: Column,
     listing: Callable[[], DataFrame] | None = None,
-    move: Callable[[DataFrame], object] | None = None,
+    move: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Apply streamed corrections to the catalog and write one result row for each.
 
     ``listing`` gives the files on disk; without it every catalog file counts as present. ``move``
-    carries out the written plan of a batch before the catalog changes.
+    carries out a plan and returns ``new_archive_path, outcome, error``
+    (:func:`mediadate.sources.contents.move_files`); only what was moved changes the catalog. Guard,
+    plan and outcomes of a batch are written, in this order, below ``<results_folder>_steps``. A
+    batch that is run again after its moves finds them there and comes to the same end.
     """
 
     def correct(catalog: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = catalog.sparkSession
+
+        def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+            return written_once(spark, f"{results_folder.rstrip('/')}_steps/batch={batch_id}/{name}", build)
+
         catalog_paths = catalog.select("archive_path")
         disk = catalog_paths.withColumnRenamed("archive_path", "path") if listing is None else listing().select("path")
-        guarded = settle_table(review.guard_corrections(batch, catalog, disk))
+        guarded = once("guarded", lambda: review.guard_corrections(batch, catalog, disk))
         taken = catalog_paths.union(disk).distinct()
-        planned = settle_table(review.plan_corrections(guarded, taken, archive_root))
-        if move is not None:
-            move(planned)
-        results = review.correction_results(guarded, planned)
+        planned = once("planned", lambda: review.plan_corrections(guarded, taken, archive_root))
+        outcomes = None if move is None else once("outcomes", lambda: move(planned))
+        results = review.correction_results(guarded, planned, outcomes)
         results.write.mode("overwrite").parquet(f"{results_folder}/batch={batch_id}")
-        return review.apply_corrections(catalog, planned, corrected_at=corrected_at)
+        done = review.carried_out(planned, outcomes)
+        return review.apply_corrections(catalog, done, corrected_at=corrected_at)
 
     writer = corrections.writeStream.foreachBatch(_carry_forward(table, correct))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

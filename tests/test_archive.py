@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediadate import schemas, settings
-from mediadate.operators import audit, duplicates, inventory, review
+from mediadate.operators import audit, duplicates, enrichment, inventory, review
 from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
 from mediadate.plans.import_run import run_import
@@ -106,7 +106,8 @@ def test_import_run_end_to_end(spark, tree, tmp_path):
     evidence = metadata.extract_metadata(manifest.withColumn("file_id", F.lit(0)))
     filters = settings.ImportFilters(min_file_size=1)
     run = settings.ImportSettings(("jpg", "tif", "mp4"), str(tmp_path / "archive"), filters)
-    counters = run_import(located, archived, manifest, evidence, run, str(tmp_path / "work"), as_of=timestamp_literal("2099-01-01 00:00:00"), added_at=now())
+    nothing = spark.createDataFrame([], "path string")
+    counters = run_import(located, archived, manifest, evidence, run, str(tmp_path / "work"), as_of=timestamp_literal("2099-01-01 00:00:00"), added_at=now(), on_disk=nothing)
     total = counters.first()
     assert (total.copied, total.excluded, total.failed, total.missing, total.total) == (6, 1, 0, 0, 7)
     rows = {r.source_path: r for r in archived.read().collect()}
@@ -117,7 +118,7 @@ def test_import_run_end_to_end(spark, tree, tmp_path):
         assert open(row.archive_path, "rb").read() == open(row.source_path, "rb").read()
     assert one.gps_latitude == -(10 + 30 / 60 + 36 / 3600)
     assert {r.status for r in located.read().collect()} == {"imported", "excluded"}
-    second = run_import(located, archived, manifest, evidence, run, str(tmp_path / "work2"), as_of=now(), added_at=now()).first()
+    second = run_import(located, archived, manifest, evidence, run, str(tmp_path / "work2"), as_of=now(), added_at=now(), on_disk=nothing).first()
     assert (second.copied, second.excluded, second.total) == (0, 1, 1)
 
 
@@ -202,6 +203,82 @@ def test_moves_can_be_repeated(spark, tmp_path):
     assert (tmp_path / "d" / "y").read_bytes() == b"x"
 
 
+def test_nothing_is_overwritten(spark, tmp_path):
+    for name, data in (("a", b"one"), ("b", b"two"), ("c", b"same"), ("d", b"same")):
+        (tmp_path / name).write_bytes(data)
+    rows = [(str(tmp_path / "a"), str(tmp_path / "b")), (str(tmp_path / "c"), str(tmp_path / "d"))]
+    plan = spark.createDataFrame(rows, "source_path string, archive_path string")
+    for _ in range(2):
+        assert {r.archive_path[-1]: r.outcome for r in contents.copy_files(plan).collect()} == {"b": "failed", "d": "copied"}
+    moves = plan.selectExpr("source_path as archive_path", "archive_path as new_archive_path")
+    assert {r.new_archive_path[-1]: r.outcome for r in contents.move_files(moves).collect()} == {"b": "failed", "d": "moved"}
+    left = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert left == {"a": b"one", "b": b"two", "d": b"same"}
+
+
+def test_correction_batch_ends_between_move_and_write(spark, tmp_path, monkeypatch):
+    """Run again, the batch finds its plan and outcomes; a failed move is a refusal and changes nothing."""
+    root = tmp_path / "r"
+    (root / "_review_needed").mkdir(parents=True)
+    for name in ("a", "b"):
+        (root / "_review_needed" / f"{name}.jpg").write_bytes(name.encode())
+    rows = [(k, f"{root}/_review_needed/{name}.jpg", 1, None, None) for k, name in ((1, "a"), (2, "b"))]
+    table = SnapshotTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
+    tables.start_table(table, spark.createDataFrame(rows, CATALOG))
+    spark.createDataFrame([(1, 1, DAY), (2, 2, DAY)], schemas.CORRECTIONS).write.parquet(str(tmp_path / "asked"))
+
+    def move(plan):
+        broken = plan.withColumn("archive_path", F.when(F.col("file_id") == 2, F.concat("archive_path", F.lit(".gone"))).otherwise(F.col("archive_path")))
+        return contents.move_files(broken)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schemas.CORRECTIONS).parquet(str(tmp_path / "asked"))
+        tables.stream_corrections(
+            stream, table, str(tmp_path / checkpoint), str(tmp_path / "results"), archive_root=str(root), corrected_at=now(),
+            listing=lambda: listing.walk_folders(spark, str(root)), move=move,
+        ).awaitTermination()
+
+    def lost(rows, version=None):
+        raise RuntimeError("lost before the catalog is written")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(table, "write", lost)
+        with pytest.raises(Exception, match="lost before"):
+            run("c1")
+    assert (root / "2019/06/15/a.jpg").exists() and table.version() == 1
+    run("c2")
+    after = {r.id: (r.archive_path, r.date_uncertain) for r in table.read().collect()}
+    assert after == {1: (f"{root}/2019/06/15/a.jpg", 0), 2: (f"{root}/_review_needed/b.jpg", 1)}
+    results = {r.seq: r for r in spark.read.parquet(str(tmp_path / "results")).collect()}
+    assert results[1].success and not results[2].success and results[2].error and results[2].new_archive_path is None
+
+
+def test_enrichment_of_odd_rows(spark):
+    files = spark.createDataFrame([(1, "/d/a.jpg"), (2, "/d/b.jpg")], "file_id long, path string")
+    sidecars = spark.createDataFrame(
+        [("/d/a.jpg.json", '{"photoTakenTime": {"timestamp": "1700000000000"}}', None), ("/d/b.jpg.json", '{"photoTakenTime": {"timestamp": "86400"}}', None)],
+        "path string, content string, date_time_original string",
+    )
+    assert [(r.file_id, r.date) for r in enrichment.sidecar_signals(files, sidecars).collect()] == [(2, datetime(1970, 1, 2))]
+    long = "9" * 25
+    rows = [(1, f"/d/IMG_{long}1.jpg", DAY), (2, f"/d/IMG_{long}2.jpg", None), (3, f"/d/IMG_{long}9.jpg", DAY), (4, "/d/IMG_007.jpg", DAY), (5, "/d/IMG_8.jpg", None)]
+    numbered = spark.createDataFrame(rows, "file_id long, path string, date timestamp_ntz")
+    assert {r.file_id for r in enrichment.sequence_signals(numbered).collect()} == {2, 5}
+    twins = spark.createDataFrame([("/n/a", "h"), ("/n/b", "h"), ("/n/c", "k"), ("/n/d", None), ("/n/e", None)], "path string, file_hash string")
+    held = spark.createDataFrame([("k",)], "file_hash string")
+    assert sorted(r.path for r in enrichment.skip_identical(twins, held).collect()) == ["/n/a", "/n/d", "/n/e"]
+
+
+def test_fix_plan_gives_every_move_its_own_target(spark):
+    rows = [(k, f"/r/2020/01/0{k}/x.jpg", DAY, None) for k in (1, 2, 3)] + [(4, "/r/2019/06/15/x.jpg", DAY, None), (5, "/r/2019/06/15/gone.jpg", DAY, None)]
+    catalog = spark.createDataFrame(rows, "id long, archive_path string, date_taken timestamp_ntz, user_corrected_date timestamp_ntz")
+    disk = catalog.filter("id <> 5").select(F.col("archive_path").alias("path")).union(spark.createDataFrame([("/r/new.jpg",)], "path string"))
+    plan = enrichment.fix_plan(disk, catalog, "/r").collect()
+    moves = {r.path: r.target for r in plan if r.action == "move"}
+    assert moves == {f"/r/2020/01/0{k}/x.jpg": f"/r/2019/06/15/x ({k}).jpg" for k in (1, 2, 3)}
+    assert sorted((r.action, r.path) for r in plan if r.action != "move") == [("add_to_catalog", "/r/new.jpg"), ("drop_from_catalog", "/r/2019/06/15/gone.jpg")]
+
+
 def test_inventory_stream(spark, tmp_path):
     source = str(tmp_path / "manifests")
     table = SnapshotTable(spark, str(tmp_path / "t"), schemas.LOCATED_FILES)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediadate.llm import decontamination, language_model, mixing, quality, repeats, secret_scan, sharding, simhash, token_files, warc
+from mediadate.llm.oracles import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -111,4 +112,3 @@ QUERIES = {query.__name__: query for query in (
     op1_mix_sources, op2_near_duplicates, op3_secret_scan, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
     op9_language_model, op10_token_files,
 )}
-SQL: dict[str, str] = {}

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediadate.operators.skew import spread_join
+from mediadate.operators.lineage import settle_table
+from mediadate.operators.skew import counted_join
 
 
 def known_hash(column: Column) -> Column:
@@ -15,6 +16,18 @@ def known_hash(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def missing_hashes(records: DataFrame, present: DataFrame, key: str = "file_path") -> DataFrame:
+    """``path`` of the recorded files that are there and have no stored hash; only these are read."""
+    waiting = records.filter(known_hash(F.col("file_hash")).isNull()).select(F.col(key).alias("path"))
+    return present.select("path").join(waiting, "path", "left_semi")
+
+
+def unhashed_files(listing: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``path`` of the files on disk for which the catalog holds no hash, unknown files included."""
+    held = catalog.filter(known_hash(F.col("file_hash")).isNotNull()).select(F.col("archive_path").alias("path"))
+    return listing.select("path").join(held, "path", "left_anti")
+
+
 def fill_hashes(records: DataFrame, hashes: DataFrame, key: str = "file_path") -> DataFrame:
     """Records with the missing hashes filled from ``hashes (key, new_hash)``; stored ones stay."""
     joined = records.join(hashes.select(key, "new_hash"), key, "left")
@@ -81,10 +94,14 @@ def report_order(groups: DataFrame) -> DataFrame:
 
 
 def duplicate_members(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The files of every duplicate group, one row each, a hot hash spread over many tasks."""
-    groups = duplicate_groups(entries) if groups is None else groups
+    """The files of every duplicate group, one row each, a hot hash spread over many tasks.
+
+    The entries are computed once and written, as both groups and members are read from them.
+    """
+    entries = settle_table(entries.select("position", "file_hash", "path", "file_size", "documented"))
+    groups = settle_table((duplicate_groups(entries) if groups is None else groups).select("file_hash", "count"))
     members = entries.select("file_hash", "path", "file_size", "documented")
-    return spread_join(members, groups.select("file_hash", "count"), "file_hash", "path")
+    return counted_join(members, groups, "file_hash", "path")
 
 
 def duplicate_summary(entries: DataFrame) -> DataFrame:

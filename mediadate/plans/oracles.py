@@ -212,6 +212,13 @@ SQL = {
         picked as (select p.id, p.folder, p.name, p.place, case when p.folder = '/archive/_review_needed' and p.name = 'IMG_' || p.k || '.jpg' then n.n else p.place end as number
             from placed p left join numbers n on n.k = p.k and n.nth = p.place)
         select id, folder, case when place = 0 then name else regexp_extract(name, '^(.+)\\.[^.]+$', 1) || ' (' || number || ')' || regexp_extract(name, '^.+(\\.[^.]+)$', 1) end as dest_name from picked""",
+    "unique_destination_numbered": f"""with recursive {over('photos')[5:]}, requests as (select file_id as id, '/archive/' || event_type as folder, k, 'IMG_' || k || case when value > 40 then ' (' || user_id || ')' else '' end as stem from photos),
+        asked as (select *, row_number() over (partition by folder, k order by id) as step from requests),
+        picks as (select distinct folder, k, cast(0 as bigint) as step, cast([] as varchar[]) as taken, cast(null as bigint) as id from requests
+            union all select a.folder, a.k, a.step, list_append(p.taken, case when not list_contains(p.taken, a.stem) then a.stem
+                else a.stem || ' (' || list_filter(range(1, len(p.taken) + 2), lambda n: not list_contains(p.taken, a.stem || ' (' || n || ')'))[1] || ')' end), a.id
+            from picks p join asked a on a.folder = p.folder and a.k = p.k and a.step = p.step + 1)
+        select id, folder, taken[-1] || '.jpg' as dest_name from picks where id is not null""",
     "import_records": f"""{OUTCOMES}, {PLACED} select id, folder || '/' || dest_name as archive_path, source_path, file_extension, file_size, date_taken, date_source, filesystem_creation_date,
         date_uncertain, {ADDED_AT} as date_added, 'Maker' || user_id as camera_make, case when k > 10 then event_type end as camera_model, cast(null as varchar) as aperture,
         cast(k as varchar) as iso_speed, cast(null as varchar) as focal_length_mm, case when k % 2 = 0 then -{LATITUDE} else {LATITUDE} end as gps_latitude, case when value > 20 then -(cast(k as double) + gps_minute / 60.0 + 0.0 / 3600.0) end as gps_longitude, confidence, date_reason from named where confidence <> 98""",
@@ -234,6 +241,7 @@ SQL = {
     "folder_parts": f"""{over('archived')} select id, {PLACE} as actual_folder, {DAY.format('date_taken')} as expected_folder, {DAY.format('date_taken')} || '/' || {NAME.format('path')} as expected_relative_path from archived""",
     "content_hash": f"{over('texts')} select id, sha256(text) as file_hash from texts",
     "hash_cache_fill": f"{over('texts')} select path as file_path, sha256(text) as file_hash from texts where labeled",
+    "audit_hash_fill": f"{over('texts')} select path as archive_path, sha256(text) as file_hash from texts where labeled and lang <> 'fr'",
     "dup_archive_entries": f"{ENTRIES} select * from entries",
     "dup_source_entries": f"{over('texts')} select id as position, path, file_size, sha256(text) as file_hash, true as documented from texts where status = 'located'",
     "dup_groups": f"{ENTRIES}, {GROUPS} select * from dups order by wasted_bytes desc, first_path",

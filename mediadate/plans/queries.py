@@ -281,7 +281,8 @@ def text_entries(spark, folder):
     catalog = files.filter("labeled").select(
         F.col("path").alias("archive_path"), F.when(F.col("toxic") == 0, F.col("file_size")).alias("file_size"), "file_hash"
     )
-    return duplicates.archive_entries(files.select("path", "file_size"), catalog, standins.text_hashes(spark, folder))
+    unhashed = duplicates.unhashed_files(files, catalog)
+    return duplicates.archive_entries(files.select("path", "file_size"), catalog, standins.text_hashes(spark, folder, unhashed))
 
 
 @query
@@ -292,8 +293,22 @@ def content_hash(spark, folder):
 
 @query
 def hash_cache_fill(spark, folder):
-    records = standins.text_files(spark, folder).filter("labeled").select(F.col("path").alias("file_path"), "file_hash")
-    return duplicates.fill_hashes(records, standins.text_hashes(spark, folder, "file_path"))
+    files = standins.text_files(spark, folder)
+    records = files.filter("labeled").select(F.col("path").alias("file_path"), "file_hash")
+    missing = duplicates.missing_hashes(records, files)
+    return duplicates.fill_hashes(records, standins.text_hashes(spark, folder, missing, "file_path"))
+
+
+@query
+def audit_hash_fill(spark, folder):
+    """Catalog files on disk with their hash, computed where the catalog has none."""
+    files = standins.text_files(spark, folder)
+    listing = files.filter("lang <> 'fr'").select("path")
+    catalog = files.filter("labeled").select(F.col("path").alias("archive_path"), "file_hash")
+    matched = audit.classify(listing, catalog).filter("section = 'matched'")
+    missing = duplicates.missing_hashes(catalog, matched, "archive_path")
+    hashes = standins.text_hashes(spark, folder, missing, "archive_path")
+    return duplicates.fill_hashes(catalog.join(matched.select(F.col("path").alias("archive_path")), "archive_path", "left_semi"), hashes, "archive_path")
 
 
 @query
@@ -303,8 +318,10 @@ def dup_archive_entries(spark, folder):
 
 @query
 def dup_source_entries(spark, folder):
-    files = standins.text_files(spark, folder).withColumnRenamed("path", "file_path")
-    return duplicates.source_entries(files, standins.text_hashes(spark, folder, "file_path"))
+    files = standins.text_files(spark, folder)
+    records = files.withColumnRenamed("path", "file_path")
+    missing = duplicates.missing_hashes(records.filter("status = 'located'"), files)
+    return duplicates.source_entries(records, standins.text_hashes(spark, folder, missing, "file_path"))
 
 
 @query
@@ -331,8 +348,10 @@ def dup_cache_counters(spark, folder):
 def dup_cache_counters_source(spark, folder):
     files = standins.text_files(spark, folder)
     there = files.filter("lang <> 'de'").select("path")
-    hashes = standins.text_hashes(spark, folder, "file_path")
-    return duplicates.source_cache_counters(files.withColumnRenamed("path", "file_path"), there, hashes, ("located", "imported"))
+    records = files.withColumnRenamed("path", "file_path")
+    missing = duplicates.missing_hashes(records, there)
+    hashes = standins.text_hashes(spark, folder, missing, "file_path")
+    return duplicates.source_cache_counters(records, there, hashes, ("located", "imported"))
 
 
 # Review

@@ -224,9 +224,9 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("file_hash", stored)
 
 
-def text_hashes(spark: SparkSession, folder: str, key: str = "path") -> DataFrame:
-    """Freshly computed hashes; only path and digest leave the scan."""
-    rows = view(spark, folder, "texts")
+def text_hashes(spark: SparkSession, folder: str, wanted: DataFrame, key: str = "path") -> DataFrame:
+    """Freshly computed hashes of the wanted paths; only path and digest leave the scan."""
+    rows = view(spark, folder, "texts").join(wanted, "path", "left_semi")
     return rows.select(F.col("path").alias(key), content_hash(F.col("text")).alias("new_hash"))
 
 

@@ -150,6 +150,23 @@ def test_hot_hash_is_spread(spark):
     assert max(r["count"] for r in sizes) < 20_000
 
 
+def test_even_keys_are_shuffled_once(spark):
+    """Without a hot key, each side of the members' join moves once and nothing is salted."""
+    rows = spark.range(2_000).selectExpr("id as position", "concat('/p/', id) as path", "id as file_size", "cast(id % 900 as string) as file_hash", "true as documented")
+    members = duplicates.duplicate_members(rows)
+    assert members.count() == 2_000
+    plan = members._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_only_missing_hashes_are_asked_for(spark):
+    records = spark.createDataFrame([("/a", "h"), ("/b", ""), ("/c", None), ("/gone", None)], "file_path string, file_hash string")
+    present = spark.createDataFrame([("/a",), ("/b",), ("/c",), ("/new",)], "path string")
+    assert sorted(r.path for r in duplicates.missing_hashes(records, present).collect()) == ["/b", "/c"]
+    catalog = records.withColumnRenamed("file_path", "archive_path")
+    assert sorted(r.path for r in duplicates.unhashed_files(present, catalog).collect()) == ["/b", "/c", "/new"]
+
+
 def test_vanished_file_with_hash_still_counts(spark):
     rows = [(1, "/a", 5, "h", "located"), (2, "/b", 5, "h", "located"), (3, "/c", 7, "", "located"), (4, "/d", 9, "h", "imported")]
     files = spark.createDataFrame(rows, "id long, file_path string, file_size long, file_hash string, status string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 64
+BLOCK = 8  # words of high bits for which the ones before are stored
 _ONE = np.uint64(1)
 
 
@@ -19,7 +19,8 @@ def _select_table() -> np.ndarray:
 
 def _pack_bits(bits: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, bitorder="little")
-    return np.pad(packed, (0, -len(packed) % 8 + 8)).view(np.uint64)
+    packed = np.pad(packed, (0, -len(packed) % 8)).view(np.uint64)
+    return np.pad(packed, (0, -len(packed) % BLOCK))
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -35,12 +36,15 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     high = (values >> np.uint64(low)).astype(np.int64)
     bits = np.zeros(n + (universe >> low) + 2, bool)
     bits[high + np.arange(n)] = True
+    highs = _pack_bits(bits)
+    counts = np.add.reduceat(np.bitwise_count(highs).astype(np.uint64), np.arange(0, len(highs), BLOCK))
+    ones = np.cumsum(counts) - counts
     return {
         "head": np.array([n, low], np.uint64),
         "lows": np.pad(lows, (0, -len(lows) % 8 + 16)).view(np.uint64),
-        "highs": _pack_bits(bits),
-        "zeros": np.flatnonzero(~bits)[::SAMPLE].astype(np.uint64),
-        "ones": np.flatnonzero(bits)[::SAMPLE].astype(np.uint64),
+        "highs": highs,
+        "ones": ones,
+        "zeros": np.arange(len(ones), dtype=np.uint64) * np.uint64(64 * BLOCK) - ones,
     }
 
 
@@ -61,16 +65,16 @@ class EliasFano:
         above = (self.lows[word + 1] << _ONE) << (np.uint64(63) - shift)
         return (self.lows[word] >> shift | above) & self.mask
 
-    def _select(self, rank: np.ndarray, samples: np.ndarray, flip: bool) -> np.ndarray:
+    def _select(self, rank: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Places of the rank-th one (or zero, if flipped) among the high bits."""
-        start = samples[rank // SAMPLE]
-        rest = rank % SAMPLE
-        word = (start >> np.uint64(6)).astype(np.int64)
+        block = np.searchsorted(before, rank.astype(np.uint64), "right") - 1
+        rest = rank - before[block].astype(np.int64)
+        word = block * BLOCK
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        bits = (self.highs[word] ^ full if flip else self.highs[word]) & (full << (start & np.uint64(63)))
+        bits = self.highs[word] ^ full if flip else self.highs[word]
         count = np.bitwise_count(bits).astype(np.int64)
         open_ = np.flatnonzero(rest >= count)
-        while len(open_):
+        while len(open_):  # BLOCK times at most
             rest[open_] -= count[open_]
             word[open_] += 1
             more = self.highs[word[open_]] ^ full if flip else self.highs[word[open_]]
@@ -94,24 +98,24 @@ class EliasFano:
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is not below the wanted one, and whether it is equal.
 
-        Wanted values share the values' universe. A bucket of equal high bits starts after its zero;
-        the search goes on inside it by low bits.
+        Wanted values share the values' universe. The values with equal high bits lie between two
+        zeros; their low bits ascend and are bisected.
         """
         wanted = wanted.astype(np.uint64)
         high, low = (wanted >> np.uint64(self.low)).astype(np.int64), wanted & self.mask
-        place = np.zeros(len(wanted), np.int64)
+        start = np.zeros(len(wanted), np.int64)
         inner = np.flatnonzero(high > 0)
-        place[inner] = self._select(high[inner] - 1, self.zeros, True) + 1
-        equal = np.zeros(len(wanted), bool)
-        active = np.arange(len(wanted))
+        start[inner] = self._select(high[inner] - 1, self.zeros, True) + 1 - high[inner]
+        stop = self._select(high.copy(), self.zeros, True) - high
+        end = stop.copy()
+        active = np.flatnonzero(start < stop)
         while len(active):
-            own = place[active]
-            inside = (self.highs[own >> 6] >> (own & 63).astype(np.uint64)) & _ONE == 1
-            active, own = active[inside], own[inside]
-            if not len(active):
-                break
-            found = self._low(own - high[active])
-            equal[active[found == low[active]]] = True
-            active = active[found < low[active]]
-            place[active] += 1
-        return place - high, equal
+            middle = (start[active] + stop[active]) >> 1
+            below = self._low(middle) < low[active]
+            start[active[below]] = middle[below] + 1
+            stop[active[~below]] = middle[~below]
+            active = active[start[active] < stop[active]]
+        equal = np.zeros(len(wanted), bool)
+        there = np.flatnonzero(start < end)
+        equal[there] = self._low(start[there]) == low[there]
+        return start, equal

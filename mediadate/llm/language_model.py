@@ -223,35 +223,55 @@ class Model:
         result[known] = self.of_bigrams("codes", numbers[known], index[known])
         return result
 
+    def pairs_of(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of neighbors in ascending order, and which of them each place has.
+
+        Pairs repeat, and ascending ones are found in order of memory. Before a document's first
+        token there is no word: -2.
+        """
+        first, second = words[:-1].copy(), words[1:]
+        first[starts[starts > 0] - 1] = -2
+        keys, places = np.unique((first + 2) << 32 | (second + 1), return_inverse=True)
+        return (keys >> 32) - 2, (keys & 0xFFFFFFFF) - 1, places
+
+    def bigram_facts(self, words: np.ndarray, starts: np.ndarray):
+        """Distinct pairs, their places, shards, indices, ranks, and the places of trigrams' contexts."""
+        first, second, places = self.pairs_of(words, starts)
+        numbers, index = self.bigrams_of(first, second)
+        known = index >= 0
+        rank = np.zeros(len(index), np.int64)
+        rank[known] = self.relative_rank(numbers[known], index[known], first[known])
+        left, right = places[:-1], places[1:]
+        context = np.flatnonzero(known[left] & (first[right] != -2))
+        return first, second, places, numbers, index, known, rank, context
+
     def score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of every token; ``starts`` are the places where documents begin."""
-        result = self.unigram(words)
         if len(words) < 2:
-            return result
-        first, second = words[:-1].copy(), words[1:]
-        first[starts[starts > 0] - 1] = -2  # no context across documents
-        numbers, index = self.bigrams_of(first, second)
-        result[1:] = self.log_bigram(first, second, numbers, index)
-        context = np.flatnonzero(index[:-1] >= 0)  # bigram at k, third word at k + 2
-        context = context[first[context + 1] != -2]
-        if len(context):
-            result[context + 2] += self.of_bigrams("backoffs3", numbers[context], index[context])
-            both = context[index[context + 1] >= 0]
-            rank = self.relative_rank(numbers[both + 1], index[both + 1], first[both + 1])
-            for number, part in self._by_shard(numbers[both]):
-                if (shard := self.shard(3, number)) is not None:
-                    at, equal = shard.entries.find(index[both[part]] * self.relative + rank[part])
-                    result[both[part[equal]] + 2] = _decode_log(shard.arrays["codes"][at[equal]])
+            return self.unigram(words)
+        first, second, places, numbers, index, known, rank, context = self.bigram_facts(words, starts)
+        result = np.concatenate([self.unigram(words[:1]), self.log_bigram(first, second, numbers, index)[places]])
+        backoff = np.zeros(len(index))
+        backoff[known] = self.of_bigrams("backoffs3", numbers[known], index[known])
+        left, right = places[context], places[context + 1]
+        result[context + 2] += backoff[left]
+        both = np.flatnonzero(known[right])
+        for number, part in self._by_shard(numbers[left[both]]):
+            part = both[part]
+            if (shard := self.shard(3, number)) is not None:
+                keys, back = np.unique(index[left[part]] * self.relative + rank[right[part]], return_inverse=True)
+                at, equal = shard.entries.find(keys)
+                codes = shard.arrays["codes"][np.where(equal, at, 0)]
+                found = equal[back]
+                result[context[part[found]] + 2] = _decode_log(codes[back[found]])
         return result
 
     def trigram_keys(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard and key of every trigram whose bigrams are both in the trie."""
-        first, second = words[:-1].copy(), words[1:]
-        first[starts[starts > 0] - 1] = -2
-        numbers, index = self.bigrams_of(first, second)
-        both = np.flatnonzero((index[:-1] >= 0) & (index[1:] >= 0))
-        rank = self.relative_rank(numbers[both + 1], index[both + 1], first[both + 1])
-        return numbers[both], index[both] * self.relative + rank
+        _, _, places, numbers, index, known, rank, context = self.bigram_facts(words, starts)
+        left, right = places[context], places[context + 1]
+        both = known[right]
+        return numbers[left[both]], index[left[both]] * self.relative + rank[right[both]]
 
 
 def encode_corpus(docs: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:

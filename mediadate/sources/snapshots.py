@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class SnapshotTable:
@@ -41,6 +42,69 @@ class SnapshotTable:
         return version
 
 
+def _parts(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished ``batch=<number>`` folders."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = files.globStatus(jvm.org.apache.hadoop.fs.Path(root + "/batch=*/_SUCCESS")) or []
+    return sorted(int(mark.getPath().getParent().getName()[6:]) for mark in marks)
+
+
+class AppendTable:
+    """A table that only grows: one Parquet folder ``batch=<number>`` per batch, never rewritten."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def batches(self) -> list[int]:
+        return _parts(self.spark, self.root)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Rows of all finished batches, or of those before a number."""
+        wanted = [number for number in self.batches() if before is None or number < before]
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/batch={number}" for number in wanted))
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        empty = self.spark.createDataFrame([], self.schema)
+        aligned = empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns)
+        aligned.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+
+class ChangeTable:
+    """A keyed table as a base and the rows that batches changed, merged when it is read.
+
+    A batch writes its changed rows only. ``fold`` makes a new base of everything so far; base
+    version ``b + 2`` holds the batches up to ``b``, so a reader takes the later ones besides it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "id"):
+        self.base = SnapshotTable(spark, root, schema)
+        self.changes = AppendTable(spark, f"{root.rstrip('/')}/changes", f"{schema}, batch long")
+        self.key = key
+
+    def last_batch(self) -> int:
+        """Number of the last finished batch, -1 before the first."""
+        return max([self.base.version() - 2, -1, *self.changes.batches()])
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows after all batches, or after those before a number; the latest change of a key counts."""
+        version = self.base.version()
+        rows = self.base.read(version)
+        changed = self.changes.read(before).filter(F.col("batch") > version - 2)
+        latest = changed.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("_row")).select("_row.*")
+        return rows.join(latest.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(latest)
+
+    def write(self, changed: DataFrame, batch: int) -> None:
+        self.changes.write(changed.withColumn("batch", F.lit(batch).cast("long")), batch)
+
+    def fold(self) -> int:
+        """Write a base of everything so far; the version's number."""
+        return self.base.write(self.read(), self.last_batch() + 2)
+
+
 def written_once(spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table in a folder; it is built and written if it is not finished yet."""
     jvm = spark.sparkContext._jvm

@@ -1,8 +1,7 @@
-"""Streams that carry a snapshot table forward, one version per micro-batch.
+"""Streams that carry a table forward, a part per micro-batch.
 
-The table of a stream is its own: version 1 is where it starts, and batch ``b`` writes version
-``b + 2``. A batch that is run again after a failure finds its version finished and writes nothing,
-so nothing is appended or corrected twice.
+A batch writes what it adds or changes and nothing else. A batch that is run again after a failure
+finds its part finished and writes nothing, so nothing is appended or corrected twice.
 """
 
 from __future__ import annotations
@@ -14,41 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediadate.operators import inventory, review
-from mediadate.sources.snapshots import SnapshotTable, written_once
-
-
-def start_table(table: SnapshotTable, rows: DataFrame | None = None) -> None:
-    """Write version 1 unless it is there."""
-    if table.version() == 0:
-        table.write(table.read() if rows is None else rows, 1)
-
-
-def _carry_forward(table: SnapshotTable, step: Callable[[DataFrame, DataFrame, int], DataFrame]):
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if table.version() < batch_id + 2:
-            table.write(step(table.read(batch_id + 1), batch, batch_id), batch_id + 2)
-
-    return on_batch
+from mediadate.sources.snapshots import AppendTable, ChangeTable, written_once
 
 
 def stream_inventory(
-    manifest: DataFrame, table: SnapshotTable, checkpoint: str, extensions: Iterable[str]
+    manifest: DataFrame, table: AppendTable, checkpoint: str, extensions: Iterable[str]
 ) -> StreamingQuery:
     """Append the unknown files of a streamed manifest to the inventory."""
     wanted = list(extensions)
 
-    def append(known: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
-        fresh = inventory.append_new(known, inventory.scan_inventory(batch, wanted))
-        return known.unionByName(inventory.assign_ids(fresh, known), allowMissingColumns=True)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        if batch_id not in table.batches():
+            known = table.read(before=batch_id)
+            fresh = inventory.append_new(known, inventory.scan_inventory(batch, wanted))
+            table.write(inventory.assign_ids(fresh, known), batch_id)
 
-    start_table(table)
-    writer = manifest.writeStream.foreachBatch(_carry_forward(table, append))
+    writer = manifest.writeStream.foreachBatch(append)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_corrections(
     corrections: DataFrame,
-    table: SnapshotTable,
+    table: ChangeTable,
     checkpoint: str,
     results_folder: str,
     *,
@@ -66,7 +52,10 @@ def stream_corrections(
     batch that is run again after its moves finds them there and comes to the same end.
     """
 
-    def correct(catalog: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
+    def correct(batch: DataFrame, batch_id: int) -> None:
+        if table.last_batch() >= batch_id:
+            return
+        catalog = table.read(before=batch_id)
         spark = catalog.sparkSession
 
         def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -81,7 +70,8 @@ def stream_corrections(
         results = review.correction_results(guarded, planned, outcomes)
         results.write.mode("overwrite").parquet(f"{results_folder}/batch={batch_id}")
         done = review.carried_out(planned, outcomes)
-        return review.apply_corrections(catalog, done, corrected_at=corrected_at)
+        touched = catalog.join(done.select(F.col("file_id").alias("id")), "id", "left_semi")
+        table.write(review.apply_corrections(touched, done, corrected_at=corrected_at), batch_id)
 
-    writer = corrections.writeStream.foreachBatch(_carry_forward(table, correct))
+    writer = corrections.writeStream.foreachBatch(correct)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
 from mediadate.plans.import_run import run_import
 from mediadate.sources import contents, listing, metadata
-from mediadate.sources.snapshots import SnapshotTable, write_report
+from mediadate.sources.snapshots import AppendTable, ChangeTable, SnapshotTable, write_report
 from mediadate.streaming import tables
 
 def now():
@@ -240,8 +240,8 @@ def test_correction_batch_ends_between_move_and_write(spark, tmp_path, monkeypat
     for name in ("a", "b"):
         (root / "_review_needed" / f"{name}.jpg").write_bytes(name.encode())
     rows = [(k, f"{root}/_review_needed/{name}.jpg", 1, None, None) for k, name in ((1, "a"), (2, "b"))]
-    table = SnapshotTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
-    tables.start_table(table, spark.createDataFrame(rows, CATALOG))
+    table = ChangeTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
+    table.base.write(spark.createDataFrame(rows, CATALOG))
     spark.createDataFrame([(1, 1, DAY), (2, 2, DAY)], schemas.CORRECTIONS).write.parquet(str(tmp_path / "asked"))
 
     def move(plan):
@@ -255,14 +255,14 @@ def test_correction_batch_ends_between_move_and_write(spark, tmp_path, monkeypat
             listing=lambda: listing.walk_folders(spark, str(root)), move=move,
         ).awaitTermination()
 
-    def lost(rows, version=None):
+    def lost(rows, batch):
         raise RuntimeError("lost before the catalog is written")
 
     with monkeypatch.context() as patch:
         patch.setattr(table, "write", lost)
         with pytest.raises(Exception, match="lost before"):
             run("c1")
-    assert (root / "2019/06/15/a.jpg").exists() and table.version() == 1
+    assert (root / "2019/06/15/a.jpg").exists() and table.last_batch() == -1
     run("c2")
     after = {r.id: (r.archive_path, r.date_uncertain) for r in table.read().collect()}
     assert after == {1: (f"{root}/2019/06/15/a.jpg", 0), 2: (f"{root}/_review_needed/b.jpg", 1)}
@@ -298,19 +298,20 @@ def test_fix_plan_gives_every_move_its_own_target(spark):
 
 def test_inventory_stream(spark, tmp_path):
     source = str(tmp_path / "manifests")
-    table = SnapshotTable(spark, str(tmp_path / "t"), schemas.LOCATED_FILES)
+    table = AppendTable(spark, str(tmp_path / "t"), schemas.LOCATED_FILES)
     for round_ in (["/m/a.jpg", "/m/b.txt"], ["/m/a.jpg", "/m/c.JPG"]):
         rows = spark.createDataFrame([(p, 1, DAY, DAY) for p in round_], schemas.MANIFEST)
         rows.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schemas.MANIFEST).parquet(source)
         tables.stream_inventory(stream, table, str(tmp_path / "c"), ["jpg"]).awaitTermination()
     assert {(r.id, r.file_path) for r in table.read().collect()} == {(1, "/m/a.jpg"), (2, "/m/c.JPG")}
-    assert table.version() == 3
+    assert table.batches() == [0, 1]
+    assert [spark.read.parquet(f"{table.root}/batch={k}").count() for k in (0, 1)] == [1, 1]  # a batch writes its own rows
 
 
 def test_correction_stream_skips_finished_batches(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
-    tables.start_table(table, spark.createDataFrame(CATALOG_ROWS, CATALOG))
+    table = ChangeTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
+    table.base.write(spark.createDataFrame(CATALOG_ROWS, CATALOG))
     source = str(tmp_path / "asked")
     spark.createDataFrame([(1, 1, DAY)], schemas.CORRECTIONS).write.parquet(source)
 
@@ -319,10 +320,13 @@ def test_correction_stream_skips_finished_batches(spark, tmp_path):
         tables.stream_corrections(
             stream, table, str(tmp_path / checkpoint), str(tmp_path / "results"), archive_root="/r", corrected_at=now()
         ).awaitTermination()
-        return table.version(), {r.id: r.archive_path for r in table.read().collect()}[1]
+        return table.last_batch(), {r.id: r.archive_path for r in table.read().collect()}[1]
 
-    assert run("c1") == (2, "/r/2019/06/15/a (1).jpg")
-    assert run("c2") == (2, "/r/2019/06/15/a (1).jpg")  # the same batch again, as after a lost commit
+    assert run("c1") == (0, "/r/2019/06/15/a (1).jpg")
+    assert run("c2") == (0, "/r/2019/06/15/a (1).jpg")  # the same batch again, as after a lost commit
+    assert table.changes.read().count() == 1 and table.read().count() == len(CATALOG_ROWS)
+    before = sorted(map(repr, table.read().collect()))
+    assert table.fold() == 2 and sorted(map(repr, table.read().collect())) == before
     assert spark.read.parquet(str(tmp_path / "results")).first().success
 
 

@@ -192,6 +192,8 @@ SQL = {
     "archive_listing_typed": f"{over('site_files')} select path, file_size from site_files where lower({suffix('path')}) in ('.html', '.gz')",
     "inventory_append": f"""{over('texts')} select path as file_path, '.txt' as file_extension, file_size, cast(null as timestamp) as creation_date,
         cast(null as timestamp) as modification_date, 'located' as status from texts where not labeled""",
+    "inventory_stream_step": f"""{over('texts')} select path as file_path, '.txt' as file_extension, file_size, cast(null as timestamp) as creation_date,
+        cast(null as timestamp) as modification_date, 'located' as status, (select coalesce(max(id), 0) from texts where labeled) + row_number() over (order by path) as id from texts where not labeled""",
     "inventory_append_counts": f"{over('texts')} select count(*) as found, count(*) filter (not labeled) as inserted, count(*) filter (labeled) as skipped from texts",
     "gather_signals": f"{over('photos')}, {PARSED}, {SIGNALS} select * from signals",
     "score_dates": f"{SCORED} select file_id, {CONCLUSION} from scored",
@@ -222,10 +224,12 @@ SQL = {
     "import_records": f"""{OUTCOMES}, {PLACED} select id, folder || '/' || dest_name as archive_path, source_path, file_extension, file_size, date_taken, date_source, filesystem_creation_date,
         date_uncertain, {ADDED_AT} as date_added, 'Maker' || user_id as camera_make, case when k > 10 then event_type end as camera_model, cast(null as varchar) as aperture,
         cast(k as varchar) as iso_speed, cast(null as varchar) as focal_length_mm, case when k % 2 = 0 then -{LATITUDE} else {LATITUDE} end as gps_latitude, case when value > 20 then -(cast(k as double) + gps_minute / 60.0 + 0.0 / 3600.0) end as gps_longitude, confidence, date_reason from named where confidence <> 98""",
+    "copy_outcomes": f"""{OUTCOMES} select file_id as id, path as file_path, case when outcome = 'planned' and file_id % 9 <> 0 then 'imported' when outcome = 'excluded' then 'excluded' else status end as status
+        from photos left join outcomes on id = file_id""",
     "status_update": f"""{OUTCOMES} select file_id as id, path as file_path, case outcome when 'planned' then 'imported' when 'excluded' then 'excluded' else status end as status
         from photos left join outcomes on id = file_id""",
-    "import_summary": f"""{OUTCOMES} select count(*) filter (outcome = 'planned') as copied, count(*) filter (outcome = 'planned' and date_uncertain = 1) as review,
-        count(*) filter (outcome = 'excluded') as excluded, cast(0 as bigint) as failed, count(*) filter (outcome = 'missing') as missing, count(*) as total from outcomes""",
+    "import_summary": f"""{OUTCOMES} select count(*) filter (outcome = 'planned' and id % 9 <> 0) as copied, count(*) filter (outcome = 'planned' and id % 9 <> 0 and date_uncertain = 1) as review,
+        count(*) filter (outcome = 'excluded') as excluded, count(*) filter (outcome = 'planned' and id % 9 = 0) as failed, count(*) filter (outcome = 'missing') as missing, count(*) as total from outcomes""",
     "audit_classify": f"""{over('archived')} select path, case when on_disk and in_catalog then 'matched' when on_disk then 'undocumented' else 'missing' end as section
         from archived where on_disk or in_catalog order by path""",
     "audit_missing": f"{ARCHIVE} select * from catalog where archive_path not in (select path from listing)",

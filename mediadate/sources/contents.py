@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediadate.sources.listing import file_system
+
 CHUNK_BYTES = 4 * 1024 * 1024
 
 
@@ -22,7 +24,8 @@ def content_hash(content: Column) -> Column:
 
 
 def _digest(path: str) -> str:
-    with open(path, "rb") as file:
+    system, inner = file_system(path)
+    with system.open_input_stream(inner, compression=None) as file:
         hasher = hashlib.sha256()
         while chunk := file.read(CHUNK_BYTES):
             hasher.update(chunk)
@@ -32,6 +35,8 @@ def _digest(path: str) -> str:
 def hash_files(files: DataFrame) -> DataFrame:
     """``(path, new_hash)`` of files read in chunks by the tasks; null where reading fails.
 
+    Paths are on a shared mount or URIs of any store that pyarrow reads.
+
     Hand in only the files that have no hash yet. Paths are spread over all tasks first, as a
     listing tends to keep the large files of one folder together.
     """

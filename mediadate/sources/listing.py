@@ -5,25 +5,32 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediadate import schemas
 from mediadate.functions import paths
 from mediadate.operators.lineage import settle_table
-from mediadate import schemas
 
 
-def scan_binary_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """Manifest of every file below the roots, through any Hadoop file system.
+def file_system(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it."""
+    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
 
-    Bytes are not read. Spark skips empty files and names that start with ``_`` or ``.``: name such
-    folders (the review folder) as roots of their own, or use :func:`walk_folders`. There is no creation date
-    here; the modification date stands in for it.
+def scan_binary_files(spark: SparkSession, *roots: str, zone: str = "UTC") -> DataFrame:
+    """Manifest of the files below the roots, through any Hadoop file system.
+
+    Bytes are not read. Spark skips empty files and names that start with ``_`` or ``.`` (the review
+    folder, for one): :func:`walk_folders` lists completely and is what an audit needs. There is no
+    creation date here; the modification date, on the clock of ``zone``, stands in for it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    changed = F.col("modificationTime").cast("timestamp_ntz")
+    changed = F.convert_timezone(F.current_timezone(), F.lit(zone), F.col("modificationTime").cast("timestamp_ntz"))
     return files.select(
         paths.local_path(F.col("path")).alias("path"), F.col("length").alias("file_size"),
         changed.alias("creation_date"), changed.alias("modification_date"),
@@ -33,41 +40,51 @@ def scan_binary_files(spark: SparkSession, *roots: str) -> DataFrame:
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
+            system, path = file_system(folder)
+            prefix = folder[: len(folder) - len(path)]
+            local = system.type_name == "local"
             rows = []
-            with os.scandir(folder) as found:
-                for entry in found:
-                    # Folders behind links are not entered; linked files count as files.
-                    if entry.is_dir(follow_symlinks=False) or entry.is_file():
-                        rows.append((entry.path, entry.is_dir(follow_symlinks=False)))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["path", "is_folder"])
-                        rows = []
+            for info in system.get_file_info(fs.FileSelector(path)):
+                # Folders behind links are not entered; linked files count as files.
+                if info.type == fs.FileType.Directory and not (local and os.path.islink(info.path)):
+                    rows.append((prefix + info.path, True))
+                elif info.type == fs.FileType.File:
+                    rows.append((prefix + info.path, False))
             yield pd.DataFrame(rows, columns=["path", "is_folder"]).astype({"is_folder": bool})
 
 
-def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            try:
-                stat = os.stat(path)
-            except OSError:
-                continue
-            moments = (datetime.fromtimestamp(t) for t in (stat.st_ctime, stat.st_mtime))
-            rows.append((path, stat.st_size, *moments))
-        yield pd.DataFrame(rows, columns=["path", "file_size", "creation_date", "modification_date"])
-
-
-def walk_folders(spark: SparkSession, *roots: str) -> DataFrame:
-    """Manifest of every file below folders on a shared mount, hidden names included.
-
-    Folders are listed level by level, each level as one distributed job; file stats, with the
-    change time as creation date, are then read by all tasks. A file whose stats cannot be read is
-    left out.
+def walk_folders(spark: SparkSession, *roots: str, zone: str = "UTC") -> DataFrame:
+    """Manifest of every file below folders, hidden names and empty files included.
+
+    Roots are paths on a shared mount or URIs of any store that pyarrow reads. Folders are listed
+    level by level, each level as one distributed job; stats are then read by all tasks, on the
+    clock of ``zone``. On a mount the change time is the creation date, elsewhere the modification
+    date. A file whose stats cannot be read is left out.
     """
     for root in roots:
-        if not os.path.isdir(root):
+        system, path = file_system(root)
+        if system.get_file_info(path).type != fs.FileType.Directory:
             raise NotADirectoryError(root)
+
+    def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clock = ZoneInfo(zone)
+        moment = lambda t: datetime.fromtimestamp(t, clock).replace(tzinfo=None)
+        for batch in batches:
+            rows = []
+            for place in batch["path"]:
+                try:
+                    system, path = file_system(place)
+                    if system.type_name == "local":
+                        stat = os.stat(path)
+                        rows.append((place, stat.st_size, moment(stat.st_ctime), moment(stat.st_mtime)))
+                    else:
+                        info = system.get_file_info(path)
+                        changed = moment(info.mtime_ns / 1e9) if info.mtime_ns else None
+                        rows.append((place, info.size, changed, changed))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "file_size", "creation_date", "modification_date"])
+
     level = spark.createDataFrame([(root.rstrip("/"),) for root in roots], "path string")
     files = None
     while True:
@@ -76,4 +93,4 @@ def walk_folders(spark: SparkSession, *roots: str) -> DataFrame:
         files = found if files is None else files.unionByName(found)
         level = listed.filter("is_folder").select("path")
         if level.isEmpty():
-            return files.repartition("path").mapInPandas(_stats, schemas.MANIFEST)
+            return files.repartition("path").mapInPandas(stats, schemas.MANIFEST)

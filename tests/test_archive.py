@@ -159,6 +159,19 @@ def test_even_keys_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 2
 
 
+def test_listing_of_a_uri_is_complete(spark, tmp_path):
+    (tmp_path / "_review_needed").mkdir()
+    (tmp_path / "_review_needed" / ".x").write_bytes(b"x")
+    (tmp_path / "empty").write_bytes(b"")
+    os.symlink(tmp_path, tmp_path / "loop")
+    os.utime(tmp_path / "empty", (0, 0))
+    files = listing.walk_folders(spark, f"file://{tmp_path}", zone="Asia/Tokyo")
+    rows = {r.path.removeprefix(f"file://{tmp_path}/"): r for r in files.collect()}
+    assert {k: r.file_size for k, r in rows.items()} == {"_review_needed/.x": 1, "empty": 0}
+    assert rows["empty"].modification_date == datetime(1970, 1, 1, 9)
+    assert {r.new_hash for r in contents.hash_files(files).collect()} == {hashlib.sha256(b).hexdigest() for b in (b"x", b"")}
+
+
 def test_only_missing_hashes_are_asked_for(spark):
     records = spark.createDataFrame([("/a", "h"), ("/b", ""), ("/c", None), ("/gone", None)], "file_path string, file_hash string")
     present = spark.createDataFrame([("/a",), ("/b",), ("/c",), ("/new",)], "path string")

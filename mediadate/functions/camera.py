@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def decimal_degrees(dms: Column, ref: Column) -> Column:
@@ -20,12 +18,8 @@ def decimal_degrees(dms: Column, ref: Column) -> Column:
 
 
 def one_decimal(number: Column) -> Column:
-    """One decimal, rounded on the exact binary value (the JVM rounds its shortest decimal text)."""
-
-    def text(value: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in value], dtype=object)
-
-    return F.pandas_udf(text, T.StringType())(number)
+    """One decimal, rounded half to even on the exact binary value."""
+    return F.replace(F.format_number(number, 1), F.lit(","), F.lit(""))
 
 
 def clean_text(text: Column) -> Column:

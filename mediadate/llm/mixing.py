@@ -95,7 +95,7 @@ def _taken(limits: Column) -> Column:
 
 
 def _next_limit(open_rows: DataFrame) -> DataFrame:
-    """Per source the last row, by rank, up to which the rows that fit stay within the gap.
+    """Per source the last row, by rank, up to which the rows that fit stay within the gap, and their words.
 
     ``open_rows``: source, gap, rank, doc_id, size. Rows alike in all of these go together.
     """
@@ -123,33 +123,56 @@ def _next_limit(open_rows: DataFrame) -> DataFrame:
     running = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_upto", F.col("start") + F.sum("size").over(running)).where("_upto <= gap")
     ahead = met.where(F.col("edge").isNull() | (F.col("block") < F.col("edge")))
-    parts = ahead.select("source", "gap", _position().alias("last")).unionByName(
-        inside.select("source", "gap", _position().alias("last"))
+    columns = ["source", "gap", "size", _position().alias("last")]
+    parts = ahead.select(*columns).unionByName(inside.select(*columns))
+    limit = F.struct(F.first("gap").alias("gap"), F.max("last").alias("last"))
+    return parts.groupBy("source").agg(limit.alias("limit"), F.sum("size").alias("words"))
+
+
+def _sized(docs: DataFrame, weight_column: str | None, carry: bool = False) -> DataFrame:
+    """doc_id, source (never null), size in words and weight; with ``carry`` the row itself as ``_row``."""
+    own = F.greatest(F.coalesce(F.col(weight_column).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_column else F.lit(1.0)
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        own.alias("weight"),
+        *([F.struct(*(docs[name] for name in docs.columns)).alias("_row")] if carry else []),
     )
-    return parts.groupBy("source").agg(F.first("gap").alias("gap"), F.max("last").alias("last"))
 
 
-def mix_documents(
+def _ranked(rows: DataFrame, targets: DataFrame, levels: DataFrame | None, most: int, seed: int) -> DataFrame:
+    """Rows with source_size, target, ``sure`` copies, the ``chance`` of one more and their rank."""
+    rows = join_lookup(rows, targets, ["source"], "doc_id")
+    if levels is not None:
+        rows = join_lookup(rows, levels, ["source"], "doc_id")
+        expected = F.least(F.col("weight") * F.col("level"), F.lit(float(most)))
+    else:
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        expected = F.least(ratio, F.lit(float(most)))
+    # a chance below a billionth is rounding of a whole number
+    whole = F.floor(expected + 1e-9)
+    chance = F.greatest(expected - whole, F.lit(0.0))
+    rows = rows.withColumn("sure", whole.cast("int")).withColumn("chance", F.when(chance > 1e-9, chance))
+    return rows.withColumn("rank", _rank(F.col("chance"), seed)).drop("weight", "level")
+
+
+def _with_copies(ranked: DataFrame, limits: DataFrame) -> DataFrame:
+    met = join_lookup(ranked, limits, ["source"], "doc_id", "left")
+    none = F.col("chance").isNull() | (F.col("size") == 0)
+    return met.withColumn("copies", F.col("sure") + F.when(none, 0).otherwise(_taken(F.col("limits")).cast("int")))
+
+
+def plan_mix(
     docs: DataFrame, weights: DataFrame, share: float = 1.5, most: int = 2, weight_column: str | None = None,
-    seed: int = 17, rounds: int = 6, closeness: float = 0.001,
+    seed: int = 17, rounds: int = 6, closeness: float = 0.001, carry: bool = False,
 ) -> DataFrame:
-    """Copies of every document in the mix: doc_id, source, size, source_size, target, copies, taken.
+    """Rows as ``_sized`` gives them, with source_size, target and ``copies``.
 
-    ``weights`` has ``source`` and ``weight`` (null is a source of its own; sources that it lacks
-    weigh 0). Size: words of the text, none for null. ``weight_column`` names document weights
-    (null or negative: 0); without it documents of a source are alike. A document without words
-    can be in the mix with any number of copies and takes none. Rows with equal doc_id and size are
-    drawn alike. Reruns agree: nothing depends on the order or the place of rows.
+    All sums are over narrow rows. What they lead to (targets, levels, limits) has a row per source,
+    so whole rows get their copies in one pass, without a shuffle while sources can be broadcast.
     """
-    own = F.greatest(F.coalesce(F.col(weight_column).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_column else F.lit(1.0)
-    rows = settle(
-        docs.select(
-            "doc_id",
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            own.alias("weight"),
-        )
-    )
+    rows = settle(_sized(docs, weight_column))
     keyed = weights.select(
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source"), F.col("weight").cast("double")
     )
@@ -158,22 +181,37 @@ def mix_documents(
     targets = settle(
         share_targets(sources, share, most).select("source", F.col("size").alias("source_size"), "target")
     )
-    rows = join_lookup(rows, targets, ["source"], "doc_id")
-    if weight_column:
-        rows = join_lookup(rows, document_levels(rows, most), ["source"], "doc_id")
-        expected = F.least(F.col("weight") * F.col("level"), F.lit(float(most)))
-    else:
-        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        expected = F.least(ratio, F.lit(float(most)))
-    # a chance below a billionth is rounding of a whole number
-    whole = F.floor(expected + 1e-9)
-    chance = F.greatest(expected - whole, F.lit(0.0))
-    rows = rows.withColumn("sure", whole.cast("int")).withColumn("chance", F.when(chance > 1e-9, chance))
-    rows = settle(rows.withColumn("rank", _rank(F.col("chance"), seed)).drop("weight", "level"))
-    return _fill(rows, rounds, closeness)
+    levels = document_levels(join_lookup(rows, targets, ["source"], "doc_id"), most) if weight_column else None
+    ranked = settle(_ranked(rows, targets, levels, most, seed))
+    limits = _fill(ranked, rounds, closeness)
+    if carry:
+        ranked = _ranked(_sized(docs, weight_column, carry=True), targets, levels, most, seed)
+    return _with_copies(ranked, limits)
+
+
+def mix_documents(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: int = 2, **options) -> DataFrame:
+    """Copies of every document in the mix: doc_id, source, size, source_size, target, copies, taken.
+
+    ``weights`` has ``source`` and ``weight`` (null is a source of its own; sources that it lacks
+    weigh 0). Size: words of the text, none for null. ``weight_column`` names document weights
+    (null or negative: 0); without it documents of a source are alike. A document without words
+    can be in the mix with any number of copies and takes none. Rows with equal doc_id and size are
+    drawn alike. Reruns agree: nothing depends on the order or the place of rows. ``options`` are
+    those of ``plan_mix``.
+    """
+    return plan_mix(docs, weights, share, most, **options).select(
+        "doc_id",
+        F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"),
+        "size",
+        "source_size",
+        "target",
+        F.col("copies").cast("int").alias("copies"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+    )
 
 
 def _fill(rows: DataFrame, rounds: int, closeness: float) -> DataFrame:
+    """Per source the limits of the rounds, from narrow ranked rows."""
     drawn = rows.where(F.col("chance").isNotNull() & (F.col("size") > 0))
     gaps = rows.groupBy("source").agg(
         (F.first("target") - F.sum(F.col("size") * F.col("sure"))).alias("gap"), F.first("target").alias("target")
@@ -184,47 +222,17 @@ def _fill(rows: DataFrame, rounds: int, closeness: float) -> DataFrame:
     for _ in range(rounds):
         met = join_lookup(drawn.drop("target"), state, ["source"], "doc_id")
         reached = _next_limit(met.where(~_taken(F.col("limits"))).select("source", "gap", "rank", "doc_id", "size"))
-        reached = settle(reached.select("source", F.struct("gap", "last").alias("limit")))
-        if reached.limit(1).count() == 0:
+        moved = F.col("limit").isNotNull()
+        limits = F.when(moved, F.array_append("limits", F.col("limit"))).otherwise(F.col("limits"))
+        gap = F.col("gap") - F.coalesce("words", F.lit(0))
+        joined = state.drop("moved").join(reached, "source", "left")
+        state = settle(joined.select("source", gap.alias("gap"), "target", limits.alias("limits"), moved.alias("moved")))
+        if state.where(F.col("moved") & (F.col("gap") > closeness * F.col("target"))).limit(1).count() == 0:
             break
-        limits = F.when(F.col("limit").isNull(), F.col("limits")).otherwise(F.array_append("limits", F.col("limit")))
-        state = settle(state.join(reached, "source", "left").select("source", "gap", "target", limits.alias("limits")))
-        met = join_lookup(drawn.drop("target"), state.drop("target", "gap"), ["source"], "doc_id")
-        words = met.where(_taken(F.col("limits"))).groupBy("source").agg(F.sum("size").alias("words"))
-        start = gaps.select("source", F.col("gap").alias("start"))
-        left = F.col("start") - F.coalesce(F.col("words"), F.lit(0))
-        state = settle(
-            state.drop("gap").join(start, "source").join(words, "source", "left")
-            .select("source", left.alias("gap"), "target", "limits")
-        )
-        if state.where(F.col("gap") > closeness * F.col("target")).limit(1).count() == 0:
-            break
-    met = join_lookup(rows, state.select("source", "limits"), ["source"], "doc_id", "left")
-    extra = F.when(F.col("chance").isNull(), 0).when(F.col("size") == 0, 0).otherwise(_taken(F.col("limits")).cast("int"))
-    copies = F.col("sure") + extra
-    return met.select(
-        "doc_id",
-        F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"),
-        "size",
-        "source_size",
-        "target",
-        copies.cast("int").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
-    )
+    return state.select("source", "limits")
 
 
 def repeat_documents(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: int = 2, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it.
-
-    Copies go by doc_id, source and size, in which rows that are drawn alike agree.
-    """
-    mixed = mix_documents(docs, weights, share, most, **options).where("copies > 0")
-    copies = mixed.select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.sequence(F.lit(1), F.col("copies")).alias("_copies"),
-    )
-    copies = settle(copies.distinct())
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    same = docs["doc_id"].eqNullSafe(copies["_doc_id"]) & docs["source"].eqNullSafe(copies["_source"]) & (size == copies["_size"])
-    joined = docs.join(copies, same)
-    return joined.withColumn("_copy", F.explode("_copies")).select(*(docs[name] for name in docs.columns))
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
+    planned = plan_mix(docs, weights, share, most, carry=True, **options).where("copies > 0")
+    return planned.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")

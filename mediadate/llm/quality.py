@@ -47,14 +47,16 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     return F.when(repeats, named(ordered, lambda pairs: named(repeated(pairs), covered))).otherwise(0).cast("long")
 
 
-def measure_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts per document: doc_id, text_hash, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+def measure_documents(docs: DataFrame, host: str = "source", carry: bool = False) -> DataFrame:
+    """Counts per document: doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Null texts have no words, characters or lines; null hosts are one host. Rows are independent.
+    With ``carry`` the row itself comes along as ``_row``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: _length_without(line, WHITE) > 0)
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(host).alias("host"), text.alias("text"), word_list(text).alias("words"), lines.alias("lines"))
+    row = [F.struct(*(docs[name] for name in docs.columns)).alias("_row")] if carry else []
+    base = docs.select("doc_id", *row, F.col(host).alias("host"), text.alias("text"), word_list(text).alias("words"), lines.alias("lines"))
     windows = F.when(
         F.size("words") >= 3,
         F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
@@ -63,7 +65,7 @@ def measure_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     as_long = lambda value, name: value.cast("long").alias(name)
     return base.select(
         "doc_id",
-        "text_hash",
+        *(["_row"] if carry else []),
         "host",
         as_long(F.size("words"), "n_words"),
         as_long(_length_without(F.col("text"), WHITE), "word_chars"),
@@ -126,7 +128,7 @@ def beta_prior(hosts: int, documents: int, failed: int, rates: float, squares: f
     return mean, max(LEAST_PRIOR, min(1e6, spread / between - 1 if between > 0 else 1e6))
 
 
-def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = POOR_RATE) -> DataFrame:
+def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = POOR_RATE, carry: bool = False) -> DataFrame:
     """Counts, verdicts and host rates per row of ``docs``: ``kept`` is the verdict.
 
     Kept is a document that passes the base rule and, if its host is poor, the soft rules, too.
@@ -134,7 +136,7 @@ def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = PO
     and joined back by broadcast or, beyond 100,000 hosts, with salted keys. Repeated rows get the
     same verdict each; an empty table gives an empty result.
     """
-    measured = measure_documents(docs, host)
+    measured = measure_documents(docs, host, carry)
     key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
     judged = measured.withColumn("host_key", key).withColumn("base_failed", base_failed())
     judged = settle(judged.withColumn("soft_failed", soft_failed()))
@@ -145,9 +147,6 @@ def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = PO
 def keep_good(docs: DataFrame, host: str = "source", poor_rate: float = POOR_RATE) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The few rejected rows are told by doc_id and text; an anti-join takes them out.
+    Rows are written along with their counts, once, so that texts need no shuffle to meet verdicts.
     """
-    judged = judge_documents(docs, host, poor_rate)
-    rejected = settle(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = docs["doc_id"].eqNullSafe(rejected["_doc_id"]) & (F.xxhash64(docs["text"]) == rejected["_hash"])
-    return docs.join(rejected, same, "left_anti")
+    return judge_documents(docs, host, poor_rate, carry=True).where("kept").select("_row.*")

@@ -81,13 +81,15 @@ class EliasFano:
             bits[open_] = more
             count[open_] = np.bitwise_count(more)
             open_ = open_[rest[open_] >= count[open_]]
-        # the byte of the word, by running counts of its bytes
-        rows = bits.view(np.uint8).reshape(-1, 8)
-        running = np.cumsum(np.bitwise_count(rows), axis=1, dtype=np.int64)
-        byte = (running <= rest[:, None]).sum(axis=1)
-        at = np.arange(len(rest))
-        before = np.where(byte > 0, running[at, byte - 1], 0)
-        return word * 64 + byte * 8 + self.table[rows[at, byte], rest - before]
+        # inside the word: go to the upper half whenever the lower one has too few
+        place = word << 6
+        for half in (32, 16, 8):
+            lower = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = rest >= lower
+            rest -= lower * up
+            bits >>= (up * half).astype(np.uint64)
+            place += up * half
+        return place + self.table[(bits & np.uint64(255)).astype(np.int64), rest]
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The values at these indices."""
@@ -98,24 +100,39 @@ class EliasFano:
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is not below the wanted one, and whether it is equal.
 
-        Wanted values share the values' universe. The values with equal high bits lie between two
-        zeros; their low bits ascend and are bisected.
+        Wanted values share the values' universe. The values with equal high bits begin after a zero;
+        most are found in a step or two, and long runs are bisected up to the next zero.
         """
         wanted = wanted.astype(np.uint64)
         high, low = (wanted >> np.uint64(self.low)).astype(np.int64), wanted & self.mask
-        start = np.zeros(len(wanted), np.int64)
+        place = np.zeros(len(wanted), np.int64)
         inner = np.flatnonzero(high > 0)
-        start[inner] = self._select(high[inner] - 1, self.zeros, True) + 1 - high[inner]
-        stop = self._select(high.copy(), self.zeros, True) - high
-        end = stop.copy()
-        active = np.flatnonzero(start < stop)
+        place[inner] = self._select(high[inner] - 1, self.zeros, True) + 1
+        equal = np.zeros(len(wanted), bool)
+        active = np.arange(len(wanted))
+        for _ in range(2):
+            own = place[active]
+            inside = (self.highs[own >> 6] >> (own & 63).astype(np.uint64)) & _ONE == 1
+            active, own = active[inside], own[inside]
+            found = self._low(own - high[active])
+            equal[active] = found == low[active]
+            active = active[found < low[active]]
+            place[active] += 1
+        start = place - high
+        if len(active):
+            start[active], equal[active] = self._bisect(start[active], high[active], low[active])
+        return start, equal
+
+    def _bisect(self, start: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = self._select(high.copy(), self.zeros, True) - high
+        stop, active = end.copy(), np.flatnonzero(start < end)
         while len(active):
             middle = (start[active] + stop[active]) >> 1
             below = self._low(middle) < low[active]
             start[active[below]] = middle[below] + 1
             stop[active[~below]] = middle[~below]
             active = active[start[active] < stop[active]]
-        equal = np.zeros(len(wanted), bool)
+        equal = np.zeros(len(start), bool)
         there = np.flatnonzero(start < end)
         equal[there] = self._low(start[there]) == low[there]
         return start, equal

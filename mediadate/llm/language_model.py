@@ -155,8 +155,12 @@ class Model:
 
     @staticmethod
     def _by_shard(numbers: np.ndarray):
-        order = np.argsort(numbers, kind="stable")
-        ends = np.flatnonzero(np.diff(numbers[order])) + 1
+        if not len(numbers):
+            return
+        # 16-bit numbers are sorted by radix, many times faster
+        small = numbers.astype(np.uint16) if numbers.max() < 1 << 16 and numbers.min() >= 0 else numbers
+        order = np.argsort(small, kind="stable")
+        ends = np.flatnonzero(np.diff(small[order])) + 1
         for part in np.split(order, ends):
             if len(part):
                 yield int(numbers[part[0]]), part
@@ -289,7 +293,7 @@ def encode_corpus(docs: DataFrame, facts: dict, files: list[tuple]) -> DataFrame
                 lists = [words_of(text) for text in part.column("text").to_pylist()]
                 flat = list(itertools.chain.from_iterable(lists))
                 get = known.get
-                numbers = np.fromiter((get(word, -2) for word in flat), np.int64, len(flat))
+                numbers = np.fromiter(map(get, flat, itertools.repeat(-2)), np.int64, len(flat))
                 missing = np.flatnonzero(numbers == -2)
                 fresh = list({flat[i] for i in missing.tolist()})
                 found = model.numbers_of(np.fromiter(map(word_hash, fresh), np.int64, len(fresh)))
@@ -334,19 +338,16 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def count_bigrams(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
+def count_bigrams(encoded: DataFrame) -> DataFrame:
     """``key`` (first * 2**32 + second) and ``n`` of the bigrams found at least twice."""
 
     def work(batches):
-        model, held, size = Model(facts, files), [], 0
+        held, size = [], 0
         for _, words, starts in _token_parts(batches):
-            often = model.of_words("counts", words) >= LEAST
-            pairs = np.flatnonzero(often[:-1] & often[1:])
-            crossing = np.zeros(len(words), bool)
-            crossing[starts] = True
-            pairs = pairs[~crossing[pairs + 1]]
-            held.append(words[pairs] << 32 | words[pairs + 1])
-            size += len(pairs)
+            inside = np.ones(len(words), bool)
+            inside[starts] = False  # no pair across documents
+            held.append((words[:-1] << 32 | words[1:])[inside[1:]])
+            size += len(held[-1])
             if size > 4 * TOKENS_HELD:
                 yield _pairs_batch(*_counted(np.concatenate(held)))
                 held, size = [], 0
@@ -443,7 +444,7 @@ class Builder:
         return _build(numbered, ["hash", "count"], build, self.shards)
 
     def add_bigrams(self, encoded: DataFrame) -> None:
-        bigrams = settle(count_bigrams(encoded, self.facts, self.files))
+        bigrams = settle(count_bigrams(encoded))
         folder, facts, files = self.folder, dict(self.facts), list(self.files)
 
         def build(number, pairs, counts):

@@ -255,12 +255,17 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4)
 
 
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near fingerprints."""
+    return keep_named(docs, near_duplicate_groups(docs, shingle, distance))
+
+
+def keep_named(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns.
 
     That is the row with the smallest doc_id, of equal ids the one with the smallest text hash, of
     rows equal in both any one. The others are told by doc_id and text and taken out.
     """
-    groups = settle(near_duplicate_groups(docs, shingle, distance))
+    groups = settle(groups)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_text"))
     others = groups.where(~stays).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct()
     others = settle(others)

@@ -1,17 +1,21 @@
 """A word trigram model in Elias-Fano trie levels, memory-mapped by the scoring tasks.
 
-Counts come from all training documents. Words are numbered by the order of their hashes. Trie
-levels, each in shards of ``WIDTH`` first words, one file a shard:
-
-1. words: the hashes (monotone) and, by number, count, probability and back-off;
-2. bigrams: for word a, the following words b as a*V + b (monotone), a pointer per word (monotone);
-3. trigrams: for bigram i, the third word as its rank among the followers of the bigram's second
-   word, i*R + rank (monotone), so that levels are searched relative to their context.
-
-Bigrams and trigrams found once are pruned; a trigram is only counted if both of its bigrams stay,
-which loses none that is found twice. Probabilities are interpolated with absolute discounting: a
-context keeps the discounted and the pruned mass as its back-off weight, so they still sum to one.
-They are stored as 16-bit codes of their logarithms.
+Counts come from all training documents, and n-grams found once are pruned. Words are numbered by the order of
+their hashes. Levels are cut into files, each written by a task of its own:
+
+1. words, ``WIDTH`` a file: the hashes (monotone) and, by number, the count;
+2. bigrams, at most ``ENTRIES`` a file: for word a, the following words b as a*V + b (monotone);
+3. trigrams, at most ``ENTRIES`` a file: for bigram i, the third word as its rank among the followers
+   of the bigram's second word, i*R + rank (monotone);
+4. back-offs of bigrams, ``ENTRIES`` a file, by bigram;
+5. heads of words, ``WIDTH`` a file: the first bigram (monotone) and the back-off of each word.
+
+Bigrams are numbered through all files, so a file can end inside the followers of a word or of a bigram.
+What a word or a bigram needs of all its followers is added up before files are cut. The driver holds
+the first key and the first number of every file.
+
+Probabilities are interpolated with absolute discounting: a context keeps the discounted and the pruned mass as its
+back-off weight, so they sum to one. They are stored as 16-bit codes of their logarithms.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ END = b"\n"  # no word holds white space
 WIDTH = 1 << 18
 DISCOUNT = 0.75
 LEAST = 2
+ENTRIES = 1 << 19
 CODES, LOWEST = 65_535, -24.0
 WORDS_HELD = 500_000
 TOKENS_HELD = 1 << 19
@@ -98,10 +103,10 @@ def _store(folder: str, level: int, shard: int, parts: dict[str, np.ndarray]) ->
             layout.append(f"{name}:{array.dtype.str}:{at}:{len(array)}")
             out.write(data + bytes(-len(data) % 8))
             at += len(data) + -len(data) % 8
-    return {"level": level, "shard": shard, "place": place, "layout": ";".join(layout), "entries": int(len(parts["entries"]))}
+    return {"level": level, "shard": shard, "place": place, "layout": ";".join(layout), "start": 0, "entries": 0}
 
 
-FILES = "level long, shard long, place string, layout string, entries long, widest long"
+FILES = "level long, shard long, place string, layout string, start long, entries long"
 
 
 class Shard:
@@ -135,6 +140,8 @@ class Model:
         self.vocabulary, self.total = facts["vocabulary"], facts["total"]
         self.relative = facts.get("relative", 1)
         self.firsts = np.array(facts["firsts"], np.int64)
+        self.starts = {level: np.array(facts.get(f"starts{level}", []), np.int64) for level in (2, 3)}
+        self.bases = {level: np.array(facts.get(f"bases{level}", []), np.int64) for level in (2, 5)}
         self.files = {(level, shard): (place, layout) for level, shard, place, layout in files}
         self.open = worker_cache().setdefault("model shards", {})
         if self.open.get("model") != facts["model"]:
@@ -147,8 +154,9 @@ class Model:
         place = self.files[level, number]
         if place not in self.open:
             shard = Shard(*place)
-            shard.entries = shard.sequence("keys")
-            if level == 2:
+            if level <= 3:
+                shard.entries = shard.sequence("keys")
+            if level == 5:
                 shard.pointers = shard.sequence("pointers")
             self.open[place] = shard
         return self.open[place]
@@ -188,43 +196,70 @@ class Model:
         counts = self.of_words("counts", words)
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
-    def bigrams_of(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard and index of each bigram in it; index -1 if there is none."""
-        numbers, result = np.where(first >= 0, first // WIDTH, 0), np.full(len(first), -1, np.int64)
+    def find(self, level: int, keys: np.ndarray):
+        """Of the keys that are in the level: their places among ``keys``, shard and index in it."""
+        for number, part in self._by_shard(np.searchsorted(self.starts[level], keys, "right") - 1):
+            if number < 0:
+                continue
+            shard = self.shard(level, number)
+            wanted = (keys[part] - self.starts[level][number]).view(np.uint64)
+            inside = np.flatnonzero(wanted <= shard.arrays["span"][0])
+            index, equal = shard.entries.find(wanted[inside])
+            yield part[inside[equal]], number, index[equal]
+
+    def bigrams_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Number of each bigram; -1 if there is none."""
+        result = np.full(len(first), -1, np.int64)
         known = np.flatnonzero((first >= 0) & (second >= 0))
-        for number, part in self._by_shard(numbers[known]):
-            part = known[part]
-            if (shard := self.shard(2, number)) is not None:
-                wanted = (first[part] - number * WIDTH) * self.vocabulary + second[part]
-                index, equal = shard.entries.find(wanted)
-                result[part[equal]] = index[equal]
-        return numbers, result
-
-    def relative_rank(self, numbers: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Ranks of bigrams among those of their first word."""
-        result = np.zeros(len(index), np.int64)
-        for number, part in self._by_shard(numbers):
-            starts = self.shard(2, number).pointers.get(first[part] - number * WIDTH).astype(np.int64)
-            result[part] = index[part] - starts
+        for part, number, index in self.find(2, first[known] * self.vocabulary + second[known]):
+            result[known[part]] = index + self.bases[2][number]
+        return result
+
+    def heads(self, words: np.ndarray) -> np.ndarray:
+        """Number of the first bigram of each word."""
+        result = np.zeros(len(words), np.int64)
+        for number, part in self._by_shard(words // WIDTH):
+            result[part] = self.shard(5, number).pointers.get(words[part] - number * WIDTH).astype(np.int64) + self.bases[5][number]
+        return result
+
+    def word_backoffs(self, words: np.ndarray) -> np.ndarray:
+        result = np.zeros(len(words))
+        for number, part in self._by_shard(words // WIDTH):
+            result[part] = _decode_log(self.shard(5, number).arrays["backoffs"][words[part] - number * WIDTH])
         return result
 
-    def of_bigrams(self, name: str, numbers: np.ndarray, index: np.ndarray) -> np.ndarray:
+    def _bigram_shards(self, index: np.ndarray):
+        for number, part in self._by_shard(np.searchsorted(self.bases[2], index, "right") - 1):
+            yield self.shard(2, number), number, part, index[part] - self.bases[2][number]
+
+    def of_bigrams(self, name: str, index: np.ndarray) -> np.ndarray:
         result = np.zeros(len(index))
-        for number, part in self._by_shard(numbers):
-            values = self.shard(2, number).arrays[name][index[part]]
+        for shard, _, part, local in self._bigram_shards(index):
+            values = shard.arrays[name][local]
             result[part] = values if name == "counts" else _decode_log(values)
         return result
 
-    def log_bigram(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray, index: np.ndarray) -> np.ndarray:
+    def second_words(self, index: np.ndarray) -> np.ndarray:
+        result = np.zeros(len(index), np.int64)
+        for shard, number, part, local in self._bigram_shards(index):
+            result[part] = (shard.entries.get(local).astype(np.int64) + self.starts[2][number]) % self.vocabulary
+        return result
+
+    def bigram_backoffs(self, index: np.ndarray) -> np.ndarray:
+        """Logarithms; a bigram that nothing follows has weight one."""
+        result = np.zeros(len(index))
+        for number, part in self._by_shard(index // ENTRIES):
+            if (shard := self.shard(4, number)) is not None:
+                result[part] = _decode_log(shard.arrays["backoffs"][index[part] - number * ENTRIES])
+        return result
+
+    def log_bigram(self, first: np.ndarray, second: np.ndarray, index: np.ndarray) -> np.ndarray:
         """log10 of the second word after the first; an unknown first word says nothing."""
         result = self.unigram(second)
         missing = np.flatnonzero((index < 0) & (first >= 0))
-        for number, part in self._by_shard(first[missing] // WIDTH):
-            part = missing[part]
-            if (shard := self.shard(2, number)) is not None:
-                result[part] += _decode_log(shard.arrays["backoffs"][first[part] - number * WIDTH])
+        result[missing] += self.word_backoffs(first[missing])
         known = np.flatnonzero(index >= 0)
-        result[known] = self.of_bigrams("codes", numbers[known], index[known])
+        result[known] = self.of_bigrams("codes", index[known])
         return result
 
     def pairs_of(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,43 +274,42 @@ class Model:
         return (keys >> 32) - 2, (keys & 0xFFFFFFFF) - 1, places
 
     def bigram_facts(self, words: np.ndarray, starts: np.ndarray):
-        """Distinct pairs, their places, shards, indices, ranks, and the places of trigrams' contexts."""
+        """Distinct pairs, their places, numbers, ranks, and the places of trigrams' contexts."""
         first, second, places = self.pairs_of(words, starts)
-        numbers, index = self.bigrams_of(first, second)
+        index = self.bigrams_of(first, second)
         known = index >= 0
         rank = np.zeros(len(index), np.int64)
-        rank[known] = self.relative_rank(numbers[known], index[known], first[known])
+        rank[known] = index[known] - self.heads(first[known])
         left, right = places[:-1], places[1:]
         context = np.flatnonzero(known[left] & (first[right] != -2))
-        return first, second, places, numbers, index, known, rank, context
+        return first, second, places, index, known, rank, context
 
     def score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of every token; ``starts`` are the places where documents begin."""
         if len(words) < 2:
             return self.unigram(words)
-        first, second, places, numbers, index, known, rank, context = self.bigram_facts(words, starts)
-        result = np.concatenate([self.unigram(words[:1]), self.log_bigram(first, second, numbers, index)[places]])
+        first, second, places, index, known, rank, context = self.bigram_facts(words, starts)
+        result = np.concatenate([self.unigram(words[:1]), self.log_bigram(first, second, index)[places]])
         backoff = np.zeros(len(index))
-        backoff[known] = self.of_bigrams("backoffs3", numbers[known], index[known])
+        backoff[known] = self.bigram_backoffs(index[known])
         left, right = places[context], places[context + 1]
         result[context + 2] += backoff[left]
         both = np.flatnonzero(known[right])
-        for number, part in self._by_shard(numbers[left[both]]):
-            part = both[part]
-            if (shard := self.shard(3, number)) is not None:
-                keys, back = np.unique(index[left[part]] * self.relative + rank[right[part]], return_inverse=True)
-                at, equal = shard.entries.find(keys)
-                codes = shard.arrays["codes"][np.where(equal, at, 0)]
-                found = equal[back]
-                result[context[part[found]] + 2] = _decode_log(codes[back[found]])
+        keys, back = np.unique(index[left[both]] * self.relative + rank[right[both]], return_inverse=True)
+        chance, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        for part, number, at in self.find(3, keys):
+            chance[part] = _decode_log(self.shard(3, number).arrays["codes"][at])
+            found[part] = True
+        there = found[back]
+        result[context[both[there]] + 2] = chance[back[there]]
         return result
 
-    def trigram_keys(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard and key of every trigram whose bigrams are both in the trie."""
-        _, _, places, numbers, index, known, rank, context = self.bigram_facts(words, starts)
+    def trigram_keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Key of every trigram; those with a pruned bigram have none."""
+        _, _, places, index, known, rank, context = self.bigram_facts(words, starts)
         left, right = places[context], places[context + 1]
         both = known[right]
-        return numbers[left[both]], index[left[both]] * self.relative + rank[right[both]]
+        return index[left[both]] * self.relative + rank[right[both]]
 
 
 def encode_corpus(docs: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
@@ -362,21 +396,17 @@ def count_bigrams(encoded: DataFrame) -> DataFrame:
 
 
 def count_trigrams(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
-    """``shard, key, n`` of the trigrams found at least twice, keyed as in their level."""
+    """``key, n`` of the trigrams found at least twice, keyed as in their level."""
 
     def work(batches):
         model = Model(facts, files)
         for _, words, starts in _token_parts(batches):
             if len(words) > 2:
-                shards, keys = model.trigram_keys(words, starts)
-                for number, part in model._by_shard(shards):
-                    found, counts = _counted(keys[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), number)), pa.array(found), pa.array(counts)], ["shard", "key", "n"]
-                    )
+                keys, counts = _counted(model.trigram_keys(words, starts))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
-    rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "shard long, key long, n long")
-    return rows.groupBy("shard", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
 def _shard_rows(batches):
@@ -408,11 +438,60 @@ def _build(rows: DataFrame, columns: list[str], build, shards: int) -> DataFrame
     return settle(dealt.select(F.col("shard").cast("long"), *columns).mapInArrow(work, FILES))
 
 
+def _build_ranges(rows: DataFrame, build) -> DataFrame:
+    """Write the files of a level of ``key, n`` by ranges of distinct keys, ``ENTRIES`` a file at most.
+
+    A range is a task of its own; one that came out larger is cut into several files.
+    """
+
+    def work(batches):
+        held, size = [], 0
+        for batch in batches:
+            columns = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+            while len(columns[0]):
+                taken = [column[: ENTRIES - size] for column in columns]
+                columns = [column[ENTRIES - size :] for column in columns]
+                held.append(taken)
+                size += len(taken[0])
+                if size == ENTRIES:
+                    yield pa.RecordBatch.from_pylist([build(*map(np.concatenate, zip(*held)))])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([build(*map(np.concatenate, zip(*held)))])
+
+    count = max(1, -(-4 * rows.count() // (3 * ENTRIES)))
+    dealt = rows.select("key", "n").repartitionByRange(count, "key").sortWithinPartitions("key")
+    return settle(dealt.mapInArrow(work, FILES))
+
+
+def _ranges(table: DataFrame, level: int, facts: dict) -> list[tuple]:
+    """Files of ranges in the order of their keys; their first keys and numbers go to ``facts``."""
+    found = table.orderBy("start").collect()
+    facts[f"starts{level}"] = [row["start"] for row in found]
+    facts[f"bases{level}"] = [0, *itertools.accumulate(row["entries"] for row in found)][: len(found)]
+    return [(level, number, row["place"], row["layout"]) for number, row in enumerate(found)]
+
+
 def _files(*tables: DataFrame) -> list[tuple]:
-    """Shard files of the levels so far: one row per 2**18 words, in the driver."""
+    """Shard files of levels, in the driver."""
     return [(row["level"], row["shard"], row["place"], row["layout"]) for table in tables for row in table.collect()]
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)
+
+
+def _range_store(folder: str):
+    """A function that writes the file of a range: ascending keys from the first one on, and more arrays."""
+
+    def store(level, keys, parts):
+        values = (keys - keys[0]).view(np.uint64)
+        parts = {"span": values[-1:]} | parts | _named("keys", elias_fano.encode(values, int(values[-1]) + 1))
+        return _store(folder, level, 0, parts) | {"start": int(keys[0]), "entries": len(keys)}
+
+    return store
+
+
 class Builder:
     """Trains the model: fields ``facts`` and ``files`` grow with every level."""
 
@@ -429,8 +508,7 @@ class Builder:
             "model": uuid.uuid4().hex,
         }
         self.shards = len(firsts)
-        self.levels = [self._words(numbered)]
-        self.files = _files(*self.levels)
+        self.files = _files(self._words(numbered))
 
     def _words(self, numbered: DataFrame) -> DataFrame:
         folder, firsts = self.folder, self.facts["firsts"]
@@ -438,74 +516,85 @@ class Builder:
         def build(number, hashes, counts):
             values = (hashes - np.int64(firsts[number])).view(np.uint64)
             keys = elias_fano.encode(values, int(values[-1]) + 1)
-            parts = {"entries": np.zeros(0), "span": values[-1:], "counts": counts.astype(np.int64)} | _named("keys", keys)
-            return _store(folder, 1, number, parts) | {"widest": 0}
+            parts = {"span": values[-1:], "counts": counts.astype(np.int64)} | _named("keys", keys)
+            return _store(folder, 1, number, parts)
 
         return _build(numbered, ["hash", "count"], build, self.shards)
 
     def add_bigrams(self, encoded: DataFrame) -> None:
+        """Write level 5 from sums per first word, then level 2."""
         bigrams = settle(count_bigrams(encoded))
+        firsts = bigrams.groupBy(F.shiftright("key", 32).alias("first")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"))
+        firsts = settle(firsts.withColumn("shard", (F.col("first") / WIDTH).cast("long")))
+        self.facts["relative"] = (firsts.agg(F.max("followers")).first()[0] or 0) + 1
         folder, facts, files = self.folder, dict(self.facts), list(self.files)
 
-        def build(number, pairs, counts):
+        def build_heads(number, first, followers, counts):
             model, base = Model(facts, files), number * WIDTH
-            first, second = pairs >> 32, pairs & 0xFFFFFFFF
             width = min(WIDTH, facts["vocabulary"] - base)
-            local = first - base
-            starts = np.searchsorted(local, np.arange(width + 1))
+            sizes, kept = np.zeros(width, np.int64), np.zeros(width)
+            sizes[first - base] = followers
+            kept[first - base] = counts - DISCOUNT * followers
             totals = model.of_words("counts", np.arange(base, base + width))
-            kept = np.bincount(local, counts - DISCOUNT, width)
-            backoff = 1 - kept / np.maximum(totals, 1)
-            unigram = 10.0 ** model.unigram(second)
-            chance = (counts - DISCOUNT) / totals[local] + backoff[local] * unigram
-            keys = elias_fano.encode(local * facts["vocabulary"] + second, width * facts["vocabulary"])
-            pointers = elias_fano.encode(starts, len(pairs) + 1)
-            parts = {
-                "entries": np.zeros(0), "counts": counts.astype(np.int64), "codes": _encode_log(np.log10(chance)),
-                "backoffs": _encode_log(np.log10(backoff)), "seconds": second.astype(np.uint32),
-                "backoffs3": np.full(len(pairs), CODES, np.uint16),
-            }
-            parts |= _named("keys", keys) | _named("pointers", pointers)
-            return _store(folder, 2, number, parts) | {"widest": int(np.diff(starts).max())}
-
-        rows = bigrams.select((F.shiftright("key", 32) / WIDTH).cast("long").alias("shard"), "key", "n")
-        self.levels.append(_build(rows, ["key", "n"], build, self.shards))
+            starts = np.cumsum(sizes) - sizes
+            total = int(sizes.sum())
+            parts = {"backoffs": _encode_log(np.log10(1 - kept / np.maximum(totals, 1)))}
+            parts |= _named("pointers", elias_fano.encode(starts, total + 1))
+            return _store(folder, 5, number, parts) | {"entries": total}
+
+        # words without followers have heads too: every shard has a row at least, the one of its first word
+        every = firsts.sparkSession.range(self.shards).select(
+            F.col("id").alias("shard"), (F.col("id") * WIDTH).alias("first"), F.lit(0).alias("followers"), F.lit(0).alias("n")
+        )
+        rows = firsts.select("shard", "first", "followers", "n").union(every)
+        rows = rows.groupBy("shard", "first").agg(F.sum("followers").alias("followers"), F.sum("n").alias("n"))
+        heads = _build(rows, ["first", "followers", "n"], build_heads, self.shards).orderBy("shard").collect()
+        discard(firsts)
+        self.facts["bases5"] = [0, *itertools.accumulate(row["entries"] for row in heads)][: len(heads)]
+        self.files += [(5, row["shard"], row["place"], row["layout"]) for row in heads]
+        facts, files, store = dict(self.facts), list(self.files), _range_store(folder)
+
+        def build(pairs, counts):
+            model = Model(facts, files)
+            first, second = pairs >> 32, pairs & 0xFFFFFFFF
+            words, back = np.unique(first, return_inverse=True)
+            totals, backoff = model.of_words("counts", words), 10.0 ** model.word_backoffs(words)
+            chance = (counts - DISCOUNT) / totals[back] + backoff[back] * 10.0 ** model.unigram(second)
+            keys = first * facts["vocabulary"] + second
+            return store(2, keys, {"counts": _narrow(counts), "codes": _encode_log(np.log10(chance))})
+
+        self.files += _ranges(_build_ranges(bigrams, build), 2, self.facts)
         discard(bigrams)
-        self.facts["relative"] = (self.levels[-1].agg(F.max("widest")).first()[0] or 0) + 1
-        self.files = _files(*self.levels)
 
     def add_trigrams(self, encoded: DataFrame) -> None:
-        """Write level 3, and level 2 anew with the back-off weights of its bigrams."""
+        """Write level 4 from sums per bigram, then level 3."""
         trigrams = settle(count_trigrams(encoded, self.facts, self.files))
         folder, facts, files = self.folder, dict(self.facts), list(self.files)
+        context = F.expr(f"key div {facts['relative']}L").alias("context")
+        contexts = trigrams.groupBy(context).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"))
+        contexts = contexts.withColumn("shard", F.expr(f"context div {ENTRIES}L"))
+
+        def build_backoffs(number, context, followers, counts):
+            backoffs = np.full(ENTRIES, CODES, np.uint16)
+            totals = Model(facts, files).of_bigrams("counts", context)
+            backoffs[context - number * ENTRIES] = _encode_log(np.log10(1 - (counts - DISCOUNT * followers) / totals))
+            return _store(folder, 4, number, {"backoffs": backoffs})
+
+        parts = sum(1 for file in files if file[0] == 2)
+        self.files += _files(_build(contexts, ["context", "followers", "n"], build_backoffs, parts))
+        files, store = list(self.files), _range_store(folder)
 
-        def build(number, keys, counts):
+        def build(keys, counts):
             model = Model(facts, files)
-            shard, relative = model.shard(2, number), facts["relative"]
-            context, rank = keys // relative, keys % relative
-            second = shard.arrays["seconds"][context].astype(np.int64)
-            numbers = second // WIDTH
-            chance = np.zeros(len(keys))
-            for other, part in model._by_shard(numbers):
-                inner = model.shard(2, other)
-                at = inner.pointers.get(second[part] - other * WIDTH).astype(np.int64) + rank[part]
-                chance[part] = 10.0 ** _decode_log(inner.arrays["codes"][at])
-            totals = shard.arrays["counts"].astype(np.float64)
-            backoff = 1 - np.bincount(context, counts - DISCOUNT, len(totals)) / totals
-            chance = (counts - DISCOUNT) / totals[context] + backoff[context] * chance
-            coded = elias_fano.encode(keys, len(totals) * relative)
-            parts = {"entries": np.zeros(0), "codes": _encode_log(np.log10(chance))} | _named("keys", coded)
-            row = _store(folder, 3, number, parts) | {"widest": 0}
-            level = dict(shard.arrays) | {"backoffs3": _encode_log(np.log10(backoff))}
-            again = _store(folder, 2, number, level)
-            return row | {"place": f"{row['place']}|{again['place']}", "layout": f"{row['layout']}|{again['layout']}"}
-
-        built = _build(trigrams, ["key", "n"], build, self.shards)
+            contexts, back = np.unique(keys // facts["relative"], return_inverse=True)
+            totals, backoff = model.of_bigrams("counts", contexts), 10.0 ** model.bigram_backoffs(contexts)
+            heads = model.heads(model.second_words(contexts))
+            lower = model.of_bigrams("codes", heads[back] + keys % facts["relative"])
+            chance = (counts - DISCOUNT) / totals[back] + backoff[back] * 10.0**lower
+            return store(3, keys, {"codes": _encode_log(np.log10(chance))})
+
+        self.files += _ranges(_build_ranges(trigrams, build), 3, self.facts)
         discard(trigrams)
-        pairs = [(row["shard"], row["place"].split("|"), row["layout"].split("|")) for row in built.collect()]
-        renewed = {(2, shard): (places[1], layouts[1]) for shard, places, layouts in pairs}
-        self.files = [(level, shard, *renewed.get((level, shard), (place, layout))) for level, shard, place, layout in self.files]
-        self.files += [(3, shard, places[0], layouts[0]) for shard, places, layouts in pairs]
 
 
 def score_encoded(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:

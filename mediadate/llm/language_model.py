@@ -1,6 +1,6 @@
 """A word trigram model in Elias-Fano trie levels, memory-mapped by the scoring tasks.
 
-Counts come from all training documents, and n-grams found once are pruned. Words are numbered by the order of
+Counts come from all training documents, and every n-gram is kept. Words are numbered by the order of
 their hashes. Levels are cut into files, each written by a task of its own:
 
 1. words, ``WIDTH`` a file: the hashes (monotone) and, by number, the count;
@@ -14,7 +14,7 @@ Bigrams are numbered through all files, so a file can end inside the followers o
 What a word or a bigram needs of all its followers is added up before files are cut. The driver holds
 the first key and the first number of every file.
 
-Probabilities are interpolated with absolute discounting: a context keeps the discounted and the pruned mass as its
+Probabilities are interpolated with absolute discounting: a context keeps the discounted mass as its
 back-off weight, so they sum to one. They are stored as 16-bit codes of their logarithms.
 """
 
@@ -38,7 +38,6 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b"\n"  # no word holds white space
 WIDTH = 1 << 18
 DISCOUNT = 0.75
-LEAST = 2
 ENTRIES = 1 << 19
 CODES, LOWEST = 65_535, -24.0
 WORDS_HELD = 500_000
@@ -305,7 +304,7 @@ class Model:
         return result
 
     def trigram_keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Key of every trigram; those with a pruned bigram have none."""
+        """Key of every trigram; the bigrams of a training text are all in the trie."""
         _, _, places, index, known, rank, context = self.bigram_facts(words, starts)
         left, right = places[context], places[context + 1]
         both = known[right]
@@ -373,7 +372,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_bigrams(encoded: DataFrame) -> DataFrame:
-    """``key`` (first * 2**32 + second) and ``n`` of the bigrams found at least twice."""
+    """``key`` (first * 2**32 + second) and ``n`` of the bigrams."""
 
     def work(batches):
         held, size = [], 0
@@ -392,11 +391,11 @@ def count_bigrams(encoded: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_trigrams(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
-    """``key, n`` of the trigrams found at least twice, keyed as in their level."""
+    """``key, n`` of the trigrams, keyed as in their level."""
 
     def work(batches):
         model = Model(facts, files)
@@ -406,7 +405,7 @@ def count_trigrams(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _shard_rows(batches):

@@ -1,0 +1,45 @@
+"""The model with every n-gram, against a brute force that leaves nothing out."""
+
+import math
+from collections import Counter
+
+import numpy as np
+from mediadate.llm import language_model, registry
+from test_language_model import LOWER, WORD, compare
+from test_language_model import brute as pruned
+
+
+def brute(rows):
+    facts = list(pruned(rows))
+    tokens = [[*WORD.findall((text or "").translate(LOWER)), "\n"] for _, text in rows]
+    training = [words for words, fact in zip(tokens, facts) if not fact[1]]
+    one = Counter(w for words in training for w in words)
+    two = Counter(pair for words in training for pair in zip(words, words[1:]))
+    three = Counter(triple for words in training for triple in zip(words, words[1:], words[2:]))
+    total, size, cut = sum(one.values()), len(one), language_model.DISCOUNT
+    mass2, mass3 = Counter(), Counter()
+    for (a, _), c in two.items():
+        mass2[a] += c - cut
+    for (a, b, _), c in three.items():
+        mass3[a, b] += c - cut
+
+    def p1(w):
+        return (one[w] + 0.5) / (total + 0.5 * (size + 1))
+
+    def p2(a, w):
+        if not one[a]:
+            return p1(w)
+        return max(two[a, w] - cut, 0) / one[a] + (1 - mass2[a] / one[a]) * p1(w)
+
+    def p3(a, b, w):
+        if not two[a, b]:
+            return p2(b, w)
+        return max(three[a, b, w] - cut, 0) / two[a, b] + (1 - mass3[a, b] / two[a, b]) * p2(b, w)
+
+    for fact, words in zip(facts, tokens):
+        chances = [p1(words[0])] + [p2(*pair) for pair in [words[:2]] if len(pair) > 1] + [p3(*w) for w in zip(words, words[1:], words[2:])]
+        yield *fact[:6], sum(math.log10(p) for p in chances)
+
+
+def test_nothing_is_pruned(spark, folder, rows):
+    compare(registry.op9_language_model(spark, folder).collect(), list(brute([(r[0], r[1]) for r in rows])))

@@ -46,4 +46,9 @@ QUALITY = r"""with d as (select row_number() over () as r, doc_id, source, coale
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (poor and soft_failed) as kept
     from judged j join verdicts v on j.source is not distinct from v.source"""
 
-SQL = {"op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY}
+EXACT = """with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    g as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+        row_number() over (partition by t order by doc_id desc nulls last, r) as place from d)
+    select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from g"""
+
+SQL = {"op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY, "op12_exact_groups": EXACT}

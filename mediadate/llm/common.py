@@ -87,13 +87,13 @@ def discard(*frames: DataFrame) -> None:
         system.delete_dir(path)
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner", at_most: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows to a table that has each key once, whatever share of the rows one key holds.
 
-    A lookup of at most 100,000 rows is broadcast. A larger one meets the occurring pairs of key
+    A lookup of at most 100,000 rows (``at_most``: 0 for wide ones) is broadcast. A larger one meets the occurring pairs of key
     and salt, at most 256 a key and deduplicated before the shuffle; rows then meet their pair.
     """
-    if lookup.count() <= BROADCAST_ROWS:
+    if lookup.count() <= at_most:
         return rows.join(F.broadcast(lookup), keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     pairs = salted.select(*keys, "_salt").distinct().join(lookup, keys, how)

@@ -46,9 +46,75 @@ QUALITY = r"""with d as (select row_number() over () as r, doc_id, source, coale
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (poor and soft_failed) as kept
     from judged j join verdicts v on j.source is not distinct from v.source"""
 
+# One step of the table of CRC-32, whose polynomial is a fixed value.
+CRC_TABLE = "list_transform(range(0, 256), lambda b: list_reduce(list_concat([cast(b as bigint)], list_transform(range(0, 8), lambda k: cast(k as bigint))), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+ROLE_NEXT = [("u", 0, 2), ("u", 1, 2), ("u", 3, 2), ("a", 2, 3)]
+
+
+def _insert(cells: list[str]) -> list[str]:
+    """Cells of the states after one more insertion: each the least of itself and its forerunner's."""
+    def more(cell, role):
+        return f"{{'cost': {cell}.cost + 3, 'audit': {cell}.audit || 'I', 'lines': {cell}.lines || ['{role}:']}}"
+    return [cells[0], cells[1], _least([cells[2], *(more(cells[k], "user") for k in (0, 1, 3))]), _least([cells[3], more(cells[2], "assistant")])]
+
+
+def _least(cells: list[str]) -> str:
+    return f"list_min(list_filter([{', '.join(cells)}], lambda x: x.cost is not null))"
+
+
+def _edit(k: int) -> str:
+    """The least cell of state k after one row: deleted, or emitted from a state before."""
+    def cell(old, cost, edit, lines):
+        return f"{{'cost': {cost}, 'audit': {old}.audit || '{edit}', 'lines': {old}.lines || {lines}}}"
+    options = [cell(f"c{k}", f"c{k}.cost + 4", "D", "cast([] as varchar[])")]
+    for initial, start, goal in [*ROLE_NEXT, ("s", 0, 1)]:
+        if goal == k:
+            keep = f"case when not dead and initial = '{initial}' then c{start}.cost + late end"
+            options.append(cell(f"c{start}", keep, "K", "[role || ':' || t]"))
+            if initial != "s":
+                name = "user" if initial == "u" else "assistant"
+                options.append(cell(f"c{start}", f"case when not dead then c{start}.cost + 3 + late end", "R", f"['{name}:' || t]"))
+    return _least(options)
+
+
+def _inserted(step: str, source: str, kept: str) -> str:
+    """Two queries, each with one more insertion."""
+    for number in (1, 2):
+        cells = ", ".join(f"{cell} as c{k}" for k, cell in enumerate(_insert([f"c{k}" for k in range(4)])))
+        step = f"(select {kept}, {cells} from {step if number > 1 else source})"
+    return step
+
+
+NOTHING = "{'cost': cast(null as bigint), 'audit': cast(null as varchar), 'lines': cast(null as varchar[])}"
+CONVERSATIONS = rf"""with recursive crc as (select {CRC_TABLE} as steps),
+    given as (select row_number() over () as r, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as t,
+        coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+    marked as (select *, xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(name, ''), lambda x: cast(ascii(x) as bigint))),
+        lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 20 as fault from given, crc),
+    damaged as (select r, copy, conv_id, turn, case when fault = 4 then 'user' else role end as role,
+        case when fault = 1 then '' when fault = 2 then regexp_replace(t, '[.!?]', '', 'g') else t end as t
+        from (select *, unnest(case when fault = 0 then [] when fault = 3 then [0, 1] else [0] end) as copy from marked)),
+    ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(t), role, r, copy) as i, substr(role, 1, 1) as initial from damaged),
+    faults as (select *, case when not regexp_matches(t, '[^\x20\x09-\x0D]') then 'blank'
+        when row_number() over (partition by conv_id, role, t order by i) > 1 then 'duplicate'
+        when not regexp_matches(t, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+        lag(initial) over (partition by conv_id order by i) || initial as pair from ordered),
+    ids as (select row_number() over () as c, conv_id from (select distinct conv_id from conversations)),
+    numbered as (select c, i, role, t, initial, fault in ('blank', 'duplicate') as dead, case when fault = 'truncated' then 3 else 0 end as late
+        from faults join ids on ids.conv_id is not distinct from faults.conv_id),
+    sums as (select c, count(fault) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+        from ids left join faults on ids.conv_id is not distinct from faults.conv_id group by c),
+    walk as (select c, cast(0 as bigint) as i, {{'cost': cast(0 as bigint), 'audit': '', 'lines': cast([] as varchar[])}} as c0, {NOTHING} as c1, {NOTHING} as c2, {NOTHING} as c3 from ids
+        union all select c, i, {', '.join(f'{_edit(k)} as c{k}' for k in range(4))}
+        from {_inserted('', '(select w.c, n.i, role, t, initial, dead, late, c0, c1, c2, c3 from walk w join numbered n on n.c = w.c and n.i = w.i + 1)', 'c, i, role, t, initial, dead, late')}),
+    ends as (select c, {_least(['c0', 'c3'])} as best from {_inserted('', '(select w.c, w.i, c0, c1, c2, c3 from walk w join sums s on s.c = w.c and s.n = w.i)', 'c, i')})
+    select conv_id, gaps, blank, duplicate, truncated, illegal, best.cost as cost, best.audit as audit, sha256(array_to_string(best.lines, chr(10))) as repaired_sha256
+    from ids join sums using (c) join ends using (c)"""
+
 EXACT = """with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
     g as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
         row_number() over (partition by t order by doc_id desc nulls last, r) as place from d)
     select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from g"""
 
-SQL = {"op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY, "op12_exact_groups": EXACT}
+SQL = {"op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY, "op12_exact_groups": EXACT, "op13_repair_conversations": CONVERSATIONS}

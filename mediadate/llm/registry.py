@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediadate.llm import (
-    decontamination, exact_index, language_model, mixing, quality, repeats, secret_scan, sharding, simhash, token_files, warc,
+    conversations, decontamination, exact_index, language_model, mixing, quality, repeats, secret_scan, sharding, simhash, token_files, warc,
 )
 from mediadate.llm.oracles import SQL  # noqa: F401
 
@@ -109,6 +109,11 @@ def op12_exact_groups(spark: SparkSession, folder: str) -> DataFrame:
     return exact_index.exact_groups(_table(spark, folder, "documents"))
 
 
+def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversations.digest_repaired(conversations.repair_conversations(conversations.damage(rows), known=rows))
+
+
 def encode_table(docs: DataFrame) -> DataFrame:
     """The production parameters: a public vocabulary of 49,408 ids, end id 2."""
     return token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
@@ -116,5 +121,5 @@ def encode_table(docs: DataFrame) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_mix_sources, op2_near_duplicates, op3_secret_scan, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
-    op9_language_model, op10_token_files, op12_exact_groups,
+    op9_language_model, op10_token_files, op12_exact_groups, op13_repair_conversations,
 )}

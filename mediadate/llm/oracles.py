@@ -112,9 +112,22 @@ CONVERSATIONS = rf"""with recursive crc as (select {CRC_TABLE} as steps),
     select conv_id, gaps, blank, duplicate, truncated, illegal, best.cost as cost, best.audit as audit, sha256(array_to_string(best.lines, chr(10))) as repaired_sha256
     from ids join sums using (c) join ends using (c)"""
 
+TERMS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = rf"""with docs as (select row_number() over () as r, doc_id, {TERMS} as w from documents),
+    items as (select row_number() over () as q, item_id, {TERMS} as w from benchmark),
+    sums as (select count(*) filter (len(w) > 0) as n, sum(len(w)) as l from docs),
+    counts as (select r, term, count(*) as tf from (select r, unnest(w) as term from docs) group by all),
+    asked as (select q, term, count(*) as times from (select q, unnest(w) as term from items) group by all),
+    weights as (select term, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) as weight from counts, sums group by term, n),
+    lengths as (select r, doc_id, 75 + cast((25 * len(w) * n) // l as bigint) as m from docs, sums),
+    scores as (select q, r, any_value(doc_id) as doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+        from asked join counts using (term) join weights using (term) join lengths using (r) group by q, r),
+    ranked as (select *, cast(row_number() over (partition by q order by score desc, doc_id nulls last) as int) as rank from scores where score > 0)
+    select item_id, rank, doc_id, score from ranked join items using (q) where rank <= 20"""
+
 EXACT = """with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
     g as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
         row_number() over (partition by t order by doc_id desc nulls last, r) as place from d)
     select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from g"""
 
-SQL = {"op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY, "op12_exact_groups": EXACT, "op13_repair_conversations": CONVERSATIONS}
+SQL = {"op11_ranked_search": SEARCH, "op6_decontaminate": DECONTAMINATE, "op7_warc": WARC, "op8_quality": QUALITY, "op12_exact_groups": EXACT, "op13_repair_conversations": CONVERSATIONS}

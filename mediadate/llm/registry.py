@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediadate.llm import (
-    conversations, decontamination, exact_index, language_model, mixing, quality, repeats, secret_scan, sharding, simhash, token_files, warc,
+    conversations, decontamination, exact_index, language_model, mixing, quality, ranked_search, repeats, secret_scan, sharding,
+    simhash, token_files, warc,
 )
 from mediadate.llm.oracles import SQL  # noqa: F401
 
@@ -105,6 +106,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return encode_table(_table(spark, folder, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 20)
+
+
 def op12_exact_groups(spark: SparkSession, folder: str) -> DataFrame:
     return exact_index.exact_groups(_table(spark, folder, "documents"))
 
@@ -121,5 +126,5 @@ def encode_table(docs: DataFrame) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_mix_sources, op2_near_duplicates, op3_secret_scan, op4_repeated_passages, op5_shards, op6_decontaminate, op7_warc, op8_quality,
-    op9_language_model, op10_token_files, op12_exact_groups, op13_repair_conversations,
+    op9_language_model, op10_token_files, op11_ranked_search, op12_exact_groups, op13_repair_conversations,
 )}

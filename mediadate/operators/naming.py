@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediadate.functions import paths
-from mediadate.operators.lineage import settle_table
+from mediadate.operators.lineage import discard_tables, settle_table
 from mediadate.operators.ordering import BLOCK_BITS, running_total
 
 # How a numbered name is written, and how many numbers may follow each other.
@@ -106,6 +106,7 @@ def unique_destination(
     blocks = blocked.groupBy(*NAME, "block").agg(F.count(F.lit(1)).alias("n"))
     blocks = settle_table(blocks.join(nodes.filter("n > 0").select(*NAME), NAME, "left_semi"))
     settled = settle_table(_settled(nodes, blocked, blocks, block_bits))
+    discard_tables(nodes)
 
     # Numbers passed over, placed by how many free numbers lie below them.
     gaps = settled.filter("parent is not null and skipped").select(

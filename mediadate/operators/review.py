@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediadate.functions import paths
-from mediadate.operators.lineage import settle_table
-from mediadate.operators.naming import unique_destination
+from mediadate.operators.lineage import discard_tables, settle_table
+from mediadate.operators.naming import family, unique_destination
+from mediadate.operators.skew import spread_join
 
 # Refusals of a correction.
+UNKNOWN_ID = ("No file with id ", ".")
+NOT_UNCERTAIN = ("File id ", " is not marked uncertain (date_uncertain=", ")")
 NOT_ELIGIBLE = (
     " and has never been manually corrected. Corrections are only permitted for files "
     "still in the review bucket -- a file the algorithm was already confident about "
     "shouldn't be overridden this way. (A file you've already corrected once can still "
     "be corrected again, if you need to fix your own earlier correction.)"
 )
+FILE_GONE = "File no longer exists on disk: "
 
 
 def with_location(rows: DataFrame, listing: DataFrame, base_path: str = "") -> DataFrame:
@@ -50,8 +57,8 @@ def guard_corrections(corrections: DataFrame, catalog: DataFrame, listing: DataF
     """Corrections ``(seq, file_id, corrected_date)`` with the catalog row and ``error``.
 
     Refused are an unknown id, a file that was never uncertain, and a file that is gone, in this
-    order. Of several accepted corrections of one file the last one counts; the others are marked
-    ``superseded``.
+    order. What is accepted here stays accepted whatever corrections come before it: a file that
+    was corrected may be corrected again.
     """
     rows = catalog.select(
         F.col("id").alias("file_id"), "archive_path", "date_uncertain", "user_corrected_date", F.lit(True).alias("_known")
@@ -61,82 +68,140 @@ def guard_corrections(corrections: DataFrame, catalog: DataFrame, listing: DataF
     label = F.col("file_id").cast("string")
     state = F.coalesce(F.col("date_uncertain").cast("string"), F.lit("None"))
     eligible = F.coalesce(F.col("date_uncertain") == 1, F.lit(False)) | F.col("user_corrected_date").isNotNull()
+    unknown, (head, middle, tail) = [F.lit(text) for text in UNKNOWN_ID], [F.lit(text) for text in NOT_UNCERTAIN]
     error = (
-        F.when(F.col("_known").isNull(), F.concat(F.lit("No file with id "), label, F.lit(".")))
-        .when(
-            ~eligible,
-            F.concat(F.lit("File id "), label, F.lit(" is not marked uncertain (date_uncertain="), state, F.lit(")" + NOT_ELIGIBLE)),
-        )
-        .when(F.col("_found").isNull(), F.concat(F.lit("File no longer exists on disk: "), F.col("archive_path")))
+        F.when(F.col("_known").isNull(), F.concat(unknown[0], label, unknown[1]))
+        .when(~eligible, F.concat(head, label, middle, state, tail, F.lit(NOT_ELIGIBLE)))
+        .when(F.col("_found").isNull(), F.concat(F.lit(FILE_GONE), F.col("archive_path")))
     )
-    judged = joined.withColumn("error", error).drop("_known", "_found")
-    last = judged.filter("error is null").groupBy("file_id").agg(F.max("seq").alias("_last"))
-    judged = judged.join(last, "file_id", "left")
-    return judged.withColumn("superseded", F.coalesce(F.col("error").isNull() & (F.col("seq") < F.col("_last")), F.lit(False))).drop("_last")
+    return joined.withColumn("error", error).drop("_known", "_found")
 
 
-def plan_corrections(
-    guarded: DataFrame, existing: DataFrame, archive_root: str
-) -> DataFrame:
-    """New paths of the accepted corrections, served in ``seq`` order.
+def settle_step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return settle_table(build())
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Add the group of names a correction asks a name of (``target``) and the one it gives a name up in (``home``).
 
-    All moves of one batch are planned against the names taken when it starts (``existing``:
-    ``archive_path`` of catalog and disk). A name that another move of the same batch gives up stays
-    taken, so that the moves can run in any order and be run again. A file corrected to the day it
-    already lies in therefore gets a number, as its own name is taken.
+    A group is a folder and a family of names: only names of one group can collide, and numbering
+    leaves a file's family as it is.
     """
     path = F.col("archive_path")
-    accepted = guarded.filter("error is null and not superseded").select(
-        F.col("seq").alias("id"), "file_id", "archive_path", "corrected_date",
-        paths.under_root(archive_root, paths.dated_folder(F.col("corrected_date"))).alias("folder"),
-        paths.file_name(path).alias("name"),
-    )
-    taken = existing.select(paths.parent_folder(path).alias("folder"), paths.file_name(path).alias("name"))
-    # Few rows against the whole archive: written once, so that the guard's joins run once.
-    planned = unique_destination(settle_table(accepted), taken)
-    return planned.select(
-        F.col("id").alias("seq"), "file_id", "archive_path", "corrected_date",
-        F.concat_ws("/", "folder", "dest_name").alias("new_archive_path"),
+    kin = family(F.col("name"))
+    named = rows.withColumn("name", paths.file_name(path))
+    return named.withColumns(
+        {"target": F.concat_ws("/", "folder", kin), "home": F.concat_ws("/", paths.parent_folder(path), kin)}
     )
 
 
-def carried_out(planned: DataFrame, outcomes: DataFrame | None) -> DataFrame:
-    """The planned corrections whose move succeeded; all of them if nothing had to be moved."""
-    if outcomes is None:
-        return planned
-    return planned.join(outcomes.filter("outcome = 'moved'").select("new_archive_path"), "new_archive_path", "left_semi")
+def ready_corrections(waiting: DataFrame) -> DataFrame:
+    """The waiting corrections that can be planned together and end as if they had come one by one.
 
+    A correction has to wait for an earlier one of its file, and for an earlier one that may give up a
+    name in the group it asks in. One behind a waiting request of its target group would overtake it, and
+    one that gives up a name behind such a request would show it a name that was not free yet; so they
+    wait as well. The first of all never waits.
+    """
+    of_file = Window.partitionBy("file_id").orderBy("seq")
+    rows = _groups(waiting).withColumn("_before", F.lag("target").over(of_file))
+    rows = rows.withColumn("_gives", F.coalesce("_before", "home"))
+    gives = rows.groupBy(F.col("_gives").alias("target")).agg(F.min("seq").alias("_given"))
+    rows = spread_join(rows, gives, "target", "seq", "left")
+    blocked = F.col("_before").isNotNull() | F.coalesce(F.col("_given") < F.col("seq"), F.lit(False))
+    rows = settle_table(rows.withColumn("_blocked", blocked).drop("_before", "_gives", "_given"))
+    count, before = rows.where("_blocked").count(), 0
+    while count > before:
+        first = rows.where("_blocked").groupBy("target").agg(F.min("seq").alias("_asked"))
+        low, last = settle_table(first), rows
+        rows = spread_join(rows, low, "target", "seq", "left").withColumnRenamed("_asked", "_own")
+        rows = spread_join(rows, low.withColumnRenamed("target", "home"), "home", "seq", "left")
+        behind = F.coalesce(F.col("_own") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("_asked") < F.col("seq"), F.lit(False))
+        rows = settle_table(rows.withColumn("_blocked", F.col("_blocked") | behind).drop("_own", "_asked"))
+        before, count = count, rows.where("_blocked").count()
+        discard_tables(low, last)
+    return rows.where("not _blocked").drop("_blocked", "target", "home")
+
+
+def serve_corrections(
+    guarded: DataFrame,
+    existing: DataFrame,
+    archive_root: str,
+    move: Callable[[DataFrame], DataFrame] | None = None,
+    step: Callable[[str, Callable[[], DataFrame]], DataFrame] = settle_step,
+) -> DataFrame:
+    """Outcomes of the accepted corrections as if each was planned and moved after the one before.
 
-def correction_results(guarded: DataFrame, planned: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
-    """One result per correction: success, the new path, or the error.
+    ``existing`` holds the names taken at the start (``archive_path`` of catalog and disk); a file
+    corrected to the day it lies in gets a number, as its own name is taken. ``move`` carries out a
+    plan (``archive_path, new_archive_path``, ...) and returns ``new_archive_path, outcome, error``;
+    without it every move succeeds. A file whose move failed stays where it is for its later
+    corrections, and the name that was meant for it is free again from the next round on. The result has ``seq, file_id, archive_path, corrected_date, new_archive_path, error``.
 
-    ``outcomes`` of the moves (``new_archive_path, outcome, error``) add the last refusal: a file
-    that could not be moved keeps its place, and the error says why.
+    Corrections run in rounds of those that do not depend on one another, mostly one round for each
+    correction of the most corrected file; a round is a few jobs over all its corrections. ``step``
+    keeps the table of a step, so that a batch run again finds what was planned and moved.
     """
-    new = planned.select("seq", "new_archive_path")
-    error = F.col("error")
-    if outcomes is not None:
-        failed = outcomes.filter("outcome <> 'moved'").select(
-            "new_archive_path", F.coalesce("error", F.lit("The file was not moved.")).alias("_failure")
-        )
-        new = new.join(failed, "new_archive_path", "left")
-        error = F.coalesce("error", "_failure")
-    joined = guarded.join(new, "seq", "left").withColumn("error", error)
+    accepted = guarded.filter("error is null").select("seq", "file_id", "archive_path", "corrected_date")
+    folder = paths.under_root(archive_root, paths.dated_folder(F.col("corrected_date")))
+    waiting = step("accepted", lambda: accepted.withColumn("folder", folder))
+    path = F.col("archive_path")
+    names = existing.select(paths.parent_folder(path).alias("folder"), paths.file_name(path).alias("name"))
+    names = names.withColumn("target", F.concat_ws("/", "folder", family(F.col("name"))))
+    # Of the whole archive only the groups that some correction asks a name of are looked at again.
+    taken = step("taken", lambda: names.join(_groups(waiting).select("target").distinct(), "target", "left_semi").select("folder", "name").distinct())
+    served, number = [], 0
+    while number == 0 or not waiting.isEmpty():
+        planned = step(f"planned_{number}", lambda: _planned(ready_corrections(waiting), taken))
+        done = planned.withColumn("error", F.lit(None).cast("string"))
+        if move is not None:
+            outcomes = step(f"outcomes_{number}", lambda: move(planned))
+            failure = F.when(F.col("outcome") == "moved", None).otherwise(F.coalesce("error", F.lit("The file was not moved.")))
+            told = outcomes.select("new_archive_path", F.lit(True).alias("_told"), failure.alias("error"))
+            done = planned.join(told, "new_archive_path", "left")
+            done = done.withColumn("error", F.when(F.col("_told"), F.col("error")).otherwise("The file was not moved."))
+            done = done.select(*planned.columns, "error")
+        served.append(done)
+        rest = waiting.join(planned.select("seq"), "seq", "left_anti")
+        moved = settle_table(done.filter("error is null").select("file_id", path.alias("_old"), F.col("new_archive_path").alias("_new")))
+        waiting = settle_table(rest.join(moved, "file_id", "left").withColumn("archive_path", F.coalesce("_new", "archive_path")).drop("_old", "_new"))
+        if not waiting.isEmpty():
+            gone = moved.select(paths.parent_folder(F.col("_old")).alias("folder"), paths.file_name(F.col("_old")).alias("name"))
+            new = moved.select(paths.parent_folder(F.col("_new")).alias("folder"), paths.file_name(F.col("_new")).alias("name"))
+            taken = settle_table(taken.join(gone, ["folder", "name"], "left_anti").unionByName(new))
+        number += 1
+    return functools.reduce(DataFrame.unionByName, served)
+
+
+def _planned(ready: DataFrame, taken: DataFrame) -> DataFrame:
+    # Few rows against the names of their groups: written once for the jobs of the naming.
+    asked = settle_table(ready.withColumnRenamed("seq", "id"))
+    named = unique_destination(asked, taken)
+    return named.select(
+        F.col("id").alias("seq"), "file_id", "archive_path", "corrected_date",
+        F.concat_ws("/", "folder", "dest_name").alias("new_archive_path"),
+    )
+
+
+def correction_results(guarded: DataFrame, served: DataFrame) -> DataFrame:
+    """One result per correction: success and the new path, or the error."""
+    outcome = served.select("seq", "new_archive_path", F.col("error").alias("_failure"))
+    joined = guarded.join(outcome, "seq", "left").withColumn("error", F.coalesce("error", "_failure"))
     return joined.select(
-        "seq", "file_id", F.col("error").isNull().alias("success"), "superseded",
+        "seq", "file_id", F.col("error").isNull().alias("success"),
         F.when(F.col("error").isNull(), F.col("new_archive_path")).alias("new_archive_path"), "error",
     )
 
 
-def apply_corrections(catalog: DataFrame, planned: DataFrame, *, corrected_at: Column) -> DataFrame:
+def apply_corrections(catalog: DataFrame, served: DataFrame, *, corrected_at: Column) -> DataFrame:
     """Catalog after the moves: new path, correction and time set, no longer uncertain.
 
-    What the analysis found (date, source, confidence, reason) stays as evidence.
+    Of several corrections of one file the last one that was moved is what the catalog shows. What the
+    analysis found (date, source, confidence, reason) stays as evidence.
     """
-    change = planned.select(
-        F.col("file_id").alias("id"), F.col("new_archive_path").alias("_path"), F.col("corrected_date").alias("_date")
-    )
-    joined = catalog.join(change, "id", "left")
+    last = F.max_by(F.struct("new_archive_path", "corrected_date"), "seq").alias("_last")
+    change = served.filter("error is null").groupBy(F.col("file_id").alias("id")).agg(last)
+    joined = catalog.join(change.select("id", F.col("_last.new_archive_path").alias("_path"), F.col("_last.corrected_date").alias("_date")), "id", "left")
     moved = F.col("_path").isNotNull()
     changed = joined.withColumns(
         {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mediadate import settings
-from mediadate.operators.review import NOT_ELIGIBLE
+from mediadate.operators.review import FILE_GONE, NOT_ELIGIBLE, NOT_UNCERTAIN, UNKNOWN_ID
 from mediadate.plans import standins
 from mediadate.plans.queries import FILTERS
 
@@ -139,13 +139,35 @@ TEXT_CATALOG = """held as (select id, path as archive_path, sha256(text) as file
 
 LOCATED = "select *, archive_path as absolute_path, exists (select 1 from listing l where l.path = archive_path) as file_exists from catalog where "
 
-GUARD = f"""{ARCHIVE.replace('with ', 'with corrections as (' + standins.oracle_view('corrections') + '), ', 1)},
-    judged as (select c.seq, c.file_id, c.corrected_date, a.archive_path, case when a.id is null then 'No file with id ' || c.file_id || '.'
-        when not (a.date_uncertain = 1 or a.user_corrected_date is not null) then 'File id ' || c.file_id || ' is not marked uncertain (date_uncertain=' || a.date_uncertain || ')' || '{NOT_ELIGIBLE.replace("'", "''")}'
-        when l.path is null then 'File no longer exists on disk: ' || a.archive_path end as error
-        from corrections c left join catalog a on a.id = c.file_id left join listing l on l.path = a.archive_path),
-    guarded as (select *, error is null and seq < max(case when error is null then seq end) over (partition by file_id) as superseded from judged),
-    moves as (select *, '/archive/' || strftime(corrected_date, '%Y/%m/%d') || '/' || {NAME.format('archive_path')} as new_archive_path from guarded where error is null and not superseded)"""
+def quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+UNCERTAIN = f"{quoted(NOT_UNCERTAIN[0])} || c.file_id || {quoted(NOT_UNCERTAIN[1])} || a.date_uncertain || {quoted(NOT_UNCERTAIN[2] + NOT_ELIGIBLE)}"
+GUARD = f"""{ARCHIVE.replace('with ', 'with recursive corrections as (' + standins.oracle_view('corrections') + '), ', 1)},
+    guarded as (select c.seq, c.file_id, c.corrected_date, a.archive_path, case when a.id is null then {quoted(UNKNOWN_ID[0])} || c.file_id || {quoted(UNKNOWN_ID[1])}
+        when not (a.date_uncertain = 1 or a.user_corrected_date is not null) then {UNCERTAIN}
+        when l.path is null then {quoted(FILE_GONE)} || a.archive_path end as error
+        from corrections c left join catalog a on a.id = c.file_id left join listing l on l.path = a.archive_path)"""
+
+
+def corrected_one_by_one(fails):
+    """Each file's corrections one after the other; in these tables only a file's own name can be in its way."""
+    wanted = f"'/archive/' || strftime(s.corrected_date, '%Y/%m/%d') || '/' || {NAME.format('w.path')}"
+    new = rf"case when {wanted} = w.path then regexp_replace(w.path, '(\.[^./]+)$', ' (1)\1') else {wanted} end"
+    return f"""{GUARD}, steps as (select *, row_number() over (partition by file_id order by seq) as turn from guarded where error is null),
+    walk as (select distinct file_id, cast(0 as bigint) as turn, archive_path as path, cast(null as bigint) as seq, cast(null as timestamp) as corrected_date, cast(null as varchar) as new_archive_path, false as failed from steps
+        union all select s.file_id, s.turn, case when {fails} then w.path else {new} end, s.seq, s.corrected_date, {new}, {fails} from walk w join steps s on s.file_id = w.file_id and s.turn = w.turn + 1),
+    results as (select g.seq, g.file_id, g.error is null and not w.failed as success, case when not w.failed then w.new_archive_path end as new_archive_path,
+        coalesce(g.error, case when w.failed then 'No space left on device' end) as error from guarded g left join walk w on w.seq = g.seq),
+    moves as (select file_id, arg_max(new_archive_path, seq) as new_archive_path, arg_max(corrected_date, seq) as corrected_date from walk where seq is not null and not failed group by file_id)"""
+
+
+RESULTS = "select seq, file_id, coalesce(success, false) as success, new_archive_path, error from results"
+CORRECTED = f"""select c.id, coalesce(m.new_archive_path, c.archive_path) as archive_path, c.file_size, c.date_taken, coalesce(m.corrected_date, c.user_corrected_date) as user_corrected_date,
+        cast(case when m.file_id is null then c.date_uncertain else 0 end as integer) as date_uncertain, c.confidence, c.date_added, case when m.file_id is not null then {ADDED_AT} end as corrected_at
+        from catalog c left join moves m on m.file_id = c.id"""
+FULL_DISK = "s.seq % 7 = 0"
 
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 STRICT = "^[0-9]{4}:[0-9]{1,2}:[0-9]{1,2} +[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
@@ -259,17 +281,11 @@ SQL = {
     "review_queue": f"{ARCHIVE} {LOCATED} date_uncertain = 1 order by date_added desc, id",
     "review_top_n": f"{ARCHIVE} {LOCATED} date_uncertain = 1 order by date_added desc, id limit 25",
     "file_details": f"{ARCHIVE} {LOCATED} id = 78",
-    "correction_guard": f"{GUARD} select seq, file_id, error, superseded from guarded",
-    "correction_results": f"""{GUARD} select g.seq, g.file_id, g.error is null as success, g.superseded, m.new_archive_path, g.error from guarded g left join moves m on m.seq = g.seq""",
-    "correction_moves": f"""{GUARD} select g.seq, g.file_id, g.error is null and (m.seq is null or g.seq % 7 <> 0) as success, g.superseded,
-        case when g.seq % 7 <> 0 then m.new_archive_path end as new_archive_path, coalesce(g.error, case when m.seq is not null and g.seq % 7 = 0 then 'No space left on device' end) as error
-        from guarded g left join moves m on m.seq = g.seq""",
-    "apply_moved_corrections": f"""{GUARD} select c.id, coalesce(m.new_archive_path, c.archive_path) as archive_path, c.file_size, c.date_taken, coalesce(m.corrected_date, c.user_corrected_date) as user_corrected_date,
-        cast(case when m.seq is null then c.date_uncertain else 0 end as integer) as date_uncertain, c.confidence, c.date_added, case when m.seq is not null then {ADDED_AT} end as corrected_at
-        from catalog c left join moves m on m.file_id = c.id and m.seq % 7 <> 0""",
-    "apply_corrections": f"""{GUARD} select c.id, coalesce(m.new_archive_path, c.archive_path) as archive_path, c.file_size, c.date_taken, coalesce(m.corrected_date, c.user_corrected_date) as user_corrected_date,
-        cast(case when m.seq is null then c.date_uncertain else 0 end as integer) as date_uncertain, c.confidence, c.date_added, case when m.seq is not null then {ADDED_AT} end as corrected_at
-        from catalog c left join moves m on m.file_id = c.id""",
+    "correction_guard": f"{GUARD} select seq, file_id, error from guarded",
+    "correction_results": f"{corrected_one_by_one('false')} {RESULTS}",
+    "correction_moves": f"{corrected_one_by_one(FULL_DISK)} {RESULTS}",
+    "apply_moved_corrections": f"{corrected_one_by_one(FULL_DISK)} {CORRECTED}",
+    "apply_corrections": f"{corrected_one_by_one('false')} {CORRECTED}",
     "exif_dates": f"""{over('date_texts')}, p as (select *, {strict('original')} as a, {strict('digitized')} as b from date_texts)
         select {KEYS}, coalesce(a, b) as date, case when a is not null then 'exif_original' when b is not null then 'exif_digitized' end as source from p""",
     "tiff_dates": f"{over('date_texts')} select {KEYS}, {strict('original')} as date from date_texts",

@@ -399,47 +399,45 @@ def guarded(spark, folder):
     return review.guard_corrections(standins.view(spark, folder, "corrections"), catalog, listing)
 
 
-def planned_corrections(spark, folder):
+def served_corrections(spark, folder, move=None):
     taken = standins.view(spark, folder, "archived").select(F.col("path").alias("archive_path"))
-    return review.plan_corrections(guarded(spark, folder), taken, standins.ARCHIVE_ROOT)
+    held = settle_table(guarded(spark, folder))
+    return held, review.serve_corrections(held, taken, standins.ARCHIVE_ROOT, move)
+
+
+def full_disk(planned):
+    """What a mover reports: every seventh correction meets a full disk."""
+    failed = F.col("seq") % 7 == 0
+    return planned.select(
+        "new_archive_path", F.when(failed, "failed").otherwise("moved").alias("outcome"), F.when(failed, "No space left on device").alias("error")
+    )
 
 
 @query
 def correction_guard(spark, folder):
-    return guarded(spark, folder).select("seq", "file_id", "error", "superseded")
+    return guarded(spark, folder).select("seq", "file_id", "error")
 
 
 @query
 def correction_results(spark, folder):
-    return review.correction_results(guarded(spark, folder), planned_corrections(spark, folder))
-
-
-def move_outcomes(spark, folder):
-    """What a mover reports: every seventh correction meets a full disk."""
-    planned = planned_corrections(spark, folder)
-    failed = F.col("seq") % 7 == 0
-    return planned, planned.select(
-        "new_archive_path", F.when(failed, "failed").otherwise("moved").alias("outcome"), F.when(failed, "No space left on device").alias("error")
-    )
+    return review.correction_results(*served_corrections(spark, folder))
 
 
 @query
 def correction_moves(spark, folder):
-    planned, outcomes = move_outcomes(spark, folder)
-    return review.correction_results(guarded(spark, folder), planned, outcomes)
+    return review.correction_results(*served_corrections(spark, folder, full_disk))
 
 
 @query
 def apply_moved_corrections(spark, folder):
-    planned, outcomes = move_outcomes(spark, folder)
     stamp = scoring.timestamp_literal(standins.ADDED_AT)
-    return review.apply_corrections(standins.catalog(spark, folder), review.carried_out(planned, outcomes), corrected_at=stamp)
+    return review.apply_corrections(standins.catalog(spark, folder), served_corrections(spark, folder, full_disk)[1], corrected_at=stamp)
 
 
 @query
 def apply_corrections(spark, folder):
     stamp = scoring.timestamp_literal(standins.ADDED_AT)
-    return review.apply_corrections(standins.catalog(spark, folder), planned_corrections(spark, folder), corrected_at=stamp)
+    return review.apply_corrections(standins.catalog(spark, folder), served_corrections(spark, folder)[1], corrected_at=stamp)
 
 
 # Date texts and other scalar groups

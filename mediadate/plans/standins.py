@@ -93,16 +93,15 @@ select d.doc_id as id, concat('/archive/', d.source, '/', d.lang, '/', substr(d.
 from {documents} as d left join {labels} as l on d.doc_id = l.doc_id
 """
 
-# Corrections a person asks for, some of unknown files, some twice.
+# Corrections a person asks for, some of unknown files. Household files are corrected four times: to
+# another day, to the same day again (where their own name is taken), and back to the day they left.
 VIEWS["corrections"] = """
-select seq, file_id, corrected_date from (
-  select c_custkey as seq, c_custkey * 7 as file_id,
-    timestamp '2002-01-01 00:00:00' + interval '1' day * c_nationkey as corrected_date
-  from {customer}
-  union all
-  select c_custkey + 1000000000 as seq, c_custkey * 7 as file_id,
-    timestamp '2003-01-01 00:00:00' + interval '1' day * c_nationkey as corrected_date
-  from {customer} where c_mktsegment = 'HOUSEHOLD') as c
+select c_custkey + 1000000000 * cast(again as bigint) as seq, c_custkey * 7 as file_id,
+  case when again in (1, 2) then timestamp '2003-01-01 00:00:00' else timestamp '2002-01-01 00:00:00' end
+    + interval '1' day * c_nationkey as corrected_date
+from {customer}
+cross join (select 0 as again union all select 1 union all select 2 union all select 3) as times
+where again = 0 or c_mktsegment = 'HOUSEHOLD'
 """
 
 # Date texts, one per line item, in good and bad forms.

@@ -47,9 +47,10 @@ def stream_corrections(
 
     ``listing`` gives the files on disk; without it every catalog file counts as present. ``move``
     carries out a plan and returns ``new_archive_path, outcome, error``
-    (:func:`mediadate.sources.contents.move_files`); only what was moved changes the catalog. Guard,
-    plan and outcomes of a batch are written, in this order, below ``<results_folder>_steps``. A
-    batch that is run again after its moves finds them there and comes to the same end.
+    (:func:`mediadate.sources.contents.move_files`); only what was moved changes the catalog. The
+    corrections of a batch end as if they had come one by one. Guard, plans and outcomes are written,
+    round by round, below ``<results_folder>_steps``. A batch that is run again after some of its
+    moves finds them there and comes to the same end.
     """
 
     def correct(batch: DataFrame, batch_id: int) -> None:
@@ -65,13 +66,11 @@ def stream_corrections(
         disk = catalog_paths.withColumnRenamed("archive_path", "path") if listing is None else listing().select("path")
         guarded = once("guarded", lambda: review.guard_corrections(batch, catalog, disk))
         taken = catalog_paths.union(disk).distinct()
-        planned = once("planned", lambda: review.plan_corrections(guarded, taken, archive_root))
-        outcomes = None if move is None else once("outcomes", lambda: move(planned))
-        results = review.correction_results(guarded, planned, outcomes)
+        served = review.serve_corrections(guarded, taken, archive_root, move, once)
+        results = review.correction_results(guarded, served)
         results.write.mode("overwrite").parquet(f"{results_folder}/batch={batch_id}")
-        done = review.carried_out(planned, outcomes)
-        touched = catalog.join(done.select(F.col("file_id").alias("id")), "id", "left_semi")
-        table.write(review.apply_corrections(touched, done, corrected_at=corrected_at), batch_id)
+        touched = catalog.join(served.filter("error is null").select(F.col("file_id").alias("id")), "id", "left_semi")
+        table.write(review.apply_corrections(touched, served, corrected_at=corrected_at), batch_id)
 
     writer = corrections.writeStream.foreachBatch(correct)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,8 +2,10 @@
 
 import hashlib
 import os
+import random
 import struct
 from datetime import datetime
+from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,19 +214,61 @@ def test_corrections(spark):
     disk = catalog.filter("id <> 4").select(F.col("archive_path").alias("path"))
     asked = spark.createDataFrame([(1, 1, datetime(2001, 1, 1)), (2, 2, DAY), (3, 3, DAY), (4, 4, DAY), (5, 9, DAY), (6, 1, DAY)], schemas.CORRECTIONS)
     guarded = review.guard_corrections(asked, catalog, disk)
-    planned = review.plan_corrections(guarded, catalog.select("archive_path"), "/r")
-    results = {r.seq: r for r in review.correction_results(guarded, planned).collect()}
+    served = review.serve_corrections(guarded, catalog.select("archive_path"), "/r")
+    results = {r.seq: r for r in review.correction_results(guarded, served).collect()}
     assert [results[i].success for i in range(1, 7)] == [True, True, False, False, False, True]
-    assert results[1].superseded and results[1].new_archive_path is None
+    assert results[1].new_archive_path == "/r/2001/01/01/a.jpg"
     assert results[2].new_archive_path == "/r/2019/06/15/b (1).jpg"  # its own name is taken
     assert results[6].new_archive_path == "/r/2019/06/15/a (1).jpg"
     assert results[5].error == "No file with id 9." and results[4].error.startswith("File no longer exists on disk: ")
     assert results[3].error.startswith("File id 3 is not marked uncertain (date_uncertain=0) and has never")
-    after = {r.id: r for r in review.apply_corrections(catalog, planned, corrected_at=now()).collect()}
+    after = {r.id: r for r in review.apply_corrections(catalog, served, corrected_at=now()).collect()}
     assert (after[1].archive_path, after[1].date_uncertain, after[1].user_corrected_date) == ("/r/2019/06/15/a (1).jpg", 0, DAY)
     assert after[4].date_uncertain == 1 and after[3].corrected_at is None
 
 
+def corrected_one_by_one(paths_of, asked, taken, fails):
+    """Outcome of each correction, served alone: its path, or nothing when the move fails."""
+    taken, paths_of, found = set(taken), dict(paths_of), {}
+    for seq, file_id, day in sorted(asked):
+        old, number = PurePosixPath(paths_of[file_id]), 0
+        new = wish = PurePosixPath("/r") / day.strftime("%Y/%m/%d") / old.name
+        while str(new) in taken:
+            number += 1
+            new = wish.with_name(f"{wish.stem} ({number}){wish.suffix}")
+        found[seq] = None if fails(seq) else str(new)
+        if not fails(seq):
+            taken = taken - {str(old)} | {str(new)}
+            paths_of[file_id] = str(new)
+    return found, paths_of
+
+
+@pytest.mark.parametrize("seed, files, count, every_fails", [(1, 9, 16, None), (2, 25, 20, None), (3, 3, 9, 5)])
+def test_corrections_end_as_if_they_came_one_by_one(spark, seed, files, count, every_fails):
+    """Few names and days, so that corrections take names that others give up; or names of their own, and some moves fail."""
+    rng = random.Random(seed)
+    days = [datetime(2020, 1, d) for d in (1, 2, 3)]
+    every = [f"/r/{place}/{name}" for place in ("_review_needed", "2020/01/01", "2020/01/02") for name in ("a.jpg", "b.jpg", "a (1).jpg", "a (2).jpg", "b (1) (1).jpg", "c")]
+    every += [f"/r/_review_needed/{k}/a.jpg" for k in range(40)]
+    paths_of = dict(enumerate(rng.sample(every, files) if every_fails is None else [f"/r/_review_needed/{k}.jpg" for k in range(files)]))
+    asked = [(seq * 3, rng.randrange(files), rng.choice(days)) for seq in range(count)]
+    fails = lambda seq: every_fails is not None and seq % every_fails == 0
+    catalog = spark.createDataFrame([(k, p, 1, None, None) for k, p in paths_of.items()], CATALOG)
+    taken = catalog.select("archive_path").union(spark.createDataFrame([("/r/2020/01/03/a.jpg",)], "archive_path string"))
+    guarded = review.guard_corrections(spark.createDataFrame(asked, schemas.CORRECTIONS), catalog, catalog.select(F.col("archive_path").alias("path")))
+
+    def move(plan):
+        broken = F.col("seq") % every_fails == 0
+        return plan.select("new_archive_path", F.when(broken, "failed").otherwise("moved").alias("outcome"), F.when(broken, "disk").alias("error"))
+
+    served = review.serve_corrections(guarded, taken, "/r", move if every_fails else None).cache()
+    want, last = corrected_one_by_one(paths_of, asked, [r.archive_path for r in taken.collect()], fails)
+    got = review.correction_results(guarded, served).collect()
+    assert {r.seq: r.new_archive_path for r in got} == want
+    assert all(r.success == (r.error is None) == (want[r.seq] is not None) for r in got)
+    assert {r.id: r.archive_path for r in review.apply_corrections(catalog, served, corrected_at=now()).collect()} == last
+
+
 def test_moves_can_be_repeated(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"x")
     plan = spark.createDataFrame([(str(tmp_path / "x"), str(tmp_path / "d" / "y")), (str(tmp_path / "no"), str(tmp_path / "z"))], "archive_path string, new_archive_path string")

@@ -43,7 +43,7 @@ QUALITY = r"""with d as (select row_number() over () as r, doc_id, source, coale
     spread as (select *, m * (1 - m) as spread, docs - squares / docs as scale, rates - docs * m * m - (hosts - 1) * m * (1 - m) as more from sums),
     prior as (select m, case when hosts < 2 then 5 when spread = 0 or scale <= 0 or more <= 0 then 1e6 else greatest(5, least(1e6, spread / (more / scale) - 1)) end as strength from spread),
     verdicts as (select source, (f + m * strength) / (n + strength) > 0.5 as poor from hosts, prior)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (poor and soft_failed) as kept
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (poor and soft_failed) as kept, poor as host_poor
     from judged j join verdicts v on j.source is not distinct from v.source"""
 
 # One step of the table of CRC-32, whose polynomial is a fixed value.

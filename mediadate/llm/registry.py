@@ -83,13 +83,13 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_documents(_table(spark, folder, "documents"), host="source")
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_poor",
     )
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
-    records = warc.read_archives(warc.write_archives(pages, least_bytes=0))
+    records = warc.read_whole(warc.write_archives(pages, least_bytes=0))
     kind = pages.schema["page_id"].dataType
     return records.select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",

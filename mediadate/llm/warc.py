@@ -4,7 +4,8 @@ Every record is a gzip member of its own. A reading task gets a byte range of an
 the gzip magic from its start, takes the first place whose member decodes to a WARC header for a
 record, and goes on member by member. It owns the records that start inside its range and reads
 the last one beyond the end. A magic inside compressed data fails the decoding and is passed over,
-and so is a damaged member.
+and so is a damaged member; ``read_whole`` compares the records read with those written and fails if
+one is missing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from mediadate.llm.common import file_system, partitions, settle, shared_folder
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
 STEP = 1 << 18
-HEADER_LIMIT = 1 << 20
 BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_type string, page string, refers string, uri string, payload_bytes long, payload_digest string, intact boolean, path string, offset long"
@@ -59,6 +59,8 @@ def pack_record(page: object, uri: str | None, payload: bytes, refers: object =
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write one archive per task to the shared folder; result: path, bytes, records.
 
+    Urls and payloads of any length are written whole, one record in memory at a time. Repeated rows are
+    records of their own; an empty table gives no archive; other columns are not read.
     ``pages`` has page_id, url, html (null: empty payload). Of equal payloads of ``least_bytes`` or
     more, the record with the smallest page_id is the response and others revisit it; rows that
     repeat that page_id and payload are responses, too, and so are rows with a null page_id. Only
@@ -129,7 +131,7 @@ class RangeReader:
         except zlib.error:
             return None
         record = b"".join(parts)
-        return (record, read - len(unpacker.unused_data)) if b"\r\n\r\n" in record[:HEADER_LIMIT] else None
+        return (record, read - len(unpacker.unused_data)) if b"\r\n\r\n" in record else None
 
     def __iter__(self):
         place = self.start
@@ -199,3 +201,14 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
 
     schema = RECORD + (", payload binary" if payloads else "")
     return ranges.repartition(count).mapInArrow(read, schema)
+
+
+def read_whole(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:
+    """``read_archives``, written; an error if an archive gave other than its number of ``records``."""
+    records = settle(read_archives(archives, split_bytes, payloads))
+    found = records.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    wrong = archives.join(found, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("records"))
+    worst = wrong.select("path", "records", F.coalesce("found", F.lit(0)).alias("found")).first()
+    if worst is not None:
+        raise ValueError(f"{worst['path']} has {worst['records']} records, but {worst['found']} could be read")
+    return records

@@ -21,8 +21,6 @@ def brute(rows):
             two.update(zip(words, words[1:]))
             three.update(zip(words, words[1:], words[2:]))
     total, size, cut = sum(one.values()), len(one), language_model.DISCOUNT
-    two = {k: c for k, c in two.items() if c > 1}
-    three = {k: c for k, c in three.items() if c > 1}
     mass2, mass3 = Counter(), Counter()
     for (a, _), c in two.items():
         mass2[a] += c - cut
@@ -35,12 +33,12 @@ def brute(rows):
     def p2(a, w):
         if not one[a]:
             return p1(w)
-        return max(two.get((a, w), cut) - cut, 0) / one[a] + (1 - mass2[a] / one[a]) * p1(w)
+        return max(two[a, w] - cut, 0) / one[a] + (1 - mass2[a] / one[a]) * p1(w)
 
     def p3(a, b, w):
-        if (a, b) not in two:
+        if not two[a, b]:
             return p2(b, w)
-        return max(three.get((a, b, w), cut) - cut, 0) / two[a, b] + (1 - mass3[a, b] / two[a, b]) * p2(b, w)
+        return max(three[a, b, w] - cut, 0) / two[a, b] + (1 - mass3[a, b] / two[a, b]) * p2(b, w)
 
     for doc, out, words in tokens:
         chances = [p1(words[0])] + [p2(*pair) for pair in [words[:2]] if len(pair) > 1] + [p3(*w) for w in zip(words, words[1:], words[2:])]

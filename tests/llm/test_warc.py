@@ -56,6 +56,28 @@ def test_false_magic_and_damage_are_passed_over():
         assert pages == ["0", "2"]
 
 
+def test_long_headers_and_clashing_columns(spark):
+    pages = [(0, "http://h/0", "<p>a</p>", 1), (1, "http://h/" + "x" * (2 << 20), "<p>b</p>", 2), (2, None, "y" * 300_000, 3), (2, None, "y" * 300_000, 3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, first int")
+    frame = frame.withColumns({"digest": frame["first"], "path": frame["first"], "records": frame["first"]})
+    records = warc.read_whole(warc.write_archives(frame), split_bytes=1 << 16, payloads=True).collect()
+    assert sorted(r["page"] for r in records) == ["0", "1", "2", "2"]
+    assert {r["page"]: r["uri"] for r in records}["1"] == pages[1][1] and all(r["intact"] for r in records)
+
+
+def test_missing_records_are_an_error(spark):
+    frame = spark.createDataFrame([(k, None, f"page {k}" * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(frame)
+    system, path = warc.file_system(archives.first()["path"])
+    with system.open_input_file(path) as source:
+        data = bytearray(source.read())
+    data[data.index(warc.MAGIC, 200) + 40] ^= 0xFF
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(bytes(data))
+    with pytest.raises(ValueError, match="20 records, but 19"):
+        warc.read_whole(archives)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_archives(warc.write_archives(frame)).collect() == []
+    assert warc.read_whole(warc.write_archives(frame)).collect() == []

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from mediadate.llm import decontamination, quality, registry, simhash, token_files
+from mediadate.llm import decontamination, jaccard, quality, registry, token_files
 
 
 def test_stages_keep_columns_and_clean_rows(spark, folder, docs, rows):
@@ -17,7 +17,7 @@ def test_stages_keep_columns_and_clean_rows(spark, folder, docs, rows):
 
 def test_run_equals_its_operators(spark, folder):
     start = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = simhash.keep_one_of_each_group(quality.keep_good(start))
+    kept = jaccard.keep_one_of_each_group(quality.keep_good(start))
     clean = decontamination.keep_clean(kept, spark.read.parquet(f"{folder}/benchmark.parquet"))
     clean = spark.createDataFrame(clean.collect(), clean.schema)
     mixed = corpus_pipeline.source_mix(spark, clean, folder)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediadate.functions import paths
 from mediadate.operators.lineage import discard_tables, settle_table
 from mediadate.operators.ordering import BLOCK_BITS, running_total
+from mediadate.operators.skew import spread_join
 
 # How a numbered name is written, and how many numbers may follow each other.
 NUMBERED_STEM = r"(?s)^(.+) \(([1-9]\d{0,17})\)\z"
@@ -56,34 +56,54 @@ def _with_parent(names: DataFrame) -> DataFrame:
     ).drop("_stem", "_base")
 
 
-def _settle_family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decide for the names of one family, plain name first, numbered ones in number order.
+def _passed_over(rows: DataFrame, block_bits: int) -> DataFrame:
+    """Decide ``skipped`` for the variants of overflowing names, as columns of numbers, not one by one.
 
     Overflowing requests take the lowest free number, so the lowest free number only grows. A number
-    asked for by name is passed over (``skipped``) when that request came first: when the overflow
-    seen by then plus the numbers passed over below it has not reached the number. Kept in memory are
-    only overflowing names of the level above, and of those only the ones with numbered variants.
+    asked for by name is passed over when that request came first: when the overflow seen by then
+    (``earlier``) plus the numbers passed over below it has not reached the number. All are counted as
+    passed over, then each is decided against the count below it, until no answer changes; then the
+    rule holds for every number, and from the lowest one up that leaves one answer. A turn is a running
+    total in blocks of numbers; as a rule few turns are needed, at most one for each number of a name.
     """
-    above, here, level, parent, passed_over = {}, {}, -1, None, 0
-    for batch in batches:
-        skips, keep = [], []
-        for row in batch.itertuples(index=False):
-            if row.depth != level:
-                above, here, level, parent = here, {}, row.depth, None
-            if row.parent != parent:
-                parent, passed_over = row.parent, 0
-            skipped = True
-            if row.parent in above:
-                parent_first, parent_keeps = above[row.parent]
-                earlier = row.earlier - (parent_keeps if parent_first < row.first_id else 0)
-                skipped = bool(row.exists) or earlier + passed_over < row.number
-                passed_over += skipped
-            keeps = int(skipped and not row.exists and row.n > 0)
-            if row.has_variants and row.n > keeps:
-                here[row.name] = (row.first_id, keeps)
-            skips.append(skipped)
-            keep.append(keeps)
-        yield batch[["folder", "name"]].assign(keeps=keep, skipped=skips)
+    decided = settle_table(rows.withColumn("passes", F.lit(1)))
+    while True:
+        counted = running_total(decided, PARENT, "number", "passes", "below", block_bits)
+        passes = F.col("exists") | (F.col("earlier") + F.col("below") < F.col("number"))
+        turned = settle_table(counted.withColumn("next", passes.cast("int")))
+        discard_tables(decided)
+        decided = turned.drop("passes", "below").withColumnRenamed("next", "passes")
+        decided.place = turned.place
+        if turned.filter("next <> passes").isEmpty():
+            return decided.withColumn("skipped", F.col("passes") == 1).drop("passes")
+
+
+def _settle_families(contested: DataFrame, block_bits: int) -> DataFrame:
+    """Decide for the names of families, plain names first, then by how many numbers they end in.
+
+    Result: folder, name, ``keeps`` (the first request keeps its name) and ``skipped``. The levels are
+    a loop of jobs, as deep as names have numbers; a level only looks at names of the one above that
+    overflow.
+    """
+    deepest = contested.agg(F.max("depth")).first()[0]
+    above, done = None, []
+    for depth in range((deepest or 0) + 1):
+        here = contested.filter(F.col("depth") == depth).withColumn("skipped", F.lit(True))
+        if above is not None and not above.isEmpty():
+            here = here.withColumn("_parent", F.concat_ws("/", *PARENT))
+            met = spread_join(here, above, "_parent", "number", "left").drop("_parent")
+            met = settle_table(met.withColumn("_overflows", F.col("parent_first").isNotNull()))
+            served = F.when(F.col("parent_first") < F.col("first_id"), F.col("parent_keeps")).otherwise(0)
+            competing = met.filter("_overflows").withColumn("earlier", F.col("earlier") - served).drop("skipped")
+            rest = met.filter("not _overflows").select(*here.drop("_parent").columns)
+            here = rest.unionByName(_passed_over(competing, block_bits).select(*rest.columns))
+        keeps = F.col("skipped") & ~F.col("exists") & (F.col("n") > 0)
+        here = settle_table(here.withColumn("keeps", keeps.cast("int")))
+        done.append(here.select(*NAME, "keeps", "skipped"))
+        above = here.filter("has_variants and n > keeps").select(
+            F.concat_ws("/", *NAME).alias("_parent"), F.col("first_id").alias("parent_first"), F.col("keeps").alias("parent_keeps")
+        )
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def unique_destination(
@@ -94,8 +114,8 @@ def unique_destination(
     A request gets its name if that is free, else its name with the lowest free number. ``existing``
     holds the ``(folder, name)`` pairs already taken. The outcome equals serving the requests one by
     one, yet a name asked for by a third of all rows is spread over many tasks: requests are counted
-    per block of ids and numbered inside their block. One after the other go only the distinct names
-    of families in which somebody asked for a numbered variant by name, as a stream.
+    per block of ids and numbered inside their block. Numbered variants that somebody asked for by name
+    are decided from running totals, too (:func:`_passed_over`).
 
     ``requests`` is computed once for its three naming columns, which go to the checkpoint folder
     along with narrow tables derived from them, and once more only to add its other columns.
@@ -167,10 +187,7 @@ def _settled(nodes: DataFrame, asked: DataFrame, blocks: DataFrame, block_bits:
          "parent": F.coalesce("parent", F.lit(""))}
     )
     group = ["folder", "family"]
-    contested = contested.repartition(*group).sortWithinPartitions(*group, "depth", "parent", "number")
-    decided = contested.groupBy(*group).applyInPandas(
-        _settle_family, "folder string, name string, keeps int, skipped boolean"
-    )
+    decided = _settle_families(settle_table(contested), block_bits)
     decided = nodes.drop("family").join(decided, NAME).select(*columns)
     return decided.unionByName(simple.join(families, group, "left_anti").select(*columns))
 

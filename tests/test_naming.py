@@ -63,3 +63,16 @@ def test_one_name_holds_most_rows(spark):
     requests = [(i, "f", "IMG_0001.jpg" if i % 3 else f"IMG_0001 ({i}).jpg") for i in range(900)]
     existing = [("f", f"IMG_0001 ({i}).jpg") for i in range(1, 300, 7)]
     assert served(spark, requests, existing, 4) == one_by_one(requests, existing)
+
+
+def test_one_numbered_family_holds_most_rows(spark):
+    """Numbers asked for by name, before and after the overflow reaches them, on two levels; no pandas in the plan."""
+    rng = random.Random(8)
+    requests = []
+    for i in range(1200):
+        tail = f" ({rng.randint(1, 500)})" if rng.random() < 0.5 else ""
+        requests.append((i, "f", f"IMG_0001{tail}{tail if rng.random() < 0.2 else ''}.jpg"))
+    existing = [("f", f"IMG_0001 ({i}).jpg") for i in range(1, 300, 7)]
+    assert served(spark, requests, existing, 4) == one_by_one(requests, existing)
+    named = unique_destination(spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(existing, "folder string, name string"))
+    assert "Pandas" not in named._jdf.queryExecution().toString()

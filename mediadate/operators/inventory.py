@@ -56,8 +56,8 @@ def append_counts(inventory: DataFrame, scanned: DataFrame) -> DataFrame:
     return counted.withColumn("skipped", F.col("found") - F.col("inserted"))
 
 
-def assign_ids(fresh: DataFrame, inventory: DataFrame, key: str = "file_path") -> DataFrame:
-    """Give new rows dense ids in key order, following the highest id in use.
+def assign_ids(fresh: DataFrame, inventory: DataFrame | None, key: str = "file_path", top: int | None = None) -> DataFrame:
+    """Give new rows dense ids in key order, following the highest id in use (``top``, if it is known).
 
     Keys are sorted by range over the cluster. One row per range, as many as there are shuffle
     partitions, is summed in one place and sent back to all.
@@ -68,7 +68,8 @@ def assign_ids(fresh: DataFrame, inventory: DataFrame, key: str = "file_path") -
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    top = inventory.agg(F.max("id")).first()[0] or 0
+    if top is None:
+        top = inventory.agg(F.max("id")).first()[0] or 0
     numbered = ordered.join(F.broadcast(starts), "_part")
     local = F.col("_local").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.withColumn("id", F.col("_start") + local + F.lit(top + 1))

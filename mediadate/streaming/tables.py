@@ -10,25 +10,57 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mediadate.operators import inventory, review
 from mediadate.sources.snapshots import AppendTable, ChangeTable, written_once
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through and remembers the key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=lambda row: repr(row.asDict()))
+
+    def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
+        self.seen.update((True,))
+
 
 def stream_inventory(
     manifest: DataFrame, table: AppendTable, checkpoint: str, extensions: Iterable[str]
 ) -> StreamingQuery:
-    """Append the unknown files of a streamed manifest to the inventory."""
-    wanted = list(extensions)
+    """Append the unknown files of a streamed manifest to the inventory.
+
+    Which paths are known is keyed state of the stream, in a RocksDB store on the executors and below
+    ``checkpoint``. The inventory as it is at the stream's first start fills it; after that a batch
+    reads its own rows and their keys' state only, however large the inventory has become. Batches are
+    numbered on from the table's last one at that start. Of several rows of one path in a batch the least by its columns' text counts.
+    """
+    spark = manifest.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    scanned = inventory.scan_inventory(manifest, list(extensions))
+    known = table.read().select("file_path").distinct()
+    fresh = scanned.groupBy("file_path").transformWithState(
+        FirstSeen(), scanned.schema, "Append", "None", known.groupBy("file_path")
+    )
+
+    start = f"{checkpoint.rstrip('/')}-start"
+    first = written_once(spark, start, lambda: spark.createDataFrame([(max(table.batches(), default=-1) + 1,)], "first long")).first()[0]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in table.batches():
-            known = table.read(before=batch_id)
-            fresh = inventory.append_new(known, inventory.scan_inventory(batch, wanted))
-            table.write(inventory.assign_ids(fresh, known), batch_id)
+        if first + batch_id not in table.batches():
+            table.write(inventory.assign_ids(batch, None, top=table.highest("id")), first + batch_id)
+        else:
+            batch.write.format("noop").mode("overwrite").save()  # the rows are there, the state is not
 
-    writer = manifest.writeStream.foreachBatch(append)
+    writer = fresh.writeStream.foreachBatch(append)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

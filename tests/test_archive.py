@@ -1,6 +1,7 @@
 """Inventory, duplicates, audit, corrections and streams on small tables and real files."""
 
 import hashlib
+import math
 import os
 import random
 import struct
@@ -16,7 +17,7 @@ from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
 from mediadate.plans.import_run import run_import
 from mediadate.sources import contents, listing, metadata
-from mediadate.sources.snapshots import AppendTable, ChangeTable, SnapshotTable, write_report
+from mediadate.sources.snapshots import AppendTable, ChangeTable, Part, SnapshotTable, covering, due_merge, write_report
 from mediadate.streaming import tables
 
 def now():
@@ -366,6 +367,65 @@ def test_inventory_stream(spark, tmp_path):
     assert [spark.read.parquet(f"{table.root}/batch={k}").count() for k in (0, 1)] == [1, 1]  # a batch writes its own rows
 
 
+def test_inventory_stream_reads_its_batch_only(spark, tmp_path, monkeypatch):
+    """Known paths come from the table at the first start and from state later: the table is not read again."""
+    table, source = AppendTable(spark, str(tmp_path / "t"), schemas.LOCATED_FILES), str(tmp_path / "manifests")
+    table.write(spark.createDataFrame([(7, "/m/a.jpg")], "id long, file_path string"), 0)
+    spark.createDataFrame([("/m/none.jpg", 1, DAY, DAY)], schemas.MANIFEST).write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schemas.MANIFEST).parquet(source)
+        tables.stream_inventory(stream, table, str(tmp_path / "c"), ["jpg"]).awaitTermination()
+        return sorted((r.id, r.file_path) for r in table._rows(covering(table.parts())).collect())
+
+    assert run() == [(7, "/m/a.jpg"), (8, "/m/none.jpg")]
+    rows = [("/m/a.jpg", 1, DAY, DAY), ("/m/b.jpg", 1, DAY, DAY), ("/m/b.jpg", 2, DAY, DAY), ("/m/none.jpg", 1, DAY, DAY)]
+    spark.createDataFrame(rows, schemas.MANIFEST).write.mode("append").parquet(source)
+    monkeypatch.setattr(table, "read", lambda before=None: spark.createDataFrame([], schemas.LOCATED_FILES))
+    assert run() == [(7, "/m/a.jpg"), (8, "/m/none.jpg"), (9, "/m/b.jpg")] and table.batches() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_merges_keep_few_parts(fan):
+    parts, most, rewritten = set(), 0, 0
+    for batch in range(1000):
+        parts.add(Part(batch, batch, 0))
+        while run := due_merge(parts, fan):
+            parts &= set(covering(parts))
+            parts.add(Part(run[0].first, run[-1].last, run[0].level + 1))
+            rewritten += run[-1].last - run[0].first + 1
+        most = max(most, len(covering(parts)))
+    ranges = covering(parts)
+    assert [n for p in ranges for n in range(p.first, p.last + 1)] == list(range(1000))
+    levels = math.ceil(math.log(1000, fan))
+    assert most <= fan * levels and rewritten <= 1000 * levels
+    assert all(Part.named(p.folder) == p for p in parts)
+
+
+def test_append_table_merges_its_parts(spark, tmp_path):
+    table = AppendTable(spark, str(tmp_path / "t"), "id long", fan=3)
+    for batch in range(10):
+        table.write(spark.range(batch * 2, batch * 2 + 2), batch)
+        assert table.highest("id") == batch * 2 + 1
+    assert sorted(r.id for r in table.read().collect()) == list(range(20)) and table.batches() == list(range(10))
+    assert [p.level for p in covering(table.parts())] == [2, 0]
+    assert len(list((tmp_path / "t").iterdir())) < 10
+
+
+def test_fold_rewrites_touched_buckets_only(spark, tmp_path):
+    table = ChangeTable(spark, str(tmp_path / "t"), "id long, v long", buckets=8, fold_after=4)
+    table.base.write(spark.range(100).selectExpr("id", "0L as v"))
+    before = set(table.base.folders())
+    state = dict.fromkeys(range(100), 0)
+    for batch in range(12):
+        table.write(spark.createDataFrame([(5, batch), (1000, batch)], "id long, v long"), batch)
+        state |= {5: batch, 1000: batch}
+        assert len(table.base.folders()) <= 8 and len(table.changes.parts()) <= 2 * 4 + 1
+        assert batch % 4 or {r.id: r.v for r in table.read().collect()} == state
+    assert table.base.version() > 2 and len(before & set(table.base.folders())) >= 6
+    assert {r.id: r.v for r in table.read().collect()} == state and table.last_batch() == 11
+
+
 def test_correction_stream_skips_finished_batches(spark, tmp_path):
     table = ChangeTable(spark, str(tmp_path / "t"), schemas.ARCHIVE_FILES)
     table.base.write(spark.createDataFrame(CATALOG_ROWS, CATALOG))

@@ -97,12 +97,12 @@ def audit_summary(listing: DataFrame, catalog: DataFrame, evidence: DataFrame, a
     records = catalog.select(
         F.col("archive_path").alias("path"), effective_date(catalog).alias("_date"), F.lit(True).alias("in_catalog")
     )
-    tags = evidence.select(
-        "path", dates.exif_date(F.col("date_time_original"), F.col("date_time_digitized"))["date"].alias("_exif")
-    )
+    tags = evidence.select("path", "date_time_original", "date_time_digitized")
     both = disk.join(tags, "path", "left").join(records, "path", "full_outer")
     on_disk, in_catalog = F.col("on_disk").isNotNull(), F.col("in_catalog").isNotNull()
-    expected = F.when(in_catalog, F.col("_date")).otherwise(F.coalesce("_exif", "creation_date"))
+    # The joins share one shuffle by path; only the tags of files without a record are parsed after them.
+    exif = dates.exif_date(*(F.when(~in_catalog, F.col(c)) for c in ("date_time_original", "date_time_digitized")))["date"]
+    expected = F.when(in_catalog, F.col("_date")).otherwise(F.coalesce(exif, F.col("creation_date")))
     wrong = F.coalesce(paths.dated_folder(expected) != paths.placed_folder(F.col("path"), archive_root), F.lit(False))
     counted = both.select(on_disk.alias("d"), in_catalog.alias("c"), wrong.alias("w")).agg(
         F.count_if("d").alias("on_disk"),

@@ -59,6 +59,11 @@ def archive_folder(
     return paths.under_root(archive_root, F.when(date_uncertain == 1, review_folder).otherwise(day))
 
 
+DATE_TEXTS = (
+    "date_time_original", "date_time_digitized", "gps_date_stamp", "tiff_datetime", "xmp_create_date", "photoshop_date_created", "xmp_modify_date",
+)
+
+
 def import_outcomes(
     eligible: DataFrame,
     present: DataFrame,
@@ -88,8 +93,10 @@ def import_outcomes(
     )
     if "file_type" not in files.columns:
         files = files.withColumn("file_type", F.lit(None).cast("string"))
-    scored = score_dates(gather_signals(files, try_ocr=run.try_ocr), as_of=as_of, threshold_days=run.threshold_days)
     planned = F.col("outcome") == "planned"
+    # Missing and excluded files get no conclusion, so their texts are not parsed.
+    files = files.withColumns({c: F.when(planned, F.col(c)) for c in DATE_TEXTS if c in files.columns})
+    scored = score_dates(gather_signals(files, try_ocr=run.try_ocr), as_of=as_of, threshold_days=run.threshold_days)
     folder = archive_folder(F.col("date_taken"), F.col("date_uncertain"), run.archive_root, run.review_folder, as_of)
     columns = {
         "folder": folder,

@@ -260,6 +260,12 @@ SQL = {
         from archived where on_disk and not in_catalog) select path, file_size, modification_date as modified_date, case when exif is null then 'filesystem_fallback' else 'exif' end as date_source,
         not wrong as correctly_placed, case when wrong then strftime(coalesce(exif, creation_date), '%Y/%m/%d') end as expected_folder, case when wrong then actual end as actual_folder from judged""",
     "audit_summary": f"{over('archived')} {summary(EFFECTIVE)}",
+    "audit_report": f"""{over('archived')}, {MISPLACED}, entries as (select 'undocumented_files' as section, path from archived where on_disk and not in_catalog
+        union all select 'missing_files', path from archived where in_catalog and not on_disk union all select 'misplaced_files', archive_path from misplaced)
+        select section, path, row_number() over (order by section, path) - 1 as place from entries""",
+    "dup_report": f"""{ENTRIES}, {GROUPS}, lines as (select wasted_bytes, first_path, 0 as step, null as path from dups
+        union all select d.wasted_bytes, d.first_path, 1, e.path from entries e join dups d using (file_hash))
+        select *, row_number() over (order by wasted_bytes desc, first_path, step, path) - 1 as place from lines""",
     "audit_diff": f"""{over('archived')}, b as ({summary('date_taken')}), a as ({summary(EFFECTIVE)}),
         pairs as (select 'misplaced_count' as metric, b.misplaced_count as before, a.misplaced_count as after from a, b
             union all select 'in_sync', cast(b.in_sync as bigint), cast(a.in_sync as bigint) from a, b) select * from pairs where before <> after""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from mediadate import settings
 from mediadate.functions import camera, dates, paths, sizes
 from mediadate.operators import audit, duplicates, enrichment, importing, inventory, naming, ocr_text, review, scoring, signals
 from mediadate.operators.lineage import settle_table
+from mediadate.operators.skew import spread_join
 from mediadate.plans import standins
-from mediadate.sources import contents, metadata
+from mediadate.sources import contents, metadata, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,6 +263,15 @@ def audit_summary(spark, folder):
     return audit.audit_summary(listing, catalog, listing, standins.ARCHIVE_ROOT)
 
 
+@query
+def audit_report(spark, folder):
+    """All sections of the audit report, each in the order of its paths."""
+    found = audit_undocumented(spark, folder), audit_missing(spark, folder), audit_misplaced(spark, folder)
+    entries = [rows.select(F.lit(name).alias("section"), "path") for name, rows in reports.audit_sections(*found).items()]
+    every = functools.reduce(DataFrame.unionByName, entries)
+    return reports.number_rows(every, [F.col("section"), F.col("path")])
+
+
 @query
 def audit_diff(spark, folder):
     """Summary before and after a person's corrections."""
@@ -353,6 +364,17 @@ def dup_members(spark, folder):
     return duplicates.duplicate_members(text_entries(spark, folder))
 
 
+@query
+def dup_report(spark, folder):
+    """The duplicate report as lines: groups by the bytes they waste, each followed by its files."""
+    entries = settle_table(text_entries(spark, folder))
+    groups = settle_table(duplicates.duplicate_groups(entries))
+    members = duplicates.duplicate_members(entries, groups.select("file_hash", "count"))
+    members = spread_join(members, groups.select("file_hash", "wasted_bytes", "first_path"), "file_hash", "path")
+    lines = reports.duplicate_section(groups, members).where("step < 2").select("wasted_bytes", "first_path", "step", "path")
+    return reports.number_rows(lines, [F.desc("wasted_bytes"), F.asc("first_path"), F.asc("step"), F.asc("path")])
+
+
 @query
 def dup_summary(spark, folder):
     return duplicates.duplicate_summary(text_entries(spark, folder))

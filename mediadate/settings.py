@@ -106,3 +106,7 @@ class ImportSettings:
     threshold_days: int = 1
     review_folder: str = REVIEW_FOLDER
     try_ocr: bool = False
+
+# Fields of the reports.
+ARCHIVE_ROOT_FIELD = "archive_root"
+MISPLACED_COLUMNS = ("expected_folder", "actual_folder")

@@ -1,6 +1,7 @@
 """Inventory, duplicates, audit, corrections and streams on small tables and real files."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -16,7 +17,7 @@ from mediadate.operators import audit, duplicates, enrichment, inventory, review
 from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
 from mediadate.plans.import_run import run_import
-from mediadate.sources import contents, listing, metadata
+from mediadate.sources import contents, listing, metadata, reports
 from mediadate.sources.snapshots import AppendTable, ChangeTable, Part, SnapshotTable, covering, due_merge, write_report
 from mediadate.streaming import tables
 
@@ -458,3 +459,35 @@ def test_running_total(spark, bits):
 def test_report(spark, tmp_path):
     write_report({"summary": spark.range(1), "files": spark.range(3)}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "files")).count() == 3
+
+
+def test_whole_reports(spark, tmp_path):
+    undocumented = spark.createDataFrame(
+        [(f"/r/2020/01/0{k}/{chr(34)}é\n{k}.jpg", k, k % 2 == 0, "2020/01/01" if k % 2 else None, "2020/01/02" if k % 2 else None) for k in (3, 1, 2)],
+        "path string, file_size long, correctly_placed boolean, expected_folder string, actual_folder string",
+    )
+    missing = spark.createDataFrame([(1, "/r/b", None), (2, "/r/a", DAY)], "id long, archive_path string, user_corrected_date timestamp_ntz")
+    misplaced = spark.createDataFrame([], "archive_path string, actual_folder string")
+    summary = spark.createDataFrame([(3, False)], "undocumented_count long, in_sync boolean")
+    target = reports.audit_document(str(tmp_path / "out" / "audit.json"), spark, "/r", "2024-06-15T12:00:00", summary, undocumented, missing, misplaced)
+    with open(target) as source:
+        report = json.load(source)
+    assert list(report) == ["audit_timestamp", "archive_root", "summary", "undocumented_files", "missing_files", "misplaced_files"]
+    assert report["summary"] == {"undocumented_count": 3, "in_sync": False} and report["misplaced_files"] == []
+    assert [sorted(e) for e in report["undocumented_files"]] == [
+        sorted(undocumented.columns), ["correctly_placed", "file_size", "path"], sorted(undocumented.columns)
+    ]
+    assert [e["archive_path"] for e in report["missing_files"]] == ["/r/a", "/r/b"] and report["missing_files"][1]["user_corrected_date"] is None
+    assert [e["file_size"] for e in report["undocumented_files"]] == [1, 2, 3]
+
+    files = [("h1", f"/f/{k:04}", 5, k % 2 == 0) for k in range(700)] + [("h2", "/g/a", 9000, True), ("h2", "/g/b", 9000, False), ("h3", "/z", 1, True)]
+    entries = spark.createDataFrame([(p, h, p, s, d) for h, p, s, d in files], "position string, file_hash string, path string, file_size long, documented boolean")
+    groups = duplicates.duplicate_groups(entries)
+    members = duplicates.duplicate_members(entries).join(groups.select("file_hash", "wasted_bytes", "first_path"), "file_hash")
+    target = reports.duplicate_document(str(tmp_path / "dup.json"), "archive", "now", duplicates.duplicate_summary(entries), groups, members)
+    with open(target) as source:
+        report = json.load(source)
+    assert report["mode"] == "archive" and report["summary"]["duplicate_files"] == 702
+    assert [(g["file_hash"], g["file_size"], g["count"]) for g in report["duplicate_groups"]] == [("h2", 9000, 2), ("h1", 5, 700)]
+    assert [f["path"] for f in report["duplicate_groups"][1]["files"]] == [f"/f/{k:04}" for k in range(700)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["dup.json", "out"]

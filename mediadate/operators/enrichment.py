@@ -15,7 +15,7 @@ from mediadate.operators import audit, duplicates
 from mediadate.operators.lineage import settle_table
 from mediadate.operators.naming import unique_destination
 from mediadate.operators.scoring import score_dates
-from mediadate.operators.skew import spread_join
+from mediadate.operators.skew import BROADCAST_ROWS, spread_join
 
 # Date forms in file and folder names, as year, month, day and an optional time.
 NAME_DATE = r"(?<!\d)((?:19|20)\d\d)([-_.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])(?:[-_T ]?([01]\d|2[0-3])[-_.]?([0-5]\d)[-_.]?([0-5]\d))?(?!\d)"
@@ -210,7 +210,15 @@ def rescore_uncertain(
 
 
 def label_search(catalog: DataFrame, labels: DataFrame, file_labels: DataFrame, label_name: str) -> DataFrame:
-    """Catalog rows that carry a label, with where the label came from."""
+    """Catalog rows that carry a label, with where the label came from.
+
+    The ids of the label's name are few as a rule and then sent to the files' labels; a larger number of
+    them meets salted keys. So the files of a label that most files carry stay spread by their own ids.
+    """
     wanted = labels.filter(F.col("label_name") == label_name).select(F.col("id").alias("label_id"), "label_name", "category")
-    tagged = file_labels.join(wanted, "label_id").select(F.col("file_id").alias("id"), "label_name", "category", F.col("source").alias("label_source"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = file_labels.join(F.broadcast(wanted), "label_id")
+    else:
+        met = spread_join(file_labels, wanted, "label_id", "file_id")
+    tagged = met.select(F.col("file_id").alias("id"), "label_name", "category", F.col("source").alias("label_source"))
     return catalog.join(tagged, "id")

@@ -17,7 +17,7 @@ from mediadate.operators import audit, duplicates, enrichment, inventory, review
 from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
 from mediadate.plans.import_run import run_import
-from mediadate.sources import contents, listing, metadata, reports
+from mediadate.sources import bucketed, contents, listing, metadata, reports
 from mediadate.sources.snapshots import AppendTable, ChangeTable, Part, SnapshotTable, covering, due_merge, write_report
 from mediadate.streaming import tables
 
@@ -491,3 +491,53 @@ def test_whole_reports(spark, tmp_path):
     assert [(g["file_hash"], g["file_size"], g["count"]) for g in report["duplicate_groups"]] == [("h2", 9000, 2), ("h1", 5, 700)]
     assert [f["path"] for f in report["duplicate_groups"][1]["files"]] == [f"/f/{k:04}" for k in range(700)]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["dup.json", "out"]
+
+
+def test_bucketed_sides_meet_without_a_shuffle(spark):
+    rows = [(k, f"/archive/2020/01/{k % 9:02}/f{k}.jpg") for k in range(3000)]
+    catalog = spark.createDataFrame(rows, "id long, archive_path string").withColumns(
+        {"date_taken": F.lit(DAY), "user_corrected_date": F.lit(None).cast("timestamp_ntz"), "date_uncertain": F.lit(1), "date_added": F.lit(DAY)}
+    )
+    disk = spark.createDataFrame(rows[500:] + [(0, "/archive/new.jpg")], "n long, path string").drop("n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held, found = bucketed.write_bucketed(catalog, "held_files", "archive_path", 4), bucketed.write_bucketed(disk, "found_files", "path", 4)
+        queries = [lambda c, d: audit.classify(d, c), lambda c, d: audit.missing_files(d, c), lambda c, d: audit.misplaced_files(d, c, "/archive"), lambda c, d: review.with_location(c, d, "/archive")]
+        for build in queries:
+            plan = build(held, found)
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(repr, plan.collect())) == sorted(map(repr, build(catalog, disk).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("held_files", "found_files"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_copies_and_moves_by_uri(spark, tmp_path):
+    """URIs go through pyarrow's file systems: streamed, never over another file, repeatable."""
+    for name, data in (("a", b"one" * 3_000_000), ("b", b"two"), ("c", b"same"), ("d", b"same")):
+        (tmp_path / name).write_bytes(data)
+    base = f"file://{tmp_path}"
+    rows = [(f"{base}/a", f"{base}/x/y/a2"), (f"{base}/a", f"{base}/b"), (f"{base}/c", f"{base}/d"), (f"{base}/none", f"{base}/e")]
+    plan = spark.createDataFrame(rows, "source_path string, archive_path string")
+    for _ in range(2):
+        got = {r.archive_path.rsplit("/", 1)[1]: r for r in contents.copy_files(plan).collect()}
+        assert {k: r.outcome for k, r in got.items()} == {"a2": "copied", "b": "failed", "d": "copied", "e": "failed"}
+        assert got["b"].error and got["e"].error
+    moved = plan.selectExpr("source_path as archive_path", "concat(archive_path, '.moved') as new_archive_path")
+    moves = moved.filter("archive_path like '%/c' or archive_path like '%/none'")
+    for _ in range(2):
+        assert sorted(r.outcome for r in contents.move_files(moves).collect()) == ["failed", "moved"]
+    assert (tmp_path / "x/y/a2").read_bytes() == (tmp_path / "a").read_bytes()
+    assert (tmp_path / "d.moved").read_bytes() == b"same" and not (tmp_path / "c").exists()
+    assert not [p for p in tmp_path.rglob("*") if p.name.endswith(".partial")]
+
+
+def test_hot_label_is_spread(spark):
+    catalog = spark.range(3000).selectExpr("id", "concat('/f', id) as archive_path")
+    labels = spark.createDataFrame([(1, "beach", "place"), (2, "cat", "animal"), (3, "beach", "scene")], "id long, label_name string, category string")
+    carried = spark.range(3000).selectExpr("id as file_id", "case when id % 3 < 2 then 1L else 2L end as label_id", "'model' as source")
+    found = enrichment.label_search(catalog, labels, carried, "beach")
+    sizes = [len(part) for part in found.rdd.glom().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 1000

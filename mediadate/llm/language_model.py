@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,9 @@ CODES, LOWEST = 65_535, -24.0
 WORDS_HELD = 500_000
 TOKENS_HELD = 1 << 19
 IDS_CACHED = 300_000
+KEYS_HELD = 1 << 21
+SAMPLES, RANGES = 64, 1 << 14
+MAPPED_BYTES = 192 << 20
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -118,7 +121,7 @@ class Shard:
         else:
             with system.open_input_file(path) as source:
                 buffer = source.read_buffer()
-        self.arrays = {}
+        self.size, self.arrays = buffer.size, {}
         for part in layout.split(";"):
             name, kind, at, count = part.split(":")
             self.arrays[name] = np.frombuffer(buffer, kind, int(count), int(at))
@@ -133,7 +136,7 @@ def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 class Model:
-    """The trie as far as it is built; a worker keeps the shards that it has opened."""
+    """The trie as far as it is built; a worker keeps the shards opened last, up to ``MAPPED_BYTES``."""
 
     def __init__(self, facts: dict, files: list[tuple]):
         self.vocabulary, self.total = facts["vocabulary"], facts["total"]
@@ -142,23 +145,23 @@ class Model:
         self.starts = {level: np.array(facts.get(f"starts{level}", []), np.int64) for level in (2, 3)}
         self.bases = {level: np.array(facts.get(f"bases{level}", []), np.int64) for level in (2, 5)}
         self.files = {(level, shard): (place, layout) for level, shard, place, layout in files}
-        self.open = worker_cache().setdefault("model shards", {})
-        if self.open.get("model") != facts["model"]:
-            self.open.clear()
-            self.open["model"] = facts["model"]
+        self.open = worker_cache().setdefault("model shards", OrderedDict())
 
     def shard(self, level: int, number: int) -> Shard | None:
         if (level, number) not in self.files:
             return None
         place = self.files[level, number]
-        if place not in self.open:
+        shard = self.open.pop(place, None)
+        if shard is None:
             shard = Shard(*place)
             if level <= 3:
                 shard.entries = shard.sequence("keys")
             if level == 5:
                 shard.pointers = shard.sequence("pointers")
-            self.open[place] = shard
-        return self.open[place]
+        self.open[place] = shard
+        while len(self.open) > 1 and sum(held.size for held in self.open.values()) > MAPPED_BYTES:
+            self.open.popitem(last=False)
+        return shard
 
     @staticmethod
     def _by_shard(numbers: np.ndarray):
@@ -367,45 +370,151 @@ def _token_parts(batches):
             begin = end
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, their bytes sorted by place."""
+    planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def count_bigrams(encoded: DataFrame) -> DataFrame:
-    """``key`` (first * 2**32 + second) and ``n`` of the bigrams."""
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, 8 * count, "zstd", asbytes=True), np.uint8).reshape(8, count)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def _run_row(cell: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+    """A run of ascending keys and their counts."""
+    return {"cell": cell, "entries": len(keys), "keys": _packed(np.diff(keys, prepend=0)), "counts": _packed(counts)}
+
+
+def _run(entries: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(keys, entries)), _unpacked(counts, entries)
+
+
+RUNS = "cell long, entries long, keys binary, counts binary"
+RUN_SCHEMA = pa.schema([("cell", pa.int64()), ("entries", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of the columns; runs laid end to end are merged."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], *(np.add.reduceat(column[order], starts) if len(keys) else column for column in columns)
+
+
+def bigram_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    inside = np.ones(len(words), bool)
+    inside[starts] = False  # no pair across documents
+    return (words[:-1] << 32 | words[1:])[inside[1:]]
+
+
+def _key_bounds(encoded: DataFrame, keys_of, total: int) -> np.ndarray:
+    """First keys of the ranges but the lowest, from sampled places: some 4 * ``ENTRIES`` tokens a range.
+
+    Ranges only decide which task merges which keys; the driver sorts ``SAMPLES`` keys a range, 2**20 in all.
+    """
+    ranges = min(RANGES, -(-total // (4 * ENTRIES)))
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    step = max(1, total // (SAMPLES * ranges))
 
     def work(batches):
-        held, size = [], 0
+        keys = keys_of()
         for _, words, starts in _token_parts(batches):
-            inside = np.ones(len(words), bool)
-            inside[starts] = False  # no pair across documents
-            held.append((words[:-1] << 32 | words[1:])[inside[1:]])
-            size += len(held[-1])
-            if size > 4 * TOKENS_HELD:
-                yield _pairs_batch(*_counted(np.concatenate(held)))
+            places = np.arange(step // 2, len(words), step)
+            places = places[places - starts[np.searchsorted(starts, places, "right") - 1] >= 2]
+            if len(places):
+                windows = words[places[:, None] + np.arange(-2, 1)].reshape(-1)
+                found = keys(windows, np.arange(len(places)) * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([found.astype("<i8").tobytes()], pa.binary())], ["keys"])
+
+    rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "keys binary").collect()
+    keys = np.sort(np.frombuffer(b"".join(bytes(row["keys"]) for row in rows), "<i8"))
+    return np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges]) if len(keys) else keys
+
+
+def count_runs(encoded: DataFrame, keys_of, total: int) -> DataFrame:
+    """The n-grams of the training texts as runs of at most ``ENTRIES`` distinct keys, written.
+
+    ``keys_of`` gives a task the function from words and document starts to keys. Tasks count what they
+    hold with numpy and send one run a range; the task of a range merges its runs. So n-grams are
+    shuffled as compressed runs, none of them as a row.
+    """
+    bounds = _key_bounds(encoded, keys_of, total)
+
+    def cut(held):
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+        rows = [_run_row(cell, keys[a:b], counts[a:b]) for cell, (a, b) in enumerate(itertools.pairwise(ends)) if b > a]
+        return pa.RecordBatch.from_pylist(rows, RUN_SCHEMA)
+
+    def count(batches):
+        keys, held, size = keys_of(), [], 0
+        for _, words, starts in _token_parts(batches):
+            if len(words) > 1:
+                held.append(keys(words, starts))
+                size += len(held[-1])
+            if size > KEYS_HELD:
+                yield cut(held)
                 held, size = [], 0
+        if size:
+            yield cut(held)
+
+    def merge(batches):
+        cell, held, size, least = 0, [], 0, KEYS_HELD
+        for batch in batches:
+            for cell, entries, keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                held.append(_run(entries, keys, counts))
+                size += entries
+                if size > 2 * least:
+                    held = [_summed(*map(np.concatenate, zip(*held)))]
+                    size = least = len(held[0][0])
+                    least = max(least, KEYS_HELD)
         if held:
-            yield _pairs_batch(*_counted(np.concatenate(held)))
+            keys, counts = _summed(*map(np.concatenate, zip(*held)))
+            for k in range(0, len(keys), ENTRIES):
+                yield pa.RecordBatch.from_pylist([_run_row(cell, keys[k : k + ENTRIES], counts[k : k + ENTRIES])], RUN_SCHEMA)
+
+    rows = encoded.where("not held_out").select("numbers").mapInArrow(count, RUNS)
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("cell").cast("int"))
+    return settle(dealt.mapInArrow(merge, RUNS))
 
-    def _pairs_batch(keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
-    rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+def _group_sums(runs: DataFrame, divisor: int, width: int) -> DataFrame:
+    """``shard, entries, groups, followers, n``: per group (key div divisor) how many keys and their counts, as runs a shard."""
+    names = ["shard", "entries", "groups", "followers", "n"]
 
+    def work(batches):
+        for batch in batches:
+            for _, entries, packed, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                keys, n = _run(entries, packed, counts)
+                groups, followers, sums = _summed(keys // divisor, np.ones(len(keys), np.int64), n)
+                ends = [0, *(np.flatnonzero(np.diff(groups // width)) + 1).tolist(), len(groups)]
+                rows = [
+                    (int(groups[a]) // width, b - a, _packed(np.diff(groups[a:b], prepend=0)), _packed(followers[a:b]), _packed(sums[a:b]))
+                    for a, b in itertools.pairwise(ends)
+                ]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
 
-def count_trigrams(encoded: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
-    """``key, n`` of the trigrams, keyed as in their level."""
+    return runs.mapInArrow(work, "shard long, entries long, groups binary, followers binary, n binary")
+
+
+def _build_sums(sums: DataFrame, build, shards: int) -> DataFrame:
+    """Write the files of a level of groups, a task a shard; a group's parts are added up first."""
 
     def work(batches):
-        model = Model(facts, files)
-        for _, words, starts in _token_parts(batches):
-            if len(words) > 2:
-                keys, counts = _counted(model.trigram_keys(words, starts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        def rows():
+            for batch in batches:
+                yield from zip(*(column.to_pylist() for column in batch.columns))
 
-    rows = encoded.where("not held_out").select("numbers").mapInArrow(work, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+        for shard, own in itertools.groupby(rows(), key=lambda row: row[0]):
+            parts = [(np.cumsum(_unpacked(groups, size)), _unpacked(followers, size), _unpacked(n, size)) for _, size, groups, followers, n in own]
+            yield pa.RecordBatch.from_pylist([build(shard, *_summed(*map(np.concatenate, zip(*parts))))])
+
+    return settle(sums.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(work, FILES))
 
 
 def _shard_rows(batches):
@@ -437,36 +546,22 @@ def _build(rows: DataFrame, columns: list[str], build, shards: int) -> DataFrame
     return settle(dealt.select(F.col("shard").cast("long"), *columns).mapInArrow(work, FILES))
 
 
-def _build_ranges(rows: DataFrame, build) -> DataFrame:
-    """Write the files of a level of ``key, n`` by ranges of distinct keys, ``ENTRIES`` a file at most.
-
-    A range is a task of its own; one that came out larger is cut into several files.
-    """
+def _build_runs(runs: DataFrame, build) -> DataFrame:
+    """Write the files of a level, one for each run."""
 
     def work(batches):
-        held, size = [], 0
         for batch in batches:
-            columns = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
-            while len(columns[0]):
-                taken = [column[: ENTRIES - size] for column in columns]
-                columns = [column[ENTRIES - size :] for column in columns]
-                held.append(taken)
-                size += len(taken[0])
-                if size == ENTRIES:
-                    yield pa.RecordBatch.from_pylist([build(*map(np.concatenate, zip(*held)))])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist([build(*map(np.concatenate, zip(*held)))])
+            for _, entries, keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                yield pa.RecordBatch.from_pylist([build(*_run(entries, keys, counts))])
 
-    count = max(1, -(-4 * rows.count() // (3 * ENTRIES)))
-    dealt = rows.select("key", "n").repartitionByRange(count, "key").sortWithinPartitions("key")
-    return settle(dealt.mapInArrow(work, FILES))
+    return settle(runs.mapInArrow(work, FILES))
 
 
 def _ranges(table: DataFrame, level: int, facts: dict) -> list[tuple]:
     """Files of ranges in the order of their keys; their first keys and numbers go to ``facts``."""
     found = table.orderBy("start").collect()
     facts[f"starts{level}"] = [row["start"] for row in found]
+    facts[f"last{level}"] = found[-1]["entries"] if found else 0
     facts[f"bases{level}"] = [0, *itertools.accumulate(row["entries"] for row in found)][: len(found)]
     return [(level, number, row["place"], row["layout"]) for number, row in enumerate(found)]
 
@@ -498,6 +593,8 @@ class Builder:
         self.folder = shared_folder(docs.sparkSession)
         words = settle(count_words(docs.where(~held_out())))
         sums = words.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("count").alias("total")).first()
+        if sums["vocabulary"] >= 1 << 31:
+            raise OverflowError("the words' numbers do not fit 31 bits")
         numbered = number_rows(words.select(F.lit(0).alias("shard"), "hash", "count"), ["hash"])
         numbered = settle(numbered.select((F.col("slot") / WIDTH).cast("long").alias("shard"), "hash", "count"))
         discard(words)
@@ -522,10 +619,7 @@ class Builder:
 
     def add_bigrams(self, encoded: DataFrame) -> None:
         """Write level 5 from sums per first word, then level 2."""
-        bigrams = settle(count_bigrams(encoded))
-        firsts = bigrams.groupBy(F.shiftright("key", 32).alias("first")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"))
-        firsts = settle(firsts.withColumn("shard", (F.col("first") / WIDTH).cast("long")))
-        self.facts["relative"] = (firsts.agg(F.max("followers")).first()[0] or 0) + 1
+        bigrams = count_runs(encoded, lambda: bigram_keys, self.facts["total"])
         folder, facts, files = self.folder, dict(self.facts), list(self.files)
 
         def build_heads(number, first, followers, counts):
@@ -539,16 +633,16 @@ class Builder:
             total = int(sizes.sum())
             parts = {"backoffs": _encode_log(np.log10(1 - kept / np.maximum(totals, 1)))}
             parts |= _named("pointers", elias_fano.encode(starts, total + 1))
-            return _store(folder, 5, number, parts) | {"entries": total}
+            return _store(folder, 5, number, parts) | {"entries": total, "start": int(sizes.max(initial=0))}
 
-        # words without followers have heads too: every shard has a row at least, the one of its first word
-        every = firsts.sparkSession.range(self.shards).select(
-            F.col("id").alias("shard"), (F.col("id") * WIDTH).alias("first"), F.lit(0).alias("followers"), F.lit(0).alias("n")
+        # words without followers have heads too: every shard has a row at least, without groups
+        none = F.lit(b"")
+        every = encoded.sparkSession.range(self.shards).select(
+            F.col("id").alias("shard"), F.lit(0).cast("long").alias("entries"), none.alias("groups"), none.alias("followers"), none.alias("n")
         )
-        rows = firsts.select("shard", "first", "followers", "n").union(every)
-        rows = rows.groupBy("shard", "first").agg(F.sum("followers").alias("followers"), F.sum("n").alias("n"))
-        heads = _build(rows, ["first", "followers", "n"], build_heads, self.shards).orderBy("shard").collect()
-        discard(firsts)
+        sums = _group_sums(bigrams, 1 << 32, WIDTH).unionByName(every)
+        heads = _build_sums(sums, build_heads, self.shards).orderBy("shard").collect()
+        self.facts["relative"] = max((row["start"] for row in heads), default=0) + 1
         self.facts["bases5"] = [0, *itertools.accumulate(row["entries"] for row in heads)][: len(heads)]
         self.files += [(5, row["shard"], row["place"], row["layout"]) for row in heads]
         facts, files, store = dict(self.facts), list(self.files), _range_store(folder)
@@ -562,16 +656,16 @@ class Builder:
             keys = first * facts["vocabulary"] + second
             return store(2, keys, {"counts": _narrow(counts), "codes": _encode_log(np.log10(chance))})
 
-        self.files += _ranges(_build_ranges(bigrams, build), 2, self.facts)
+        self.files += _ranges(_build_runs(bigrams, build), 2, self.facts)
         discard(bigrams)
 
     def add_trigrams(self, encoded: DataFrame) -> None:
         """Write level 4 from sums per bigram, then level 3."""
-        trigrams = settle(count_trigrams(encoded, self.facts, self.files))
         folder, facts, files = self.folder, dict(self.facts), list(self.files)
-        context = F.expr(f"key div {facts['relative']}L").alias("context")
-        contexts = trigrams.groupBy(context).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("n"))
-        contexts = contexts.withColumn("shard", F.expr(f"context div {ENTRIES}L"))
+        bigrams = facts["bases2"][-1] + facts["last2"] if facts["bases2"] else 0
+        if bigrams * facts["relative"] >= 1 << 63:
+            raise OverflowError("the keys of the trigrams do not fit 64 bits")
+        trigrams = count_runs(encoded, lambda: Model(facts, files).trigram_keys, facts["total"])
 
         def build_backoffs(number, context, followers, counts):
             backoffs = np.full(ENTRIES, CODES, np.uint16)
@@ -580,7 +674,7 @@ class Builder:
             return _store(folder, 4, number, {"backoffs": backoffs})
 
         parts = sum(1 for file in files if file[0] == 2)
-        self.files += _files(_build(contexts, ["context", "followers", "n"], build_backoffs, parts))
+        self.files += _files(_build_sums(_group_sums(trigrams, facts["relative"], ENTRIES), build_backoffs, parts))
         files, store = list(self.files), _range_store(folder)
 
         def build(keys, counts):
@@ -592,7 +686,7 @@ class Builder:
             chance = (counts - DISCOUNT) / totals[back] + backoff[back] * 10.0**lower
             return store(3, keys, {"codes": _encode_log(np.log10(chance))})
 
-        self.files += _ranges(_build_ranges(trigrams, build), 3, self.facts)
+        self.files += _ranges(_build_runs(trigrams, build), 3, self.facts)
         discard(trigrams)
 
 

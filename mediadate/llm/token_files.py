@@ -37,7 +37,9 @@ def bit_width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids (below 2**32) as a bit stream."""
+    """Ids as a bit stream; an id that does not fit the width is an error."""
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {int(ids.max())} does not fit {width} bits")
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
     bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")

@@ -110,3 +110,32 @@ def test_elias_fano_is_compact():
 
 def test_empty(empty):
     assert language_model.score_documents(empty).collect() == []
+
+
+def test_open_files_are_bounded(docs, monkeypatch):
+    """Files are mapped again when the bytes held are few; the scores are the same."""
+    want = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in language_model.score_documents(docs).collect()}
+    monkeypatch.setattr(language_model, "ENTRIES", 5000)
+    monkeypatch.setattr(language_model, "MAPPED_BYTES", 1 << 16)
+    for r in language_model.score_documents(docs).collect():
+        assert abs(want[r["doc_id"], r["n_tokens"], round(r["base_score"], 6)] - r["score"]) < 5e-4 * r["n_tokens"]
+    opened = language_model.OrderedDict()
+    monkeypatch.setattr(language_model, "worker_cache", lambda: {"model shards": opened})
+    model = language_model.Builder(docs)
+    encoded = language_model.settle(language_model.encode_corpus(docs, model.facts, model.files))
+    model.add_bigrams(encoded)
+    trie = language_model.Model(model.facts, model.files)
+    trie.bigrams_of(np.arange(model.facts["vocabulary"]), np.zeros(model.facts["vocabulary"], np.int64))
+    assert len(opened) > 0 and (len(opened) == 1 or sum(held.size for held in opened.values()) <= 1 << 16)
+
+
+def test_runs_are_merged():
+    rng = np.random.default_rng(2)
+    parts = [np.unique(rng.integers(0, 500, 200) << 40, return_counts=True) for _ in range(5)]
+    packed = [language_model._run_row(0, *part) for part in parts]
+    back = [language_model._run(row["entries"], row["keys"], row["counts"]) for row in packed]
+    keys, counts = language_model._summed(*map(np.concatenate, zip(*back)))
+    want = Counter()
+    for part in parts:
+        want.update(dict(zip(*(side.tolist() for side in part))))
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and (np.diff(keys) > 0).all()

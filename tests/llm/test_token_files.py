@@ -70,3 +70,8 @@ def test_query(spark, folder, rows):
 
 def test_empty(empty):
     assert token_files.encode_documents(empty, PATH, 49_408, 2).collect() == []
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.pack(np.array([1, 1 << 16]), 16)

@@ -135,7 +135,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, words: int = WORDS, prefix
     All columns of ``docs`` pass through; the four are named with ``prefix`` before, and columns of
     ``docs`` that have their names are replaced. Null and
     empty texts have no words and no hits, items without words no windows; without items nothing is
-    hit. Repeated rows get equal results; an empty table gives an empty result.
+    hit. Very long texts are scanned whole. Repeated rows get equal results; an empty table gives an empty result.
     """
     chunks = broadcast_windows(docs.sparkSession, items, words)
     added = [StructField(prefix + field.name, field.dataType) for field in StructType.fromDDL(SCHEMA).fields]

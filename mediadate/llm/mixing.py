@@ -196,7 +196,7 @@ def mix_documents(docs: DataFrame, weights: DataFrame, share: float = 1.5, most:
     weigh 0). Size: words of the text, none for null. ``weight_column`` names document weights
     (null or negative: 0); without it documents of a source are alike. A document without words
     can be in the mix with any number of copies and takes none. Rows with equal doc_id and size are
-    drawn alike. Reruns agree: nothing depends on the order or the place of rows. ``options`` are
+    drawn alike; very long texts weigh all their words. Reruns agree: nothing depends on the order or the place of rows. ``options`` are
     those of ``plan_mix``.
     """
     return plan_mix(docs, weights, share, most, **options).select(

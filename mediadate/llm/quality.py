@@ -134,7 +134,7 @@ def judge_documents(docs: DataFrame, host: str = "source", poor_rate: float = PO
     Kept is a document that passes the base rule and, if its host is poor, the soft rules, too.
     The expensive counts are written once as a narrow table; hosts are counted with partial sums
     and joined back by broadcast or, beyond 100,000 hosts, with salted keys. Repeated rows get the
-    same verdict each; an empty table gives an empty result.
+    same verdict each; very long texts are measured whole; an empty table gives an empty result.
     """
     measured = measure_documents(docs, host, carry)
     key = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))

@@ -129,7 +129,7 @@ def describe(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Per row: doc_id, the base spans by kind (assign, access, hex) and the ``linked`` weak spans.
 
-    A null text is empty. Rows that repeat doc_id and text get the same result each. Weak candidates
+    A null text is empty; a very long one is searched whole. Rows that repeat doc_id and text get the same result each. Weak candidates
     that overlap a base span are part of it and not listed again. An empty table gives an empty
     result. Other columns are not read.
     """

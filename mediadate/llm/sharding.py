@@ -15,7 +15,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediadate.llm.common import partitions, settle
+from mediadate.llm.common import join_lookup, partitions, settle
 
 BLOCK_GROUPS = 100_000
 
@@ -170,7 +170,7 @@ def shard_documents(docs: DataFrame, shards: int, overhead: int = 8) -> DataFram
     A row weighs its UTF-8 bytes and ``overhead``; a null text has no bytes, and null texts form a
     group of their own. Groups follow the order of their smallest doc_id, null ids last. Repeated
     rows are rows of the same group. Other columns of ``docs`` are not read. Shards can be empty
-    if there are fewer groups. Result: doc_id, size, text_crc32, shard, slot.
+    if there are fewer groups; a text larger than a shard's share has one to itself. Result: doc_id, size, text_crc32, shard, slot.
     """
     rows = settle(
         docs.select(
@@ -182,5 +182,5 @@ def shard_documents(docs: DataFrame, shards: int, overhead: int = 8) -> DataFram
     )
     groups = rows.groupBy("group").agg(F.min("doc_id").alias("first"), F.sum("size").alias("size"))
     placed = assign_groups(groups, shards)
-    joined = rows.join(settle(placed), "group").drop("group")
+    joined = join_lookup(rows, settle(placed), ["group"], "doc_id").drop("group")
     return number_rows(joined, ["place", "doc_id"]).select("doc_id", "size", "text_crc32", "shard", "slot")

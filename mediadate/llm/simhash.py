@@ -239,7 +239,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4)
     that links reach, component_text the hash of its text. Rows with one fingerprint are one node, however many they are. Texts without
     words and null texts have fingerprint 0 and link like any other. Null doc_ids are rows like
     others, but only name a component that has no other. Repeated rows stay repeated; an empty
-    table gives an empty result. Other columns are not read.
+    table gives an empty result. Very long texts count whole. Other columns are not read.
     """
     rows = settle(add_fingerprints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash"))
@@ -251,7 +251,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4)
     named = known.groupBy("root").agg(F.min("first").alias("first"))
     names = [F.col("named.doc_id").alias("component_id"), F.col("named.text_hash").alias("component_text")]
     labeled = known.join(named.withColumnRenamed("first", "named"), "root").select("fingerprint", *names)
-    return rows.join(settle(labeled), "fingerprint")
+    return join_lookup(rows, settle(labeled), ["fingerprint"], "doc_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:

@@ -286,7 +286,7 @@ def read_token_files(files: DataFrame, doc_type: str = "long") -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:
     """Write the files and read them back: one row per row of ``docs``.
 
-    Null and empty texts have the end id alone. Rows with one doc_id follow each other, in an order
+    Null and empty texts have the end id alone; very long ones are encoded whole and span blocks. Rows with one doc_id follow each other, in an order
     set by their texts. An empty table gives no files and an empty result. Other columns are not read.
     """
     files = write_token_files(docs, tokenizer, vocabulary, end_id)

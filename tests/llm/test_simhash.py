@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from conftest import sentence
 from mediadate.llm import components, simhash
+from mediadate.llm.common import join_lookup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,3 +107,19 @@ def test_copies_are_taken_out(spark):
 def test_empty(empty):
     assert simhash.near_duplicate_groups(empty).collect() == []
     assert simhash.keep_one_of_each_group(empty).collect() == []
+
+
+def test_hot_fingerprint_is_spread(spark, monkeypatch):
+    """Two thirds of the rows have one text; with tables too large to send, its rows meet their label in many tasks."""
+    monkeypatch.setattr("mediadate.llm.simhash.join_lookup", lambda *a, **k: join_lookup(*a, **{**k, "at_most": 0}))
+    rows = [(k, "one text that many rows have in common" if k % 3 else f"text {k} of its own") for k in range(3000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        groups = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+        sizes = [len(part) for part in groups.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 3000 and max(sizes) <= 1500

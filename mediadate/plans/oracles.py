@@ -32,8 +32,9 @@ def suffix(path):
     return SUFFIX.format(NAME.format(path))
 
 
-JPEG = f"lower({suffix('path')}) in ('.jpg', '.jpeg', '.thm')"
-TIFF = f"lower({suffix('path')}) in ('.tif', '.tiff')"
+KIND = f"coalesce(nullif(file_type, ''), lower({suffix('path')}))"
+JPEG = f"{KIND} in ('.jpg', '.jpeg', '.thm')"
+TIFF = f"{KIND} in ('.tif', '.tiff')"
 
 PARSED = f"""parsed as (select *, {JPEG} as jpeg, {TIFF} as tiff,
     try_strptime(date_time_original, '%Y:%m:%d %H:%M:%S') as original,
@@ -316,8 +317,8 @@ SQL = {
     "ocr_checked": f"""{STAMPED}, {STOPS} select s.file_id, attempt_seq, corner, rotation, variant, raw_text, {ROUNDED} from stamped s join stops t using (file_id) where stop is null or attempt_seq <= stop""",
     "xmp_signal": f"""{over('archived')} select id, case when o_orderstatus = 'P' then date_taken when o_totalprice > 300000 then date_added when o_totalprice > 100000 then creation_date end as date,
         case when o_orderstatus = 'P' or o_totalprice > 300000 then 'xmp_create_date' when o_totalprice > 100000 then 'xmp_modify_date' end as source from archived""",
-    "metadata_extract": f"""{over('photos')}, p as (select *, event_type <> 'error' as ok, replace(substr(cast(ts as varchar), 1, 19), '-', ':') as d from photos)
-        select file_id, path, ok as has_exif, case when ok then d end as date_time_original, cast(null as varchar) as date_time_digitized, case when ok then d end as tiff_datetime,
+    "metadata_extract": f"""{over('photos')}, p as (select *, event_type not in ('error', 'purchase') as ok, replace(substr(cast(ts as varchar), 1, 19), '-', ':') as d from photos)
+        select file_id, path, ok as has_exif, case when ok then d end as date_time_original, cast(null as varchar) as date_time_digitized, case when event_type <> 'error' then d end as tiff_datetime,
         case when ok then replace(substr(cast(ts as varchar), 1, 19), ' ', 'T') end as xmp_create_date, cast(null as varchar) as xmp_modify_date,
         case when ok then 'Maker' || lpad(cast(k as varchar), 10, '0') end as make, cast(null as varchar) as model, case when ok then 'f/2.8' end as aperture,
         case when ok then cast(user_id as varchar) end as iso_speed, case when ok then '50.5mm' end as focal_length_mm, cast(null as varchar) as error from p""",

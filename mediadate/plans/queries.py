@@ -580,6 +580,8 @@ def metadata_extract(spark, folder):
     created = F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
     packet = F.concat(F.lit(head), created, F.lit(tail))
     content = standins.jpeg_bytes(stamp, maker, F.col("user_id"), packet, len(head) + 19 + len(tail))
+    # A JPEG's EXIF block is a TIFF file of its own.
+    content = F.when(F.col("path").endswith(".tif"), F.substring(content, 13, 2**20)).otherwise(content)
     content = F.when(F.col("event_type") == "error", F.encode(F.col("k").cast("string"), "UTF-8")).otherwise(content)
     found = metadata.extract_metadata(photos.select("file_id", "path", content.alias("content")))
     return found.select(

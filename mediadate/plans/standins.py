@@ -32,9 +32,11 @@ def _day(expression: str, separator: str) -> str:
 
 VIEWS = {}
 
-# One media file per event: tags as text, some missing, broken or implausible.
+# One media file per event: tags as text, some missing, broken or implausible; some files' type is told
+# otherwise than by their suffix.
 VIEWS["photos"] = f"""
 select event_id as file_id, k, user_id, event_type, value, ts,
+  case when k = 3 then '.tif' when k = 4 then '.jpg' when k = 5 then '' when k = 6 then '.mp4' end as file_type,
   concat('/camera/u', user_id, '/', event_id, '/IMG_', k, ext) as path,
   cast(floor(value * 1000) as bigint) as file_size,
   case when k <> 7 then ts end as creation_date,
@@ -186,7 +188,6 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None)
     return view(spark, folder, "photos").withColumns(
         {
-            "file_type": none.cast("string"),
             "gps_time_stamp": F.when(F.col("gps_hour").isNotNull(), clock),
             "gps_lat": F.array(F.col("k").cast("double"), F.col("gps_minute"), F.col("gps_second")),
             "gps_lat_ref": F.when(F.col("k") % 2 == 0, "S").otherwise("N"),

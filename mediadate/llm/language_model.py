@@ -38,10 +38,10 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b"\n"  # no word holds white space
 WIDTH = 1 << 18
 DISCOUNT = 0.75
-ENTRIES = 1 << 19
+ENTRIES = 1 << 20
 CODES, LOWEST = 65_535, -24.0
 WORDS_HELD = 500_000
-TOKENS_HELD = 1 << 19
+TOKENS_HELD = 1 << 20
 IDS_CACHED = 300_000
 KEYS_HELD = 1 << 21
 SAMPLES, RANGES = 64, 1 << 14
@@ -411,11 +411,11 @@ def bigram_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _key_bounds(encoded: DataFrame, keys_of, total: int) -> np.ndarray:
-    """First keys of the ranges but the lowest, from sampled places: some 4 * ``ENTRIES`` tokens a range.
+    """First keys of the ranges but the lowest, from sampled places: some 2 * ``ENTRIES`` tokens a range.
 
     Ranges only decide which task merges which keys; the driver sorts ``SAMPLES`` keys a range, 2**20 in all.
     """
-    ranges = min(RANGES, -(-total // (4 * ENTRIES)))
+    ranges = min(RANGES, -(-total // (2 * ENTRIES)))
     if ranges < 2:
         return np.zeros(0, np.int64)
     step = max(1, total // (SAMPLES * ranges))

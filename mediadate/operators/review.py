@@ -77,6 +77,18 @@ def guard_corrections(corrections: DataFrame, catalog: DataFrame, listing: DataF
     return joined.withColumn("error", error).drop("_known", "_found")
 
 
+def mark_superseded(guarded: DataFrame) -> DataFrame:
+    """Add ``superseded``: whether an accepted correction is followed by a later accepted one of its file.
+
+    Both are carried out, one after the other; what the later one sets is what the file ends with. A
+    refused correction neither is superseded nor supersedes another. Corrections without an id are one file.
+    """
+    held = settle_table(guarded)
+    last = held.filter("error is null").groupBy(F.col("file_id").alias("_file")).agg(F.max("seq").alias("_last"))
+    marked = held.join(last, F.col("file_id").eqNullSafe(F.col("_file")), "left")
+    return marked.withColumn("superseded", F.col("error").isNull() & (F.col("seq") < F.col("_last"))).drop("_file", "_last")
+
+
 def settle_step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return settle_table(build())
 

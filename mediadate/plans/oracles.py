@@ -288,7 +288,7 @@ SQL = {
     "review_queue": f"{ARCHIVE} {LOCATED} date_uncertain = 1 order by date_added desc, id",
     "review_top_n": f"{ARCHIVE} {LOCATED} date_uncertain = 1 order by date_added desc, id limit 25",
     "file_details": f"{ARCHIVE} {LOCATED} id = 78",
-    "correction_guard": f"{GUARD} select seq, file_id, error from guarded",
+    "correction_guard": f"{GUARD} select seq, file_id, error, error is null and seq < max(case when error is null then seq end) over (partition by file_id) as superseded from guarded",
     "correction_results": f"{corrected_one_by_one('false')} {RESULTS}",
     "correction_moves": f"{corrected_one_by_one(FULL_DISK)} {RESULTS}",
     "apply_moved_corrections": f"{corrected_one_by_one(FULL_DISK)} {CORRECTED}",

@@ -437,7 +437,7 @@ def full_disk(planned):
 
 @query
 def correction_guard(spark, folder):
-    return guarded(spark, folder).select("seq", "file_id", "error")
+    return review.mark_superseded(guarded(spark, folder)).select("seq", "file_id", "error", "superseded")
 
 
 @query

@@ -6,9 +6,11 @@ import math
 import os
 import random
 import struct
+from collections import Counter
 from datetime import datetime
 from pathlib import PurePosixPath
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from mediadate import schemas, settings
 from mediadate.operators import audit, duplicates, enrichment, inventory, review
 from mediadate.operators.ordering import running_total
 from mediadate.operators.scoring import timestamp_literal
+from mediadate.plans import oracles, queries
 from mediadate.plans.import_run import run_import
 from mediadate.sources import bucketed, contents, listing, metadata, reports
 from mediadate.sources.snapshots import AppendTable, ChangeTable, Part, SnapshotTable, covering, due_merge, write_report
@@ -229,6 +232,33 @@ def test_corrections(spark):
     assert after[4].date_uncertain == 1 and after[3].corrected_at is None
 
 
+def test_guard_marks_superseded_corrections(spark):
+    catalog = spark.createDataFrame(CATALOG_ROWS, CATALOG)
+    disk = catalog.filter("id <> 4").select(F.col("archive_path").alias("path"))
+    asked = [(1, 1, DAY), (2, 1, DAY), (3, 1, DAY), (4, 2, DAY), (5, 3, DAY), (6, 3, DAY), (7, 4, DAY), (8, 4, DAY), (9, None, DAY), (10, None, DAY)]
+    guarded = review.guard_corrections(spark.createDataFrame(asked, schemas.CORRECTIONS), catalog, disk)
+    marked = review.mark_superseded(guarded)
+    assert marked.columns == [*guarded.columns, "superseded"]
+    assert {r.seq for r in marked.collect() if r.superseded} == {1, 2, 9}
+    assert [r.superseded for r in marked.collect()].count(False) == 7
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_guard_query_equals_its_sql(spark, tmp_path, empty):
+    orders = "o_orderkey long, o_orderstatus string, o_orderpriority string, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz"
+    rows = [(k, "FOP"[k % 3], ["1-URGENT", "2-HIGH", "3-MEDIUM"][k // 7 % 3], k, 300000.0 + 1000 * k, DAY) for k in range(7, 300, 7)]
+    buyers = [(k % 50 if k < 55 else None, k % 25, ["HOUSEHOLD", "MACHINERY"][k % 2]) for k in range(56)]
+    spark.createDataFrame(rows[:0] if empty else rows, orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(buyers, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["correction_guard"](spark, str(tmp_path))
+    assert got.columns == ["seq", "file_id", "error", "superseded"]
+    db = duckdb.connect()
+    for table in ("orders", "customer"):
+        db.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert Counter(map(tuple, got.collect())) == Counter(db.execute(oracles.SQL["correction_guard"]).fetchall())
+    assert empty != bool(got.filter("superseded and file_id is not null").count())
+
+
 def corrected_one_by_one(paths_of, asked, taken, fails):
     """Outcome of each correction, served alone: its path, or nothing when the move fails."""
     taken, paths_of, found = set(taken), dict(paths_of), {}

@@ -109,32 +109,38 @@ def sequence_signals(files: DataFrame) -> DataFrame:
     stem = paths.stem(paths.file_name(F.col("path")))
     digits = F.regexp_replace(F.regexp_extract(stem, NUMBERED_NAME, 2), r"^0+(?=\d)", "")
     size = F.length("digits")
-    numbered = files.select(
+    named = files.select(
         "file_id", "date", paths.parent_folder(F.col("path")).alias("folder"),
         F.regexp_extract(stem, NUMBERED_NAME, 1).alias("prefix"), digits.alias("digits"),
-    ).filter("digits <> ''")
+    )
     series = ["folder", "prefix"]
     block = F.concat(F.lpad(size.cast("string"), 5, "0"), F.left("digits", F.greatest(size - 6, F.lit(0))))
-    numbered = numbered.withColumns({"block": block, "number": F.right("digits", F.lit(6)).cast("int")}).drop("digits")
+    named = named.withColumns({"block": block, "number": F.right("digits", F.lit(6)).try_cast("int")}).drop("digits")
+    # Written once: filters and joins below would each parse every path again, pattern by pattern.
+    numbered = settle_table(named).filter("number is not null")
     # The dated neighbor is a number; its date is the earliest of the files that carry the number.
     points = numbered.filter("date is not null").groupBy(*series, "block", "number").agg(F.min("date").alias("date"))
     mark = F.struct("number", "date")
     edges = numbered.select(*series, "block").distinct().join(
         points.groupBy(*series, "block").agg(F.max(mark).alias("last"), F.min(mark).alias("first")), [*series, "block"], "left"
     )
-    across = Window.partitionBy(*series).orderBy("block")
+    below = Window.partitionBy(*series).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy(*series).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         *series, "block",
-        F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
-        F.first("first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
+        F.last("last", True).over(below).alias("left"),
+        F.last("first", True).over(beyond).alias("right"),
     )
-    inside = Window.partitionBy(*series, "block").orderBy("number")
+    # Both windows grow row by row; one that ran from the next number to the end of its block would be
+    # summed up anew for every row. The number after is the last one seen from above.
+    inside = Window.partitionBy(*series, "block").orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*series, "block").orderBy(F.desc("number")).rangeBetween(Window.unboundedPreceding, -1)
     marked = numbered.join(points.withColumnRenamed("date", "point"), [*series, "block", "number"], "left")
     here = F.when(F.col("point").isNotNull(), F.struct("number", F.col("point").alias("date")))
     marked = marked.withColumns(
         {
-            "before": F.last(here, True).over(inside.rangeBetween(Window.unboundedPreceding, -1)),
-            "after": F.first(here, True).over(inside.rangeBetween(1, Window.unboundedFollowing)),
+            "before": F.last(here, True).over(inside),
+            "after": F.last(here, True).over(above),
         }
     ).join(edges, [*series, "block"])
     before, after = F.coalesce("before", "left"), F.coalesce("after", "right")

@@ -7,7 +7,7 @@ import os
 import random
 import struct
 from collections import Counter
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import PurePosixPath
 
 import duckdb
@@ -375,6 +375,32 @@ def test_enrichment_of_odd_rows(spark):
     assert sorted(r.path for r in enrichment.skip_identical(twins, held).collect()) == ["/n/a", "/n/d", "/n/e"]
 
 
+def test_sequence_neighbors_by_growing_windows(spark):
+    rng = random.Random(4)
+    rows = [(k, f"/d{k % 2}/{'IMG_' if k % 3 else 'P'}{rng.choice(['', '0', '12' * 7])}{rng.randint(0, 300)}.jpg") for k in range(900)]
+    rows += [(k, f"/d0/IMG_{k * 700_000}.jpg") for k in range(900, 960)]
+    rows = [(*row, None if rng.random() < 0.6 else DAY + timedelta(hours=rng.randint(0, 40))) for row in rows]
+    found = enrichment.sequence_signals(spark.createDataFrame(rows, "file_id long, path string, date timestamp_ntz").repartition(3))
+    dates, parts = {}, {}
+    for file_id, path, date in rows:
+        stem = path[: -len(".jpg")]
+        number = stem[len(stem.rstrip("0123456789")) :]
+        parts[file_id] = series, number = stem[: -len(number)], int(number)
+        if date:
+            held = dates.setdefault(series, {})
+            held[number] = min(held.get(number, date), date)
+    want = {}
+    for file_id, _, date in rows:
+        series, number = parts[file_id]
+        before = max((n for n in dates[series] if n < number), default=None)
+        after = min((n for n in dates[series] if n > number), default=None)
+        if date is None and before is not None and after is not None and dates[series][before].date() == dates[series][after].date():
+            want[file_id] = dates[series][before]
+    assert {r.file_id: r.date for r in found.collect()} == want and len(want) > 50
+    # A frame that ends with its partition is summed up anew for every row.
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_fix_plan_gives_every_move_its_own_target(spark):
     rows = [(k, f"/r/2020/01/0{k}/x.jpg", DAY, None) for k in (1, 2, 3)] + [(4, "/r/2019/06/15/x.jpg", DAY, None), (5, "/r/2019/06/15/gone.jpg", DAY, None)]
     catalog = spark.createDataFrame(rows, "id long, archive_path string, date_taken timestamp_ntz, user_corrected_date timestamp_ntz")

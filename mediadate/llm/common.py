@@ -67,14 +67,14 @@ def file_system(place: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(place) if ":/" in place else (fs.LocalFileSystem(), place)
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and go on from the written copy.
+def settle(frame: DataFrame, **options) -> DataFrame:
+    """Write a frame as Parquet, with these options, to the shared folder and go on from the written copy.
 
     The copy outlives executors; its folder is the ``settled`` attribute of the result.
     """
     spark = frame.sparkSession
     place = shared_folder(spark)
-    frame.write.option("compression", "zstd").parquet(place)
+    frame.write.options(compression="zstd", **options).parquet(place)
     copy = spark.read.schema(frame.schema).parquet(place)
     copy.settled = place
     return copy

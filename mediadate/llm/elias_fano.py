@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 8  # words of high bits for which the ones before are stored
+STEP = 32  # every so many values one is stored whole, if asked for
 _ONE = np.uint64(1)
 
 
@@ -17,14 +18,20 @@ def _select_table() -> np.ndarray:
     return table
 
 
+_TABLE = _select_table()
+
+
 def _pack_bits(bits: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, bitorder="little")
     packed = np.pad(packed, (0, -len(packed) % 8)).view(np.uint64)
     return np.pad(packed, (0, -len(packed) % BLOCK))
 
 
-def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Parts of the code of ascending values below ``universe``: about 2 + log2(universe / n) bits each."""
+def encode(values: np.ndarray, universe: int, sampled: bool = False) -> dict[str, np.ndarray]:
+    """Parts of the code of ascending values below ``universe``: about 2 + log2(universe / n) bits each.
+
+    ``sampled`` adds every ``STEP``-th value as it is, 2 bits each, for searches in long runs of equal high bits.
+    """
     values = values.astype(np.uint64)
     n = len(values)
     low = max(0, (universe // max(1, n)).bit_length() - 1)
@@ -45,7 +52,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         "highs": highs,
         "ones": ones,
         "zeros": np.arange(len(ones), dtype=np.uint64) * np.uint64(64 * BLOCK) - ones,
-    }
+    } | ({"samples": values[::STEP]} if sampled else {})
 
 
 class EliasFano:
@@ -55,7 +62,7 @@ class EliasFano:
         self.n, self.low = map(int, parts["head"])
         self.lows, self.highs, self.zeros, self.ones = (parts[k] for k in ("lows", "highs", "zeros", "ones"))
         self.mask = np.uint64((1 << self.low) - 1)
-        self.table = _select_table()
+        self.samples = parts.get("samples")
 
     def _low(self, index: np.ndarray) -> np.ndarray:
         if self.low == 0:
@@ -89,7 +96,7 @@ class EliasFano:
             rest -= lower * up
             bits >>= (up * half).astype(np.uint64)
             place += up * half
-        return place + self.table[(bits & np.uint64(255)).astype(np.int64), rest]
+        return place + _TABLE[(bits & np.uint64(255)).astype(np.int64), rest]
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The values at these indices."""
@@ -105,11 +112,29 @@ class EliasFano:
         """
         wanted = wanted.astype(np.uint64)
         high, low = (wanted >> np.uint64(self.low)).astype(np.int64), wanted & self.mask
-        place = np.zeros(len(wanted), np.int64)
+        if self.samples is None:
+            return self._find(high, low, np.zeros(len(wanted), np.int64), np.full(len(wanted), self.n))
+        # the first value that is not below lies behind the last sample that is, up to the next sample
+        block = np.searchsorted(self.samples, wanted)
+        least, most = np.maximum((block - 1) * STEP + 1, 0), np.minimum(block * STEP, self.n)
+        own = (self.samples >> np.uint64(self.low)).astype(np.int64)
+        own = np.concatenate([[-1], own, [-1]])
+        inside = (own[block] == high) & (own[block + 1] == high)
+        start, equal = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        part = np.flatnonzero(inside)
+        start[part], equal[part] = self._bisect(least[part], most[part], most[part] + 1, low[part])
+        part = np.flatnonzero(~inside)
+        start[part], equal[part] = self._find(high[part], low[part], least[part], most[part])
+        return start, equal
+
+    def _find(self, high: np.ndarray, low: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``find`` by high and low bits, when the index is known to lie between ``least`` and ``most``."""
+        place = np.zeros(len(high), np.int64)
         inner = np.flatnonzero(high > 0)
         place[inner] = self._select(high[inner] - 1, self.zeros, True) + 1
-        equal = np.zeros(len(wanted), bool)
-        active = np.arange(len(wanted))
+        place = np.maximum(place, least + high)
+        equal = np.zeros(len(high), bool)
+        active = np.arange(len(high))
         for _ in range(2):
             own = place[active]
             inside = (self.highs[own >> 6] >> (own & 63).astype(np.uint64)) & _ONE == 1
@@ -120,12 +145,14 @@ class EliasFano:
             place[active] += 1
         start = place - high
         if len(active):
-            start[active], equal[active] = self._bisect(start[active], high[active], low[active])
+            end = self._select(high[active], self.zeros, True) - high[active]
+            start[active], equal[active] = self._bisect(start[active], np.minimum(end, most[active]), end, low[active])
         return start, equal
 
-    def _bisect(self, start: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        end = self._select(high.copy(), self.zeros, True) - high
-        stop, active = end.copy(), np.flatnonzero(start < end)
+    def _bisect(self, start: np.ndarray, stop: np.ndarray, end: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first index from ``start`` to ``stop`` whose low bits are not below; values of equal high bits go on to ``end``."""
+        start, stop = start.copy(), stop.copy()
+        active = np.flatnonzero(start < stop)
         while len(active):
             middle = (start[active] + stop[active]) >> 1
             below = self._low(middle) < low[active]

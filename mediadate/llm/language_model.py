@@ -22,19 +22,19 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediadate.llm import elias_fano
-from mediadate.llm.common import LOWER, UPPER, discard, file_system, settle, shared_folder, worker_cache
+from mediadate.llm.common import discard, file_system, settle, shared_folder, worker_cache
 from mediadate.llm.sharding import number_rows
 
-TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b"\n"  # no word holds white space
 WIDTH = 1 << 18
 DISCOUNT = 0.75
@@ -42,7 +42,9 @@ ENTRIES = 1 << 20
 CODES, LOWEST = 65_535, -24.0
 WORDS_HELD = 500_000
 TOKENS_HELD = 1 << 20
-IDS_CACHED = 300_000
+TEXT_BYTES = 1 << 22
+# Parquet otherwise looks at the size of its pages and row groups every 100 rows
+LONG_ROWS = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 KEYS_HELD = 1 << 21
 SAMPLES, RANGES = 64, 1 << 14
 MAPPED_BYTES = 192 << 20
@@ -53,34 +55,87 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").translate(TO_LOWER).split(), END]
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Signed, so that Spark and numpy order the hashes alike; the empty word stands for the end."""
+    data = words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_numpy(zero_copy_only=False)
+    data[data == b""] = END
+    return np.fromiter(map(xxhash.xxh64_intdigest, data), np.uint64, len(data)).view(np.int64)
 
 
-def word_hash(word: bytes) -> int:
-    """Signed, so that Spark and numpy order the hashes alike."""
-    value = xxhash.xxh64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts: codes of the tokens one after the other, the words that they stand for, tokens a text.
 
+    A text ends with the empty word.
+    """
+    none, space = (pa.scalar(text, texts.type) for text in ("", " "))
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(none)))
+    # white space at the end makes an empty word, and so does an empty text
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, none), none, pc.binary_join_element_wise(trimmed, space, none)))
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _text_parts(batch: pa.RecordBatch):
+    """Rows of the batch with some ``TEXT_BYTES`` of text at a time, one row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + TEXT_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def split_documents(docs: DataFrame) -> DataFrame:
+    """Texts as codes of words, a row for some ``TEXT_BYTES`` of text: doc_id and held_out of its documents, their
+    tokens' ``codes`` and number, and for each code the ``hashes`` of the words and the ``counts`` in training texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            for part in _text_parts(batch):
+                codes, words, sizes = _tokens(part.column("text"))
+                train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
+                counts = np.bincount(codes[train], minlength=len(words))
+                hashes = _hashes(words)
+                order = np.argsort(hashes)  # ascending ones are merged and found faster
+                places = np.empty(len(order), "<i4")
+                places[order] = np.arange(len(order))
+                binaries = (sizes, places[codes], hashes[order], counts[order].astype("<i8"))
+                whole = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(whole, part.column(name)) for name in ("doc_id", "held_out")]
+                    + [pa.array([array.tobytes()], pa.binary()) for array in binaries],
+                    ["doc_id", "held_out", "sizes", "codes", "hashes", "counts"],
+                )
+
+    schema = f"doc_id array<{kind}>, held_out array<boolean>, sizes binary, codes binary, hashes binary, counts binary"
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(work, schema)
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``hash, count`` of the tokens of ``text``; tasks add up what they have before the shuffle."""
 
-    def flush(counts):
-        hashes = [word_hash(word) for word in counts]
-        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["hash", "count"])
+def count_words(split: DataFrame) -> DataFrame:
+    """``hash, count`` of the words of training texts; tasks add up what they have before the shuffle."""
+
+    def flush(hashes, counts):
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], ["hash", "count"])
 
     def work(batches):
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > WORDS_HELD:
-                    yield flush(counts)
-                    counts = Counter()
-        yield flush(counts)
-
-    rows = texts.select("text").mapInArrow(work, "hash long, count long")
+            for hashes, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                hashes, counts = np.frombuffer(hashes, "<i8"), np.frombuffer(counts, "<i8")
+                held.append((hashes[counts > 0], counts[counts > 0]))
+                size += len(held[-1][0])
+                if size > 2 * WORDS_HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > WORDS_HELD:
+                        yield flush(*held[0])
+                        held, size = [], 0
+        if held:
+            yield flush(*_summed(*map(np.concatenate, zip(*held))))
+
+    rows = split.select("hashes", "counts").mapInArrow(work, "hash long, count long")
     return rows.groupBy("hash").agg(F.sum("count").alias("count"))
 
 
@@ -167,10 +222,14 @@ class Model:
     def _by_shard(numbers: np.ndarray):
         if not len(numbers):
             return
-        # 16-bit numbers are sorted by radix, many times faster
-        small = numbers.astype(np.uint16) if numbers.max() < 1 << 16 and numbers.min() >= 0 else numbers
-        order = np.argsort(small, kind="stable")
-        ends = np.flatnonzero(np.diff(small[order])) + 1
+        steps = np.diff(numbers)
+        if (steps >= 0).all():
+            order, ends = np.arange(len(numbers)), np.flatnonzero(steps) + 1
+        else:
+            # 16-bit numbers are sorted by radix, many times faster
+            small = numbers.astype(np.uint16) if numbers.max() < 1 << 16 and numbers.min() >= 0 else numbers
+            order = np.argsort(small, kind="stable")
+            ends = np.flatnonzero(np.diff(small[order])) + 1
         for part in np.split(order, ends):
             if len(part):
                 yield int(numbers[part[0]]), part
@@ -218,11 +277,13 @@ class Model:
         return result
 
     def heads(self, words: np.ndarray) -> np.ndarray:
-        """Number of the first bigram of each word."""
-        result = np.zeros(len(words), np.int64)
-        for number, part in self._by_shard(words // WIDTH):
-            result[part] = self.shard(5, number).pointers.get(words[part] - number * WIDTH).astype(np.int64) + self.bases[5][number]
-        return result
+        """Number of the first bigram of each word; neighbors that are equal are looked up once."""
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+        distinct = words[first]
+        result = np.zeros(len(distinct), np.int64)
+        for number, part in self._by_shard(distinct // WIDTH):
+            result[part] = self.shard(5, number).pointers.get(distinct[part] - number * WIDTH).astype(np.int64) + self.bases[5][number]
+        return np.repeat(result, np.diff(first, append=len(words)))
 
     def word_backoffs(self, words: np.ndarray) -> np.ndarray:
         result = np.zeros(len(words))
@@ -257,7 +318,9 @@ class Model:
 
     def log_bigram(self, first: np.ndarray, second: np.ndarray, index: np.ndarray) -> np.ndarray:
         """log10 of the second word after the first; an unknown first word says nothing."""
-        result = self.unigram(second)
+        result = np.zeros(len(index))
+        unknown = np.flatnonzero(index < 0)
+        result[unknown] = self.unigram(second[unknown])
         missing = np.flatnonzero((index < 0) & (first >= 0))
         result[missing] += self.word_backoffs(first[missing])
         known = np.flatnonzero(index >= 0)
@@ -314,46 +377,37 @@ class Model:
         return index[left[both]] * self.relative + rank[right[both]]
 
 
-def encode_corpus(docs: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
+def encode_split(split: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
     """doc_id, held_out, the tokens' numbers, n_tokens, n_known and base_score of every document."""
 
     def work(batches):
         model = Model(facts, files)
-        known = worker_cache().setdefault("word numbers", {})
-        if known.get(b"") != facts["model"]:
-            known.clear()
-            known[b""] = facts["model"]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                lists = [words_of(text) for text in part.column("text").to_pylist()]
-                flat = list(itertools.chain.from_iterable(lists))
-                get = known.get
-                numbers = np.fromiter(map(get, flat, itertools.repeat(-2)), np.int64, len(flat))
-                missing = np.flatnonzero(numbers == -2)
-                fresh = list({flat[i] for i in missing.tolist()})
-                found = model.numbers_of(np.fromiter(map(word_hash, fresh), np.int64, len(fresh)))
-                new = dict(zip(fresh, found.tolist()))
-                numbers[missing] = [new[flat[i]] for i in missing.tolist()]
-                if len(known) < IDS_CACHED:
-                    known.update(new)
-                logs = model.unigram(numbers)
-                ends = np.cumsum([len(words) for words in lists])
-                starts = np.concatenate([[0], ends[:-1]])
-                codes = numbers.astype("<i4")
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                sizes, codes, hashes = (np.frombuffer(row.column(name)[0].as_py(), kind) for name, kind in (("sizes", "<i8"), ("codes", "<i4"), ("hashes", "<i8")))
+                words = model.numbers_of(hashes)
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                numbers = pa.py_buffer(words.astype("<i4")[codes])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("held_out"),
-                        pa.array([codes[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                        pa.array(ends - starts), pa.array(np.add.reduceat((numbers >= 0).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(logs, starts)),
+                        row.column("doc_id").flatten(), row.column("held_out").flatten(),
+                        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, 4 * ends).astype("<i4")), numbers]),
+                        pa.array(sizes), pa.array(np.add.reduceat((words >= 0).astype(np.int64)[codes], starts)),
+                        pa.array(np.add.reduceat(model.unigram(words)[codes], starts)),
                     ],
                     ["doc_id", "held_out", "numbers", "n_tokens", "n_known", "base_score"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = split.schema["doc_id"].dataType.elementType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, numbers binary, n_tokens long, n_known long, base_score double"
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(work, schema)
+    return split.mapInArrow(work, schema)
+
+
+def encode_corpus(docs: DataFrame, facts: dict, files: list[tuple]) -> DataFrame:
+    """``encode_split`` of texts that are not split yet."""
+    return encode_split(split_documents(docs), facts, files)
 
 
 def _token_parts(batches):
@@ -580,7 +634,7 @@ def _range_store(folder: str):
 
     def store(level, keys, parts):
         values = (keys - keys[0]).view(np.uint64)
-        parts = {"span": values[-1:]} | parts | _named("keys", elias_fano.encode(values, int(values[-1]) + 1))
+        parts = {"span": values[-1:]} | parts | _named("keys", elias_fano.encode(values, int(values[-1]) + 1, sampled=True))
         return _store(folder, level, 0, parts) | {"start": int(keys[0]), "entries": len(keys)}
 
     return store
@@ -591,7 +645,8 @@ class Builder:
 
     def __init__(self, docs: DataFrame):
         self.folder = shared_folder(docs.sparkSession)
-        words = settle(count_words(docs.where(~held_out())))
+        self.split = settle(split_documents(docs), **LONG_ROWS)
+        words = settle(count_words(self.split))
         sums = words.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("count").alias("total")).first()
         if sums["vocabulary"] >= 1 << 31:
             raise OverflowError("the words' numbers do not fit 31 bits")
@@ -601,7 +656,6 @@ class Builder:
         firsts = numbered.groupBy("shard").agg(F.min("hash").alias("first")).orderBy("shard").collect()
         self.facts = {
             "vocabulary": sums["vocabulary"], "total": sums["total"] or 0, "firsts": [row["first"] for row in firsts],
-            "model": uuid.uuid4().hex,
         }
         self.shards = len(firsts)
         self.files = _files(self._words(numbered))
@@ -715,7 +769,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table gives an empty result. Other columns are not read.
     """
     model = Builder(docs)
-    encoded = settle(encode_corpus(docs, model.facts, model.files))
+    encoded = settle(encode_split(model.split, model.facts, model.files))
+    discard(model.split)
     model.add_bigrams(encoded)
     model.add_trigrams(encoded)
     scored = score_encoded(encoded, dict(model.facts), list(model.files))

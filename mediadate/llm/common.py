@@ -7,6 +7,9 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +105,14 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_parts(batch: pa.RecordBatch, most: int):
+    """Rows of the batch with some ``most`` bytes of ``text`` at a time, one row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end

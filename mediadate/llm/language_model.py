@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediadate.llm import elias_fano
-from mediadate.llm.common import discard, file_system, settle, shared_folder, worker_cache
+from mediadate.llm.common import discard, file_system, settle, shared_folder, text_parts, worker_cache
 from mediadate.llm.sharding import number_rows
 
 END = b"\n"  # no word holds white space
@@ -75,17 +75,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(), coded.dictionary, pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
-def _text_parts(batch: pa.RecordBatch):
-    """Rows of the batch with some ``TEXT_BYTES`` of text at a time, one row at least."""
-    sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
-    begin = 0
-    while begin < batch.num_rows:
-        before = sizes[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, before + TEXT_BYTES, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def split_documents(docs: DataFrame) -> DataFrame:
     """Texts as codes of words, a row for some ``TEXT_BYTES`` of text: doc_id and held_out of its documents, their
     tokens' ``codes`` and number, and for each code the ``hashes`` of the words and the ``counts`` in training texts."""
@@ -93,7 +82,7 @@ def split_documents(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for part in _text_parts(batch):
+            for part in text_parts(batch, TEXT_BYTES):
                 codes, words, sizes = _tokens(part.column("text"))
                 train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
                 counts = np.bincount(codes[train], minlength=len(words))

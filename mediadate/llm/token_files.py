@@ -12,24 +12,28 @@ from start // BLOCK_IDS on; block offsets lead to them, and numpy unpacks whole
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediadate.llm.common import file_system, partitions, remembered, settle, shared_folder
+from mediadate.llm.common import file_system, partitions, remembered, settle, shared_folder, text_parts
 
 MAGIC = b"IDPACK01"
 TAIL = "<QQQII8s"
 BLOCK_IDS = 1 << 16
 READ_IDS = 1 << 20
-CACHED = 400_000
+CACHED = 500_000
+TEXT_BYTES = 1 << 21
 
 
 def bit_width(vocabulary: int) -> int:
@@ -147,16 +151,17 @@ SPLITTER = {
 }
 
 # Pieces of these characters need no NFC, and each letter has one lower case of one character.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAINS = re.compile("[ !-~À-ÖØ-öø-ÿ]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+| ")
+GAP = 0xFFFF_FFFF  # no id
 
 
 class PieceEncoder:
-    """Encodes texts and remembers the pieces between spaces and the parts of pieces.
+    """Encodes texts by their distinct pieces between spaces, and remembers the parts of pieces.
 
     With the known normalisation and splitting a text's ids are those of its pieces one after the
     other, and a plain piece's ids are those of its parts. Any other tokenizer gets whole texts.
-    Both memories start anew at ``CACHED`` entries.
+    The memory of parts, and of pieces that are not plain, starts anew at ``CACHED`` entries.
     """
 
     def __init__(self, path: str):
@@ -176,33 +181,55 @@ class PieceEncoder:
             self.bytes_of = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            tokens = self.model.tokenize(part if part.isascii() else part.translate(self.bytes_of))
-            ids = self.parts[part] = np.array([token.id for token in tokens], "<u4").tobytes()
-        return ids
-
-    def _learn(self, missing: set[str]) -> None:
-        others = []
-        for piece in missing:
-            if PLAIN.fullmatch(piece) and not self.added.search(piece):
-                self.pieces[piece] = b"".join(map(self._part, PART.findall(piece.lower())))
-            else:
-                others.append(piece)
-        for piece, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.pieces[piece] = np.array(encoded.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        tokens = self.model.tokenize(part if part.isascii() else part.translate(self.bytes_of))
+        return array("I", [token.id for token in tokens]).tobytes()
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are not plain."""
+        missing = list(set(pieces).difference(self.pieces))
+        for piece, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            self.pieces[piece] = array("I", encoded.ids).tobytes()
+        return [self.pieces[piece] for piece in pieces]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces, and where in them those of each piece begin and end."""
+        line, places, others = " ".join(pieces), [], []
+        if not PLAINS.fullmatch(line) or self.added.search(line):
+            places = [k for k, piece in enumerate(pieces) if not PLAINS.fullmatch(piece) or self.added.search(piece)]
+            others = self._others([pieces[k] for k in places])
+            hidden = set(places)
+            line = " ".join("" if k in hidden else piece for k, piece in enumerate(pieces))
+        # plain pieces are cut into parts all at once; the spaces between them leave gaps
+        found = PART.findall(line.lower())
+        self.parts[" "] = array("I", [GAP]).tobytes()
+        for part in set(found).difference(self.parts):
+            self.parts[part] = self._part(part)
+        plain = b"".join(map(self.parts.__getitem__, found))
+        gaps = np.flatnonzero(np.frombuffer(plain, np.uint32) == GAP)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(plain) // 4)
+        if places:
+            ends[places] = np.cumsum([len(ids) // 4 for ids in others]) + len(plain) // 4
+            starts[places] = ends[places] - [len(ids) // 4 for ids in others]
+        if len(self.parts) + len(self.pieces) > CACHED:
+            self.parts.clear()
+            self.pieces.clear()
+        return np.frombuffer(b"".join([plain, *others]), np.uint32), starts, ends
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if not self.by_piece:
-            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(one.ids, "<u4") for one in encoded]
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        self._learn({piece for pieces in split for piece in pieces if piece not in self.pieces})
-        result = [np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4") for pieces in split]
-        for memory in (self.pieces, self.parts):
-            if len(memory) > CACHED:
-                memory.clear()
-        return result
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return []
+        ids, starts, ends = self._encode_pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy()
+        sizes = (ends - starts)[codes]
+        after = np.cumsum(sizes)
+        joined = ids[np.repeat(starts[codes] - (after - sizes), sizes) + np.arange(after[-1])]
+        last = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64)) - 1
+        return np.split(joined.astype("<u4", copy=False), after[last[:-1]])
 
 
 @remembered
@@ -210,9 +237,10 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+def encode_texts(texts: pa.Array | list[str | None], path: str) -> list[np.ndarray]:
     """Ids of every text; null is empty. A worker keeps its encoder."""
-    return _encoder(path).encode([text or "" for text in texts])
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    return _encoder(path).encode(texts.fill_null(pa.scalar("", texts.type)))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:
@@ -238,9 +266,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id:
                 if batch.num_rows:
                     piece = batch.column(2)[0].as_py()
                 keys.append(batch.column(0))
-                texts = batch.column(1)
-                for k in range(0, batch.num_rows, 500):
-                    for ids in encode_texts(texts.slice(k, 500).to_pylist(), tokenizer):
+                for part in text_parts(batch, TEXT_BYTES):
+                    for ids in encode_texts(part.column("text"), tokenizer):
                         writer.add(np.append(ids, np.uint32(end_id)))
             writer.close()
         if piece is not None:
